@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -233,7 +234,7 @@ class Shared:
     def __init__(self, spark, path: str):
         with open(path, "rb") as f:
             self.held = spark.sparkContext.broadcast(f.read())
-        self.id = (path, self.held.id)
+        self.id = (path, uuid.uuid4().hex)
 
     @property
     def value(self) -> bytes:
