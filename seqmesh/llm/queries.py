@@ -8,10 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqmesh.llm import byte_bpe, exact_dedup, simhash, token_counts, token_shards
+from seqmesh.llm import byte_bpe, exact_dedup, licenses, pii, simhash, token_counts, token_shards, url_filter
 from seqmesh.session import scratch, table
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled outcomes of pages are the rows of ``labels`` with the page's id: low quality is bad."""
+    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
+    return url_filter.url_filter(table(spark, sf_dir, "pages"), outcomes)
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -21,6 +27,39 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(table(spark, sf_dir, "documents")).drop("tag")
 
 
+_OP1 = r"""
+WITH parsed AS (
+  SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM pages),
+known AS (SELECT doc_id AS page_id, max(1 - quality) AS bad FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1),
+hosts AS (
+  SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix,
+         count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS k
+  FROM parsed LEFT JOIN known USING (page_id) GROUP BY host),
+domains AS (SELECT suffix, domain, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY ALL),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY ALL),
+units AS (SELECT 'h' AS level, n, k FROM hosts UNION ALL SELECT 'd', n, k FROM domains UNION ALL SELECT 's', n, k FROM suffixes),
+sums AS (SELECT level, count(*) AS m, sum(n) AS n, sum(k) AS k, sum(k * k / n) AS q, sum(n * n) AS nn FROM units WHERE n > 0 GROUP BY level),
+parts AS (
+  SELECT level, (q - k * k / n) / (m - 1) AS b, (k - q) / (n - m) AS w, (n - nn / n) / (m - 1) AS size FROM sums WHERE m > 1 AND n > m),
+rho AS (SELECT level, least(greatest(CASE WHEN b + (size - 1) * w > 0 THEN (b - w) / (b + (size - 1) * w) ELSE 0.001 END, 0.001), 0.5) AS r FROM parts),
+strength AS (SELECT level, round((1 - r) / r, 6) AS v FROM rho),
+v AS (SELECT coalesce((SELECT v FROM strength WHERE level = 's'), 999.0) AS s, coalesce((SELECT v FROM strength WHERE level = 'd'), 999.0) AS d,
+             coalesce((SELECT v FROM strength WHERE level = 'h'), 999.0) AS h, (SELECT (1 + coalesce(sum(k), 0)) / (2 + coalesce(sum(n), 0)) FROM suffixes) AS top),
+mean_s AS (SELECT suffix, (v.s * v.top + k) / (v.s + n) AS mean_s FROM suffixes, v),
+mean_d AS (SELECT domain, (v.d * mean_s + k) / (v.d + n) AS mean_d FROM domains JOIN mean_s USING (suffix), v),
+post AS (SELECT host, n, (v.h * mean_d + k) / (v.h + n) AS mean FROM hosts JOIN mean_d USING (domain), v),
+blocked AS (SELECT host FROM post, v WHERE mean - 1.645 * sqrt(mean * (1 - mean) / (v.h + 1 + n)) > 0.2)
+SELECT page_id, p.host, path,
+  CASE WHEN (p.host = 'example.net' OR ends_with(p.host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+       WHEN (p.host = 'example.com' OR ends_with(p.host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+       WHEN (p.host = 'org' OR ends_with(p.host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+       WHEN (p.host = 'net' OR ends_with(p.host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule,
+  CASE rule WHEN 'example.net/en/' THEN 'allow' WHEN 'org/fr/' THEN 'allow' WHEN 'example.com/de/' THEN 'block' WHEN 'net/' THEN 'block'
+       ELSE CASE WHEN blocked.host IS NULL THEN 'allow' ELSE 'block' END END AS verdict
+FROM parsed p LEFT JOIN blocked ON p.host = blocked.host
+"""
 _OP4 = """
 WITH d AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
@@ -38,17 +77,28 @@ def op6_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{scratch(spark)}/token-shards-{uuid.uuid4().hex[:8]}"
     token_shards.write_shards(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end=0)
     return token_shards.read_shards(spark, path)
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_token_counts": op5_token_counts,
     "op6_bpe_encode_decode": op6_bpe_encode_decode,
+    "op7_pii": op7_pii,
     "op8_token_shards": op8_token_shards,
+    "op9_license_scan": op9_license_scan,
 }
-ORACLES = {"op4_exact_dedup": _OP4}
+ORACLES = {"op1_url_filter": _OP1, "op4_exact_dedup": _OP4}
