@@ -6,8 +6,8 @@ once a worker; a byte-level pre-token is encoded alike on its own). An end id fo
 folder, so a lost executor costs the shards it was writing.
 
 Re-Pair: frequent pairs of neighbouring ids are replaced by nonterminals, round after round, until a round no longer
-pays. A round counts all pairs of the shard's sequence, takes those that occur at least ``LEAST`` times and as often
-as the round's floor, and replaces their occurrences from the left without overlap.
+pays. A round counts all pairs of the shard's sequence by a hash, takes the fullest places, counts one pair of each
+exactly, and replaces the occurrences of those met at least ``LEAST`` times from the left without overlap.
 
 Image (little-endian): ``RPR1``, then eight longs: documents, ids, rules, symbols, first nonterminal, null doc_ids, and
 two spare; doc_ids (long); the documents' lengths (u32); for each rule its two symbols and its expansion length (u32);
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqmesh.llm.byte_bpe import Memo, Shared, Vocabulary
+from seqmesh.llm.byte_bpe import CACHE, Shared, Vocabulary, byte_letters
 from seqmesh.llm.common import documents, slices, texts
 from seqmesh.session import ship
 
@@ -45,22 +46,27 @@ def _replace(seq: np.ndarray, first: int, left: list, right: list) -> np.ndarray
     a, b = seq[:-1], seq[1:]
     h = (a * np.uint32(0x9E3779B1) ^ b * np.uint32(0x85EBCA77)) >> np.uint32(14)
     tally = np.bincount(h, minlength=_TABLE)
-    # the floor leaves the pairs that cover most; at most a 128th of the hash's places goes on to be counted exactly
+    # the floor leaves the pairs that cover most; at most a 128th of the hash's places goes on, or more where they tie
     floor = max(LEAST, int(np.partition(tally, -_TABLE // 128)[-_TABLE // 128]))
     at = np.flatnonzero(tally[h] >= floor)
-    key = a[at].astype(np.uint64) << np.uint64(32) | b[at]
-    pairs, inverse, n = np.unique(key, return_inverse=True, return_counts=True)
-    often = n >= floor
-    code = np.cumsum(often) - 1 + first + len(left)
-    hit = often[inverse]
-    at, new = at[hit], code[inverse[hit]]
+    place, x, y = h[at], a[at], b[at]
+    # a place stands for one of its pairs, most likely the one that fills it; the others wait for a later round
+    one, two = np.empty(_TABLE, dtype=np.uint32), np.empty(_TABLE, dtype=np.uint32)
+    one[place], two[place] = x, y
+    same = (one[place] == x) & (two[place] == y)
+    at, place = at[same], place[same]
+    n = np.bincount(place, minlength=_TABLE)
+    often = n >= LEAST
+    code = (np.cumsum(often) - 1 + first + len(left)).astype(np.uint32)
+    hit = often[place]
+    at, new = at[hit], code[place[hit]]
     if not len(at):
         return seq
     chain = np.flatnonzero(np.r_[True, np.diff(at) != 1])  # overlapping occurrences: every other one, from the left
     odd = (np.arange(len(at)) - np.repeat(chain, np.diff(np.r_[chain, len(at)]))) & 1
     at, new = at[odd == 0], new[odd == 0]
-    left.extend((pairs[often] >> np.uint64(32)).astype(np.uint32).tolist())
-    right.extend((pairs[often] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tolist())
+    left.extend(one[often].tolist())
+    right.extend(two[often].tolist())
     keep = np.ones(len(seq), dtype=bool)
     keep[at + 1] = False
     out = seq.copy()
@@ -107,40 +113,29 @@ class Shard:
         self.rules, self.sizes = take("<u4", 2 * rules).reshape(-1, 2), take("<u4", rules).astype(np.int64)
         self.seq, self.steps = take("<u4", symbols), take("<i8", (symbols + STEP - 1) // STEP)
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self._flat: tuple[np.ndarray, np.ndarray] | None = None
+        self._flat: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
-    def _expansions(self) -> tuple[np.ndarray, np.ndarray]:
-        """All rules written out one after another, and where each begins. A rule needs only earlier ones."""
+    def _expansions(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All symbols written out one after another, where each begins, and its length. A rule needs only earlier ones."""
         if self._flat is None:
-            begin = np.cumsum(self.sizes) - self.sizes
-            flat = np.empty(int(self.sizes.sum()), dtype=np.uint32)
-            starts, sizes, at = begin.tolist(), self.sizes.tolist(), 0
+            size = np.r_[np.ones(self.first, dtype=np.int64), self.sizes]
+            begin = np.cumsum(size) - size
+            flat = np.empty(int(size.sum()), dtype=np.uint32)
+            flat[: self.first] = np.arange(self.first)
+            starts, sizes, at = begin.tolist(), size.tolist(), self.first
             for a, b in self.rules.tolist():
                 for x in (a, b):
-                    if x < self.first:
-                        flat[at] = x
-                        at += 1
-                    else:
-                        s, n = starts[x - self.first], sizes[x - self.first]
-                        flat[at : at + n] = flat[s : s + n]
-                        at += n
-            self._flat = flat, begin
+                    n = sizes[x]
+                    flat[at : at + n] = flat[starts[x] : starts[x] + n]
+                    at += n
+            self._flat = flat, begin, size
         return self._flat
 
     def expand(self, seq: np.ndarray) -> np.ndarray:
-        flat, begin = self._expansions()
-        rule = seq >= self.first
-        which = seq[rule].astype(np.int64) - self.first
-        size = np.ones(len(seq), dtype=np.int64)
-        size[rule] = self.sizes[which]
-        end = np.cumsum(size)
-        out = np.empty(int(end[-1]) if len(end) else 0, dtype=np.uint32)
-        out[(end - size)[~rule]] = seq[~rule]
-        n = size[rule]
-        shift = np.repeat(np.cumsum(n) - n, n)
-        within = np.arange(int(n.sum())) - shift
-        out[np.repeat((end - size)[rule], n) + within] = flat[np.repeat(begin[which], n) + within]
-        return out
+        flat, begin, size = self._expansions()
+        n = size[seq]
+        end = np.cumsum(n)
+        return flat[np.repeat(begin[seq] - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
 
     def read(self, start: int, n: int) -> np.ndarray:
         """Ids start..start+n-1 of the shard, without expanding the rest."""
@@ -168,25 +163,49 @@ def image(doc_ids: list, lengths: list[int], ids: np.ndarray, first: int) -> byt
     return b"RPR1" + b"".join(x.tobytes() for x in parts)
 
 
-_STATE: dict = {}
+class Known(dict):
+    """The ids of pre-tokens as bytes, by the library's model, worked out when first met.
 
+    Two generations: when the younger one is full it becomes the older one, whose entries come back as they are met.
+    """
 
-def _coder(shared: Shared) -> tuple[Vocabulary, Memo]:
-    if shared.id not in _STATE:
+    def __init__(self, data: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        coder = Tokenizer.from_str(shared.value.decode())
-        coder.no_truncation()
-        coder.no_padding()
+        self.vocabulary = v = Vocabulary(data)
+        self.tokenize, self.older = Tokenizer.from_str(data.decode()).model.tokenize, {}
+        self.letters = {b: ord(c) for c, b in byte_letters().items()}
+        self.special = {w: np.array([i], dtype="<u4").tobytes() for w, i in v.specials.items()}
+
+    def __missing__(self, word: str) -> bytes:
+        got = self.older.pop(word, None) or self.special.get(word)
+        if got is None:
+            ids = [t.id for t in self.tokenize(word.encode().decode("latin-1").translate(self.letters))]
+            got = struct.pack(f"<{len(ids)}I", *ids)
+        self[word] = got
+        return got
+
+    def trim(self) -> None:
+        if len(self) > CACHE:
+            self.older = dict(self)
+            self.clear()
+
+
+_STATE: dict = {}
+
+
+def _known(shared: Shared) -> Known:
+    if shared.id not in _STATE:
         _STATE.clear()
-        _STATE[shared.id] = Vocabulary(shared.value), Memo(lambda words: [np.array(e.ids, dtype="<u4").tobytes() for e in coder.encode_batch(words, add_special_tokens=False)])
+        _STATE[shared.id] = Known(shared.value)
     return _STATE[shared.id]
 
 
 def _write(shared: Shared, end: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, known = _coder(shared)
+        known = _known(shared)
+        v, get = known.vocabulary, known.__getitem__
         part, tail, first = TaskContext.get().partitionId(), np.array([end], dtype="<u4").tobytes(), max(v.size, end + 1)
         ids, lengths, held, size, seq, before = [], [], [], 0, 0, 0
 
@@ -198,10 +217,9 @@ def _write(shared: Shared, end: int):
             return out
 
         for b in slices(batches, 2 << 20):
-            lists = [v.pretokens(x) for x in texts(b)]
-            known.ready(lists)
-            for doc, words in zip(b.column("doc_id").to_pylist(), lists, strict=True):
-                data = b"".join([known[w] for w in words]) + tail
+            known.trim()
+            for doc, text in zip(b.column("doc_id").to_pylist(), texts(b), strict=True):
+                data = b"".join(map(get, v.pretokens(text))) + tail
                 ids.append(doc)
                 lengths.append(len(data) // 4)
                 held.append(data)
