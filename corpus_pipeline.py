@@ -1,13 +1,23 @@
-"""A corpus pipeline: each stage takes the documents that its predecessor kept."""
+"""A corpus pipeline: each stage takes the documents that its predecessor kept.
+
+Toxicity drops documents whose score reaches one half; exact dedup keeps of equal texts the row with the largest
+doc_id; SimHash near-dedup keeps the smallest doc_id of each component; decontamination drops documents that hold a
+benchmark item; the last stage encodes what is left and decodes it again.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seqmesh.llm import exact_dedup, simhash
+from seqmesh.llm import byte_bpe, decontamination, exact_dedup, simhash, toxicity
 from seqmesh.session import materialise, table
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.keep_winners(docs)
 
@@ -16,7 +26,23 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return simhash.keep_first(docs)
 
 
-STAGES = [("exact_dedup", exact_stage), ("simhash_near_dedup", simhash_stage)]
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return byte_bpe.encoded(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("exact_dedup", exact_stage),
+    ("simhash_near_dedup", simhash_stage),
+    ("decontamination", decontamination_stage),
+    ("bpe_encode_decode", bpe_stage),
+]
+
+#: SQL can express neither the network nor the latent search; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -198,10 +198,14 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 def keep_winners(docs: DataFrame) -> DataFrame:
     """``docs`` without repeats: of equal texts the row with the largest doc_id, with all its columns.
 
-    The row is found again by doc_id and digest; if a doc_id stands several times with one text, one of these rows stays.
+    Losers are found again by doc_id and digest. Only if a winner's doc_id stands several times with its text, these
+    rows are thinned out to one.
     """
-    won = deduplicate(docs).where("kept").select(F.col("doc_id").alias("_won_id"), F.unhex("text_sha256").alias("_won_digest"))
+    marked = materialise(deduplicate(docs).select("doc_id", F.unhex("text_sha256").alias("digest"), "kept", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("same_id")), "winners")
+    lost = marked.where(~F.col("kept") & ~F.col("same_id")).select(F.col("doc_id").alias("_lost_id"), F.col("digest").alias("_lost")).distinct()
     digest = F.unhex(F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256))
-    spread = docs.withColumn("_digest", digest).withColumn("_id", F.col("doc_id").cast("long"))
-    found = spread.join(won, F.col("_digest").eqNullSafe(F.col("_won_digest")) & F.col("_id").eqNullSafe(F.col("_won_id")), "left_semi")
-    return found.dropDuplicates(["_digest", "_id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = docs.withColumns({"_digest": digest, "_id": F.col("doc_id").cast("long")})
+    left = found.join(lost, (F.col("_digest") == F.col("_lost")) & F.col("_id").eqNullSafe(F.col("_lost_id")), "left_anti")
+    if not marked.where(~F.col("kept") & F.col("same_id")).isEmpty():
+        left = left.dropDuplicates(["_digest", "_id"])
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])

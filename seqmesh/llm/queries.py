@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqmesh.llm import byte_bpe, exact_dedup, licenses, pii, simhash, token_counts, token_shards, toxicity, url_filter
+from seqmesh.llm import byte_bpe, decontamination, exact_dedup, licenses, pii, simhash, token_counts, token_shards, toxicity, url_filter
 from seqmesh.session import scratch, table
 
 
@@ -95,6 +95,10 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -105,5 +109,6 @@ QUERIES = {
     "op7_pii": op7_pii,
     "op8_token_shards": op8_token_shards,
     "op9_license_scan": op9_license_scan,
+    "op10_decontamination": op10_decontamination,
 }
 ORACLES = {"op1_url_filter": _OP1, "op4_exact_dedup": _OP4}

@@ -237,10 +237,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component: the one whose doc_id is the component's id.
 
-    Rows of a component without any doc_id all stay, for nothing tells them apart; of rows that repeat a doc_id, those
-    of the component's id stay together.
+    Rows without a doc_id stay, for nothing tells them apart; of rows that repeat a doc_id, those of the component's
+    id stay together. A doc_id that stands with several texts goes only if none of them is its component's first.
     """
-    keep = near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    found = docs.withColumn("_id", F.col("doc_id").cast("long"))
-    kept = found.join(keep, F.col("_id") == F.col("_kept"), "left_semi")
-    return kept.unionByName(found.where(F.col("_id").isNull())).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = materialise(near_duplicates(docs).select("doc_id", "component_id"), "components")
+    first = rows.groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("first"))
+    lost = first.where("first = 0").select(F.col("doc_id").alias("_lost"))
+    return docs.join(lost, docs["doc_id"].cast("long") == F.col("_lost"), "left_anti")
