@@ -1 +1 @@
-
+"""Inputs are files read to their end, so nothing streams; the package keeps the place."""
