@@ -56,7 +56,7 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, word) of every character n-gram of the words between their edges."""
+    """(bucket, word) of every character n-gram of the words between their edges, word after word."""
     flat = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le"), dtype="<u4").astype(np.uint64)
     size = np.array([len(w) + 2 for w in words], dtype=np.int64)
     owner = np.repeat(np.arange(len(words)), size)
@@ -69,9 +69,11 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             for k in range(n):
                 h = (h ^ flat[at + k]) * np.uint64(0x9E3779B97F4A7C15)
                 h ^= h >> np.uint64(32)
-            buckets.append((h % np.uint64(GRAMS)).astype(np.int64))
+            buckets.append((h % np.uint64(GRAMS)).astype(np.int32))
             owners.append(owner[at])
-    return np.concatenate(buckets), np.concatenate(owners)
+    bucket, of = np.concatenate(buckets), np.concatenate(owners)
+    order = np.argsort(of, kind="stable")
+    return bucket[order], of[order]
 
 
 def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,16 +106,17 @@ class Network:
             self.p |= {f"in_{way}": draw(d, 3 * h), f"gate_{way}": draw(h, 2 * h), f"new_{way}": draw(h, h), f"b_{way}": np.zeros(3 * h, np.float32)}
         self.p["word"][0] = 0
 
-    def inputs(self, words: list[str]) -> tuple[np.ndarray, tuple]:
-        """Input vectors of distinct words, and what their gradients need. A last row of zeros is the padding."""
-        row = np.array([self.vocabulary.get(w, 0) for w in words], dtype=np.int64)
-        bucket, owner = grams(words)
-        n = np.maximum(np.bincount(owner, minlength=len(words)), 1).astype(np.float32)
+    def inputs(self, words: list[str]) -> np.ndarray:
+        """Input vectors of distinct words. A last row of zeros is the padding."""
         x = np.zeros((len(words) + 1, WORD_DIM + GRAM_DIM), dtype=np.float32)
-        x[:-1, :WORD_DIM] = self.p["word"][row]
-        for k in range(GRAM_DIM):
-            x[:-1, WORD_DIM + k] = np.bincount(owner, weights=self.p["gram"][bucket, k], minlength=len(words)) / n
-        return x, (row, bucket, owner, n)
+        for i in range(0, len(words), 16384):
+            part = words[i : i + 16384]
+            bucket, of = grams(part)
+            n = np.maximum(np.bincount(of, minlength=len(part)), 1).astype(np.float32)
+            x[i : i + len(part), :WORD_DIM] = self.p["word"][[self.vocabulary.get(w, 0) for w in part]]
+            for k in range(GRAM_DIM):
+                x[i : i + len(part), WORD_DIM + k] = np.bincount(of, weights=self.p["gram"][bucket, k], minlength=len(part)) / n
+        return x
 
     def forward(self, seen: np.ndarray, project: dict[str, np.ndarray], keep: bool = False) -> tuple[np.ndarray, dict]:
         """Logits of windows (rows of indices into the projected inputs)."""
@@ -191,7 +194,7 @@ class Network:
     def logits(self, column: pa.Array) -> np.ndarray:
         """The largest window logit of each text."""
         counts, index, words = tokens(column)
-        x, _ = self.inputs(words)
+        x = self.inputs(words)
         table, out = self.project(x), np.full(len(counts), -np.inf, dtype=np.float64)
         text, first = windows(counts)
         start, index = np.cumsum(counts) - counts, np.r_[index, len(words)]
@@ -241,22 +244,29 @@ def train(texts: list[str], labels: np.ndarray, share: float, seed: int = 5) ->
     often = [k for k in np.argsort(-np.abs(uneven), kind="stable").tolist() if hit[k] + miss[k] >= 4 and names[k]][:WORDS]
     net = Network({names[k]: i + 1 for i, k in enumerate(often)}, seed)
     net.p["word"][1:, 0] = uneven[often]
-    bucket, of = grams(words)
-    by_word = np.argsort(of, kind="stable")
-    bucket, of = bucket[by_word], of[by_word]
-    edge = np.searchsorted(of, np.arange(len(words) + 1))
-    pairs = np.unique(owner[kept] * len(words) + index[kept])
-    text_of, word_of = pairs // len(words), pairs % len(words)
-    size = np.diff(edge)[word_of]
-    flat = np.repeat(edge[word_of] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    hit, miss = _presence(np.repeat(text_of, size), bucket[flat], GRAMS, labels)
+    cuts = [grams(words[i : i + 16384]) for i in range(0, len(words), 16384)]
+    bucket = np.concatenate([c[0] for c in cuts])
+    n = np.concatenate([np.bincount(c[1], minlength=min(16384, len(words) - 16384 * k)) for k, c in enumerate(cuts)])
+    edge = np.r_[0, np.cumsum(n)]
+    del cuts
+    hit, miss = np.zeros(GRAMS, dtype=np.int64), np.zeros(GRAMS, dtype=np.int64)
+    first = np.searchsorted(owner, np.arange(len(texts) + 1))
+    for i in range(0, len(texts), 64):  # a few texts at a time, for their n-grams are many
+        some = slice(first[i], first[min(i + 64, len(texts))])
+        pairs = np.unique(owner[some][kept[some]] * len(words) + index[some][kept[some]])
+        text_of, word_of = pairs // len(words), pairs % len(words)
+        size = np.diff(edge)[word_of]
+        flat = np.repeat(edge[word_of] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        more = _presence(np.repeat(text_of, size), bucket[flat], GRAMS, labels)
+        hit, miss = hit + more[0], miss + more[1]
     net.p["gram"][:, 0] = _uneven(hit, miss, hits, misses)
 
     text, seen = cut(counts, index, len(words))
-    x, (row, bucket, of, n) = net.inputs(words)
-    by_bucket = bucket[np.argsort(of, kind="stable")]
+    text, seen = text.astype(np.int32), seen.astype(np.int32)
+    x = net.inputs(words)
+    row = np.array([net.vocabulary.get(w, 0) for w in words], dtype=np.int64)
     mine = np.flatnonzero(fitted[text])
-    best = x[np.minimum(seen, len(words))][:, :, [0, WORD_DIM]].max(axis=1).sum(axis=1)
+    best = x[:, 0][seen].max(axis=1) + x[:, WORD_DIM][seen].max(axis=1)
     squares = {k: np.full_like(v, 1e-6) for k, v in net.p.items()}
     for epoch in range(EPOCHS):
         if epoch:
@@ -277,12 +287,13 @@ def train(texts: list[str], labels: np.ndarray, share: float, seed: int = 5) ->
             spans = [np.arange(edge[w], edge[w + 1]) for w in words_used]
             flat = np.concatenate(spans) if spans else np.zeros(0, int)
             of_local = np.repeat(np.arange(len(words_used)), [len(s) for s in spans])
-            own_bucket = by_bucket[flat]
+            own_bucket = bucket[flat]
             vec = np.zeros((len(used), WORD_DIM + GRAM_DIM), dtype=np.float32)
             vec[: len(words_used), :WORD_DIM] = net.p["word"][row[words_used]]
             mean = np.zeros((len(words_used), GRAM_DIM), dtype=np.float32)
             np.add.at(mean, of_local, net.p["gram"][own_bucket])
-            vec[: len(words_used), WORD_DIM:] = mean / n[words_used][:, None]
+            many = np.maximum(n[words_used], 1).astype(np.float32)[:, None]
+            vec[: len(words_used), WORD_DIM:] = mean / many
             g, dx = net.gradients(local.reshape(some.shape), vec, target[i : i + BATCH], weight[i : i + BATCH])
             for k, v in g.items():
                 squares[k] += v * v
@@ -291,11 +302,11 @@ def train(texts: list[str], labels: np.ndarray, share: float, seed: int = 5) ->
             np.add.at(dw, row[words_used], dx[: len(words_used), :WORD_DIM])
             dw[0] = 0
             dg = np.zeros_like(net.p["gram"])
-            np.add.at(dg, own_bucket, (dx[: len(words_used), WORD_DIM:] / n[words_used][:, None])[of_local])
+            np.add.at(dg, own_bucket, (dx[: len(words_used), WORD_DIM:] / many)[of_local])
             for k, v in (("word", dw), ("gram", dg)):
                 squares[k] += v * v
                 net.p[k] -= RATE * v / np.sqrt(squares[k])
-        x, _ = net.inputs(words)
+        x = net.inputs(words)
     _calibrate(net, seen, text, x, labels, fitted, share)
     return net
 
