@@ -5,8 +5,8 @@ ids, rows only for reachable pairs. It suits sparse graphs with small components
 
 ``strips``: Floyd-Warshall over row strips of the dense matrix, each a row (strip, data) of int32 bytes. For each pivot
 strip the strip is closed on the driver, broadcast, and all strips are relaxed where they lie, without a shuffle. The
-strip height keeps a pivot strip within ``PIVOT_BYTES``, so what is broadcast does not grow with the graph. Every
-``SAVE`` rounds the matrix is written to the shared folder, which cuts the lineage.
+strip height keeps a pivot strip within ``PIVOT_BYTES``, so what is broadcast does not grow with the graph. Each
+round's matrix is written to the shared folder, which cuts the lineage and lets the next pivot be read alone.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from seqmesh.session import materialise, ship
 
 #: Path sums from here on count as unreachable.
 INF = 1_000_000_000
-PIVOT_BYTES, STRIP, SAVE = 64 << 20, 256, 2
+PIVOT_BYTES, STRIP = 64 << 20, 512
 #: Vertices up to which ``auto`` squares relationally.
 RELATIONAL = 64
 
@@ -102,9 +102,8 @@ def close_strips(strips: DataFrame, n: int, height: int) -> DataFrame:
                     out.append((shared.value if s == k else _relax(rows, shared.value, k * height)).tobytes())
                 yield pd.DataFrame({"strip": b["strip"], "data": out})
 
-        now = now.mapInPandas(step, "strip int, data binary")
-        if k % SAVE == SAVE - 1 or k == count - 1:
-            now = materialise(now, "strips")
+        now = materialise(now.mapInPandas(step, "strip int, data binary"), "strips")
+        shared.unpersist()
     return now
 
 
@@ -153,7 +152,7 @@ def shortest_paths(vertices: DataFrame, edges: DataFrame, strategy: str = "auto"
     if not dense:
         raise ValueError("the strip strategy needs vertices 0..n-1; number them first")
     height = max(1, min(strip, PIVOT_BYTES // (4 * n)))
-    height = min(height, max(32, -(-n // (2 * spark.sparkContext.defaultParallelism))))
+    height = min(height, max(32, -(-n // spark.sparkContext.defaultParallelism)))
     return to_long(close_strips(to_strips(both, n, height), n, height), n, height)
 
 
