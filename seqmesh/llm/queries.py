@@ -49,8 +49,8 @@ parts AS (
   SELECT level, (q - k * k / n) / (m - 1) AS b, (k - q) / (n - m) AS w, (n - nn / n) / (m - 1) AS size FROM sums WHERE m > 1 AND n > m),
 rho AS (SELECT level, least(greatest(CASE WHEN b + (size - 1) * w > 0 THEN (b - w) / (b + (size - 1) * w) ELSE 0.001 END, 0.001), 0.5) AS r FROM parts),
 strength AS (SELECT level, round((1 - r) / r, 6) AS v FROM rho),
-v AS (SELECT coalesce((SELECT v FROM strength WHERE level = 's'), 999.0) AS s, coalesce((SELECT v FROM strength WHERE level = 'd'), 999.0) AS d,
-             coalesce((SELECT v FROM strength WHERE level = 'h'), 999.0) AS h, (SELECT (1 + coalesce(sum(k), 0)) / (2 + coalesce(sum(n), 0)) FROM suffixes) AS top),
+v AS (SELECT coalesce((SELECT v FROM strength WHERE level = 's'), 1.0) AS s, coalesce((SELECT v FROM strength WHERE level = 'd'), 1.0) AS d,
+             coalesce((SELECT v FROM strength WHERE level = 'h'), 1.0) AS h, (SELECT (1 + coalesce(sum(k), 0)) / (2 + coalesce(sum(n), 0)) FROM suffixes) AS top),
 mean_s AS (SELECT suffix, (v.s * v.top + k) / (v.s + n) AS mean_s FROM suffixes, v),
 mean_d AS (SELECT domain, (v.d * mean_s + k) / (v.d + n) AS mean_d FROM domains JOIN mean_s USING (suffix), v),
 post AS (SELECT host, n, (v.h * mean_d + k) / (v.h + n) AS mean FROM hosts JOIN mean_d USING (domain), v),

@@ -53,7 +53,7 @@ def _strength(units: DataFrame) -> float:
     """What the prior of these units (n, k) is worth in outcomes."""
     u = units.where("n > 0").select(F.col("n").cast("double").alias("n"), F.col("k").cast("double").alias("k"))
     s = u.agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"), F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k") / F.col("n")).alias("q"), F.sum(F.col("n") * F.col("n")).alias("nn")).first()
-    rho = RHO[0]
+    rho = RHO[1]  # too few units to tell: the weakest prior
     if s.m > 1 and s.n > s.m:
         between, within = (s.q - s.k * s.k / s.n) / (s.m - 1), (s.k - s.q) / (s.n - s.m)
         size = (s.n - s.nn / s.n) / (s.m - 1)
