@@ -72,9 +72,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch, in place of Spark's 64 MB; a setting of the user's own is left alone.
+BATCH_BYTES = 16 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once a session, so that workers can import it."""
+    """Ready a session for Python workers: they can import this package, and their batches are small."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in ("67108864b", "67108864", "64MB"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if getattr(sc, "_seqmesh_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
