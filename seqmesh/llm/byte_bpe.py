@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from seqmesh.llm.common import documents, slices, texts
+from seqmesh.llm.common import documents, slices, state, texts
 from seqmesh.session import ship
 
 #: Pre-tokens a worker remembers.
@@ -217,17 +217,6 @@ class Memo(dict):
         self.update(zip(words, self.solve(words), strict=True))
 
 
-_LOADED: dict[int, Vocabulary] = {}
-
-
-def loaded(shared) -> Vocabulary:
-    """The tables of a broadcast vocabulary file, built once a worker."""
-    if shared.id not in _LOADED:
-        _LOADED.clear()
-        _LOADED[shared.id] = Vocabulary(shared.value)
-    return _LOADED[shared.id]
-
-
 class Shared:
     """A vocabulary file's bytes on all executors. Such files are a few MB, whatever the corpus."""
 
@@ -248,15 +237,14 @@ def _solve(v: Vocabulary) -> Callable[[list[str]], list]:
     return solve
 
 
-_MEMOS: dict = {}
+def memo(name: str, shared: Shared, solve: Callable[[Vocabulary], Callable[[list[str]], list]]) -> tuple[Vocabulary, Memo]:
+    """The tables of a broadcast vocabulary file and what has been worked out with them, kept by the worker."""
 
+    def make() -> tuple[Vocabulary, Memo]:
+        v = Vocabulary(shared.value)
+        return v, Memo(solve(v))
 
-def memo(name: str, shared: Shared, solve: Callable[[Vocabulary], Callable[[list[str]], list]]) -> tuple[Vocabulary, Memo]:
-    v = loaded(shared)
-    if (name, shared.id) not in _MEMOS:
-        _MEMOS.clear()
-        _MEMOS[name, shared.id] = Memo(solve(v))
-    return v, _MEMOS[name, shared.id]
+    return state((name, shared.id), make)
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
@@ -306,7 +294,7 @@ def decode(ids: DataFrame, path: str) -> DataFrame:
     shared = Shared(spark, path)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = loaded(shared)
+        v = state(("decode", shared.id), lambda: Vocabulary(shared.value))
         for b in batches:
             out = [b"".join([v.bytes[i] for i in row or ()]).decode("utf-8", "replace") for row in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.string())], ["doc_id", "text"])

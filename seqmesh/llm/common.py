@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,25 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def give_back() -> None:
+    """Hand memory that is free but still held to the system; workers and drivers live long after their largest task."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+_STATE: dict = {}
+
+
+def state(key: tuple, make: Callable[[], object]):
+    """What an operator keeps between the tasks of a Python worker: one operator's things at a time, so that they don't add up."""
+    if key not in _STATE:
+        _STATE.clear()
+        give_back()
+        _STATE[key] = make()
+    return _STATE[key]
+
+
 def slices(batches: Iterable[pa.RecordBatch], size: int = 4 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``size`` bytes of text; one long text is a slice of its own."""
     for b in batches:
@@ -32,6 +52,7 @@ def slices(batches: Iterable[pa.RecordBatch], size: int = 4 << 20, column: str =
         for i, j in zip(edges, edges[1:], strict=False):
             if j > i:
                 yield b.slice(i, j - i)
+    give_back()
 
 
 def texts(b: pa.RecordBatch, column: str = "text") -> list[str]:

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from seqmesh.llm.common import documents, slices, texts
+from seqmesh.llm.common import documents, slices, state, texts
 from seqmesh.session import ship
 
 #: Phrase and label; each place where the words stand consecutively counts.
@@ -207,17 +207,15 @@ def scan(text: str, scanner: Scanner) -> tuple:
     return len(found), len(places), *start, ",".join(sorted(base)), ",".join(sorted(labels)), 1.0 - miss if labels else 0.0, spans
 
 
-_SCANNER: list[Scanner] = []
 _OUT = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<first:long,end:long,label:string>>"
 
 
 def _run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    if not _SCANNER:
-        _SCANNER.append(Scanner())
+    scanner = state(("licenses",), Scanner)
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64()), ("label", pa.string())]))]
     names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
     for b in slices(batches):
-        rows = [scan(x, _SCANNER[0]) for x in texts(b)]
+        rows = [scan(x, scanner) for x in texts(b)]
         columns = [[r[k] for r in rows] for k in range(8)]
         columns[7] = [[{"first": s, "end": e, "label": label} for s, e, label in x] for x in columns[7]]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["doc_id", *names])

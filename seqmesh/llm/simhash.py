@@ -230,7 +230,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = roots.join(classes.withColumnRenamed("fp", "node"), "node")
     least = named.groupBy("root").agg(F.min("rep").alias("least"))
     moved = named.join(least, "root").select(F.col("node").alias("fp"), "least")
-    whole = classes.join(moved, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
+    # written, so that both sides of the last join are dealt anew and its hot keys can be split
+    whole = materialise(classes.join(moved, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id")), "classes")
     return rows.join(whole, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -242,5 +243,5 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """
     rows = materialise(near_duplicates(docs).select("doc_id", "component_id"), "components")
     first = rows.groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("first"))
-    lost = first.where("first = 0").select(F.col("doc_id").alias("_lost"))
-    return docs.join(lost, docs["doc_id"].cast("long") == F.col("_lost"), "left_anti")
+    lost = first.where("first = 0").select("doc_id")
+    return docs.join(lost, docs["doc_id"].cast("long") == lost["doc_id"], "left_anti")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqmesh.llm.byte_bpe import Memo, Shared
-from seqmesh.llm.common import documents, slices, texts
+from seqmesh.llm.common import documents, slices, state, texts
 from seqmesh.session import ship
 
 MARK = "▁"
@@ -157,16 +157,6 @@ def pretokens(text: str) -> list[str]:
     return _CUT.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
-_LOADED: dict = {}
-
-
-def _memo(shared: Shared) -> Memo:
-    if shared.id not in _LOADED:
-        _LOADED.clear()
-        _LOADED[shared.id] = Memo(PieceModel(shared.value).counts)
-    return _LOADED[shared.id]
-
-
 def token_counts(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
     """A row for each document: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit)."""
     spark = docs.sparkSession
@@ -174,7 +164,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
     shared = Shared(spark, path)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _memo(shared)
+        known = state(("pieces", shared.id), lambda: Memo(PieceModel(shared.value).counts))
         for b in slices(batches, 2 << 20):
             rows = texts(b)
             lists = [pretokens(x) for x in rows]

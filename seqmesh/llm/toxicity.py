@@ -22,6 +22,7 @@ labels, lang, source and doc_id are never inputs of a score.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqmesh.llm.common import documents, slices
+from seqmesh.llm.common import documents, give_back, slices
 from seqmesh.session import ship
 
 #: Texts of either label that training may take, and the longest of them in characters.
@@ -50,8 +51,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """(words of each text, index of each word, distinct words), lower-cased, without marks at their ends."""
     lists = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.utf8_lower(column.cast(pa.large_string()).fill_null(""))))
-    coded = lists.flatten().dictionary_encode()
-    counts = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    flat = lists.flatten()
+    real = pc.not_equal(flat, "")  # splitting nothing gives one empty piece
+    coded = flat.filter(real).dictionary_encode()
+    counts = np.diff(np.r_[0, np.cumsum(real.to_numpy(zero_copy_only=False))][lists.offsets.to_numpy() - lists.offsets[0].as_py()])
     return counts, coded.indices.to_numpy().astype(np.int64), [w.strip(_EDGE) for w in coded.dictionary.to_pylist()]
 
 
@@ -86,11 +89,12 @@ def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def cut(counts: np.ndarray, index: np.ndarray, empty: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, word indices) of all windows as rows of WIDTH; ``empty`` pads."""
     text, first = windows(counts)
-    start = np.cumsum(counts) - counts
-    at = (start[text] + first)[:, None] + np.arange(WIDTH)
-    inside = first[:, None] + np.arange(WIDTH) < counts[text][:, None]
-    padded = np.r_[index, empty]
-    return text, padded[np.where(inside, at, len(index))]
+    start, padded = np.cumsum(counts) - counts, np.r_[index, empty].astype(np.int32)
+    out = np.empty((len(text), WIDTH), dtype=np.int32)
+    for i in range(0, len(text), BLOCK):
+        own, f = text[i : i + BLOCK], first[i : i + BLOCK, None] + np.arange(WIDTH)
+        out[i : i + BLOCK] = padded[np.where(f < counts[own][:, None], start[own][:, None] + f, len(index))]
+    return text.astype(np.int32), out
 
 
 class Network:
@@ -208,7 +212,8 @@ class Network:
     def scores(self, column: pa.Array) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(column), self.constant)
-        return _sigmoid(self.slope * self.logits(column) + self.offset)
+        # how texts share a block of windows moves the last bits of single precision
+        return np.round(_sigmoid(self.slope * self.logits(column) + self.offset), 6)
 
 
 def _uneven(hit: np.ndarray, miss: np.ndarray, hits: int, misses: int) -> np.ndarray:
@@ -244,11 +249,13 @@ def train(texts: list[str], labels: np.ndarray, share: float, seed: int = 5) ->
     often = [k for k in np.argsort(-np.abs(uneven), kind="stable").tolist() if hit[k] + miss[k] >= 4 and names[k]][:WORDS]
     net = Network({names[k]: i + 1 for i, k in enumerate(often)}, seed)
     net.p["word"][1:, 0] = uneven[often]
-    cuts = [grams(words[i : i + 16384]) for i in range(0, len(words), 16384)]
-    bucket = np.concatenate([c[0] for c in cuts])
-    n = np.concatenate([np.bincount(c[1], minlength=min(16384, len(words) - 16384 * k)) for k, c in enumerate(cuts)])
+    cuts = []
+    for i in range(0, len(words), 16384):
+        some, of = grams(words[i : i + 16384])
+        cuts.append((some.astype(np.int16), np.bincount(of, minlength=min(16384, len(words) - i)).astype(np.int32)))
+    bucket, n = (np.concatenate([c[k] for c in cuts]) for k in (0, 1))
     edge = np.r_[0, np.cumsum(n)]
-    del cuts
+    del cuts, some, of
     hit, miss = np.zeros(GRAMS, dtype=np.int64), np.zeros(GRAMS, dtype=np.int64)
     first = np.searchsorted(owner, np.arange(len(texts) + 1))
     for i in range(0, len(texts), 64):  # a few texts at a time, for their n-grams are many
@@ -262,16 +269,34 @@ def train(texts: list[str], labels: np.ndarray, share: float, seed: int = 5) ->
     net.p["gram"][:, 0] = _uneven(hit, miss, hits, misses)
 
     text, seen = cut(counts, index, len(words))
-    text, seen = text.astype(np.int32), seen.astype(np.int32)
-    x = net.inputs(words)
-    row = np.array([net.vocabulary.get(w, 0) for w in words], dtype=np.int64)
+    row = np.array([net.vocabulary.get(w, 0) for w in words], dtype=np.int32)
+    n_words = len(words)
+    del words, distinct, names, uneven, often, hit, miss, owner, kept, same, index
+
+    def vectors(some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Input vectors of words, and what passes their gradients on: n-gram buckets, whose they are, how many each has."""
+        size = n[some]
+        flat = bucket[np.repeat(edge[some] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        of, many = np.repeat(np.arange(len(some)), size), np.maximum(size, 1).astype(np.float32)
+        out = np.empty((len(some), WORD_DIM + GRAM_DIM), dtype=np.float32)
+        out[:, :WORD_DIM] = net.p["word"][row[some]]
+        for k in range(GRAM_DIM):
+            out[:, WORD_DIM + k] = np.bincount(of, weights=net.p["gram"][flat, k], minlength=len(some)) / many
+        return out, flat, of, many
+
+    def all_vectors() -> np.ndarray:
+        x = np.zeros((n_words + 1, WORD_DIM + GRAM_DIM), dtype=np.float32)
+        for i in range(0, n_words, 16384):
+            x[i : i + 16384][: n_words - i] = vectors(np.arange(i, min(i + 16384, n_words)))[0]
+        return x
+
+    x = all_vectors()
     mine = np.flatnonzero(fitted[text])
     best = x[:, 0][seen].max(axis=1) + x[:, WORD_DIM][seen].max(axis=1)
     squares = {k: np.full_like(v, 1e-6) for k, v in net.p.items()}
     for epoch in range(EPOCHS):
         if epoch:
-            table = net.project(x)
-            best = np.concatenate([net.forward(seen[i : i + BLOCK], table)[0] for i in range(0, len(seen), BLOCK)])
+            best = _logits(net, seen, x)
         order = mine[np.lexsort((-best[mine], text[mine]))]
         place = np.arange(len(order)) - np.searchsorted(text[order], text[order])
         chosen = order[place < np.where(labels[text[order]] == 1, 1, 3)]
@@ -283,17 +308,9 @@ def train(texts: list[str], labels: np.ndarray, share: float, seed: int = 5) ->
         for i in range(0, len(chosen), BATCH):
             some = seen[chosen[i : i + BATCH]]
             used, local = np.unique(some, return_inverse=True)
-            words_used = used[used < len(words)]
-            spans = [np.arange(edge[w], edge[w + 1]) for w in words_used]
-            flat = np.concatenate(spans) if spans else np.zeros(0, int)
-            of_local = np.repeat(np.arange(len(words_used)), [len(s) for s in spans])
-            own_bucket = bucket[flat]
+            words_used = used[used < n_words]
             vec = np.zeros((len(used), WORD_DIM + GRAM_DIM), dtype=np.float32)
-            vec[: len(words_used), :WORD_DIM] = net.p["word"][row[words_used]]
-            mean = np.zeros((len(words_used), GRAM_DIM), dtype=np.float32)
-            np.add.at(mean, of_local, net.p["gram"][own_bucket])
-            many = np.maximum(n[words_used], 1).astype(np.float32)[:, None]
-            vec[: len(words_used), WORD_DIM:] = mean / many
+            vec[: len(words_used)], own_bucket, of_local, many = vectors(words_used)
             g, dx = net.gradients(local.reshape(some.shape), vec, target[i : i + BATCH], weight[i : i + BATCH])
             for k, v in g.items():
                 squares[k] += v * v
@@ -302,19 +319,27 @@ def train(texts: list[str], labels: np.ndarray, share: float, seed: int = 5) ->
             np.add.at(dw, row[words_used], dx[: len(words_used), :WORD_DIM])
             dw[0] = 0
             dg = np.zeros_like(net.p["gram"])
-            np.add.at(dg, own_bucket, (dx[: len(words_used), WORD_DIM:] / many)[of_local])
+            np.add.at(dg, own_bucket, (dx[: len(words_used), WORD_DIM:] / many[:, None])[of_local])
             for k, v in (("word", dw), ("gram", dg)):
                 squares[k] += v * v
                 net.p[k] -= RATE * v / np.sqrt(squares[k])
-        x = net.inputs(words)
+        x = all_vectors()
     _calibrate(net, seen, text, x, labels, fitted, share)
     return net
 
 
+def _logits(net: Network, seen: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Logits of windows, a block at a time with the words that it holds."""
+    out = np.empty(len(seen), dtype=np.float32)
+    for i in range(0, len(seen), BLOCK):
+        used, local = np.unique(seen[i : i + BLOCK], return_inverse=True)
+        out[i : i + BLOCK] = net.forward(local.reshape(-1, WIDTH), net.project(x[used]))[0]
+    return out
+
+
 def _calibrate(net: Network, seen: np.ndarray, text: np.ndarray, x: np.ndarray, labels: np.ndarray, fitted: np.ndarray, share: float) -> None:
     """Slope and offset of the scores from the texts that were not fitted, each label at its true weight."""
-    table = net.project(x)
-    logit = np.concatenate([net.forward(seen[i : i + BLOCK], table)[0] for i in range(0, len(seen), BLOCK)])
+    logit = _logits(net, seen, x)
     most = np.full(len(labels), -np.inf)
     np.maximum.at(most, text, logit)
     held = ~fitted if len(set(labels[~fitted].tolist())) == 2 else np.ones(len(labels), dtype=bool)
@@ -348,7 +373,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network:
     picked = docs.sparkSession.createDataFrame(ids, "doc_id long, toxic int")  # no more than 2 x SAMPLE rows
     rows = documents(docs).join(F.broadcast(picked), "doc_id").where(F.length("text") <= LONGEST).groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     got = sorted(((r.doc_id, r.toxic, r.text) for r in rows.collect()), key=lambda r: (hash((r[0], 17)), r[0]))
-    return train([r[2] for r in got], np.array([r[1] for r in got], dtype=np.int64), (toxic or 0) / max(n, 1))
+    net = train([r[2] for r in got], np.array([r[1] for r in got], dtype=np.int64), (toxic or 0) / max(n, 1))
+    del got
+    gc.collect()
+    give_back()
+    return net
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:
