@@ -202,10 +202,11 @@ def keep_winners(docs: DataFrame) -> DataFrame:
     rows are thinned out to one.
     """
     marked = materialise(deduplicate(docs).select("doc_id", F.unhex("text_sha256").alias("digest"), "kept", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("same_id")), "winners")
-    lost = marked.where(~F.col("kept") & ~F.col("same_id")).select(F.col("doc_id").alias("_lost_id"), F.col("digest").alias("_lost")).distinct()
+    lost = marked.where(~F.col("kept") & ~F.col("same_id")).select("doc_id", "digest").distinct()
     digest = F.unhex(F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256))
-    found = docs.withColumns({"_digest": digest, "_id": F.col("doc_id").cast("long")})
-    left = found.join(lost, (F.col("_digest") == F.col("_lost")) & F.col("_id").eqNullSafe(F.col("_lost_id")), "left_anti")
+    # rows are packed, so that no name of theirs can clash with the keys
+    packed = docs.select(F.struct("*").alias("row"), digest.alias("digest"), F.col("doc_id").cast("long").alias("doc_id"))
+    left = packed.join(lost, (packed["digest"] == lost["digest"]) & packed["doc_id"].eqNullSafe(lost["doc_id"]), "left_anti")
     if not marked.where(~F.col("kept") & F.col("same_id")).isEmpty():
-        left = left.dropDuplicates(["_digest", "_id"])
-    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+        left = left.dropDuplicates(["digest", "doc_id"])
+    return left.select("row.*")

@@ -11,11 +11,11 @@ from seqmesh.llm import exact_dedup, simhash
 from seqmesh.llm.components import connected_components, forest
 
 ROWS = [(1, "Same"), (2, "sAME"), (2, "same"), (3, "other"), (4, None), (5, ""), (None, "same"), (None, "lonely"), (6, "É"), (7, "é"), (3, "other"), (8, "x" * 100_000), (9, "X" * 100_000), (-5, "other")]
-SCHEMA = "doc_id long, text string, lang string, `digest` string, tag int, fp string, component_id int"
+SCHEMA = "doc_id long, text string, lang string, digest string, tag int, fp string, component_id int, kept string, first int, `row` string, keep_id int"
 
 
 def frame(spark, rows):
-    return spark.createDataFrame([(i, t, None, "clash", 1, "clash", 2) for i, t in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, None, "clash", 1, "clash", 2, "clash", 3, "clash", 4) for i, t in rows], SCHEMA)
 
 
 def lower(t):
@@ -41,6 +41,7 @@ def test_exact_groups(spark):
 def test_exact_keeps_one_row_each_with_all_columns(spark):
     got = exact_dedup.keep_winners(frame(spark, ROWS))
     assert got.columns == frame(spark, []).columns
+    assert {(r.digest, r.kept, r["row"], r.keep_id) for r in got.collect()} == {("clash", "clash", "clash", 4)}
     assert sorted((r.doc_id or -99, lower(r.text)[:5]) for r in got.collect()) == sorted([(2, b"same"), (3, b"other"), (5, b""), (-99, b"lonel"), (6, "É".encode()), (7, "é".encode()), (9, b"xxxxx")])
 
 
