@@ -29,11 +29,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqmesh.llm.byte_bpe import CACHE, Shared, Vocabulary, byte_letters
-from seqmesh.llm.common import documents, slices, texts
+from seqmesh.llm.common import documents, slices, state, texts
 from seqmesh.session import ship
 
 SHARD_IDS, LEAST, ROUNDS, STEP = 1 << 20, 8, 16, 1024
@@ -44,11 +44,11 @@ _SHARD = "part int, seq int, before long, n_ids long, image binary"
 def _replace(seq: np.ndarray, first: int, left: list, right: list) -> np.ndarray:
     """One round: new rules go to ``left`` and ``right``; the sequence with their pairs replaced."""
     a, b = seq[:-1], seq[1:]
-    h = (a * np.uint32(0x9E3779B1) ^ b * np.uint32(0x85EBCA77)) >> np.uint32(14)
+    h = ((a * np.uint32(0x9E3779B1) ^ b * np.uint32(0x85EBCA77)) >> np.uint32(14)).astype(np.intp)
     tally = np.bincount(h, minlength=_TABLE)
     # the floor leaves the pairs that cover most; at most a 128th of the hash's places goes on, or more where they tie
     floor = max(LEAST, int(np.partition(tally, -_TABLE // 128)[-_TABLE // 128]))
-    at = np.flatnonzero(tally[h] >= floor)
+    at = np.flatnonzero((tally >= floor)[h])
     place, x, y = h[at], a[at], b[at]
     # a place stands for one of its pairs, most likely the one that fills it; the others wait for a later round
     one, two = np.empty(_TABLE, dtype=np.uint32), np.empty(_TABLE, dtype=np.uint32)
@@ -192,19 +192,9 @@ class Known(dict):
             self.clear()
 
 
-_STATE: dict = {}
-
-
-def _known(shared: Shared) -> Known:
-    if shared.id not in _STATE:
-        _STATE.clear()
-        _STATE[shared.id] = Known(shared.value)
-    return _STATE[shared.id]
-
-
 def _write(shared: Shared, end: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _known(shared)
+        known = state(("shards", shared.id), lambda: Known(shared.value))
         v, get = known.vocabulary, known.__getitem__
         part, tail, first = TaskContext.get().partitionId(), np.array([end], dtype="<u4").tobytes(), max(v.size, end + 1)
         ids, lengths, held, size, seq, before = [], [], [], 0, 0, 0
@@ -237,10 +227,27 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end: int = 0) -> No
     spark = docs.sparkSession
     ship(spark)
     shared = Shared(spark, tokenizer)
-    dealt = documents(docs).repartitionByRange(F.col("doc_id").asc_nulls_first())
+    rows = documents(docs)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # where the ranges end comes from the ids alone, so that texts are read once
+    ends = rows.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 100 * parts)).first()[0] if parts > 1 else None
+    part = _steps("doc_id", sorted(set(ends or [])))
+    dealt = rows.repartitionById(parts, part)
     dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(_write(shared, end), _SHARD).write.option("compression", "zstd").parquet(path)
 
 
+def _steps(column: str, ends: list[int]) -> Column:
+    """How many of the ascending ``ends`` lie below the column, 0 for null, by bisection."""
+
+    def within(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(F.col(column) > ends[middle], within(middle + 1, high)).otherwise(within(low, middle))
+
+    return within(0, len(ends))
+
+
 def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for before, data in zip(b.column("before").to_pylist(), b.column("image").to_pylist(), strict=True):
