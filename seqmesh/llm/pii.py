@@ -218,9 +218,14 @@ def training_rows(spark: SparkSession) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r[1:] for r in got], dtype=float), np.array([answers[r[0]] for r in got], dtype=float)
 
 
-@functools.lru_cache(maxsize=1)
-def _model(key: int) -> tuple[list, float, float]:
-    return fit(*training_rows(SparkSession.getActiveSession()))
+_MODEL: list[tuple[list, float, float]] = []
+
+
+def _model(spark: SparkSession) -> tuple[list, float, float]:
+    """The trees, grown once a process; sentences and seed are fixed, so they are always the same."""
+    if not _MODEL:
+        _MODEL.append(fit(*training_rows(spark)))
+    return _MODEL[0]
 
 
 def _overlaps(a: Column, b: Column) -> Column:
@@ -229,8 +234,7 @@ def _overlaps(a: Column, b: Column) -> Column:
 
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, base and all: arrays of (start, rank, end, kind) in order; base kinds keep every span."""
-    spark = docs.sparkSession
-    model = _model(id(spark.sparkContext))
+    model = _model(docs.sparkSession)
 
     def spans_of(k: str) -> Column:
         return F.transform(F.col(k), lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(k)).alias("rank"), s["end"].alias("end"), F.lit(k).alias("kind")))
