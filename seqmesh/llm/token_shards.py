@@ -21,9 +21,11 @@ with equal doc_id follow one another in the order of their texts; empty tables g
 from __future__ import annotations
 
 import itertools
+import operator
 import os
-import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -46,8 +48,8 @@ def _replace(seq: np.ndarray, first: int, left: list, right: list) -> np.ndarray
     a, b = seq[:-1], seq[1:]
     h = ((a * np.uint32(0x9E3779B1) ^ b * np.uint32(0x85EBCA77)) >> np.uint32(14)).astype(np.intp)
     tally = np.bincount(h, minlength=_TABLE)
-    # the floor leaves the pairs that cover most; at most a 128th of the hash's places goes on, or more where they tie
-    floor = max(LEAST, int(np.partition(tally, -_TABLE // 128)[-_TABLE // 128]))
+    # the floor leaves the pairs that cover most; at most a 32nd of the hash's places goes on, or more where they tie
+    floor = max(LEAST, int(np.partition(tally, -_TABLE // 32)[-_TABLE // 32]))
     at = np.flatnonzero((tally >= floor)[h])
     place, x, y = h[at], a[at], b[at]
     # a place stands for one of its pairs, most likely the one that fills it; the others wait for a later round
@@ -163,6 +165,11 @@ def image(doc_ids: list, lengths: list[int], ids: np.ndarray, first: int) -> byt
     return b"RPR1" + b"".join(x.tobytes() for x in parts)
 
 
+_ID = operator.attrgetter("id")
+if array("I").itemsize != 4 or sys.byteorder != "little":
+    raise ImportError("shards are written from little-endian u32 arrays")
+
+
 class Known(dict):
     """The ids of pre-tokens as bytes, by the library's model, worked out when first met.
 
@@ -176,13 +183,16 @@ class Known(dict):
         self.vocabulary = v = Vocabulary(data)
         self.tokenize, self.older = Tokenizer.from_str(data.decode()).model.tokenize, {}
         self.letters = {b: ord(c) for c, b in byte_letters().items()}
+        self.space = chr(self.letters[32])
         self.special = {w: np.array([i], dtype="<u4").tobytes() for w, i in v.specials.items()}
 
     def __missing__(self, word: str) -> bytes:
         got = self.older.pop(word, None) or self.special.get(word)
         if got is None:
-            ids = [t.id for t in self.tokenize(word.encode().decode("latin-1").translate(self.letters))]
-            got = struct.pack(f"<{len(ids)}I", *ids)
+            # printable ASCII but the space stands for itself
+            plain = word.isascii() and word.isprintable()
+            letters = word.replace(" ", self.space) if plain else word.encode().decode("latin-1").translate(self.letters)
+            got = array("I", map(_ID, self.tokenize(letters))).tobytes()
         self[word] = got
         return got
 
