@@ -2,8 +2,9 @@
 
 Each round sends every node's larger neighbours to its smallest one and then all to the smallest; links end as stars
 whose centre is the component's smallest node. Rounds grow with the logarithm of the longest path. Minima are
-pre-aggregated, links are joined to them (a sort-merge join whose hot keys adaptive execution splits), and each round
-is a written table, so that no lineage grows and nothing is collected.
+pre-aggregated by the larger end, where keys are rarely hot; links are joined to them by sort-merge joins whose hot
+keys (centres of large stars) adaptive execution splits. Each step is a written table, so that no lineage grows and
+nothing is collected.
 """
 
 from __future__ import annotations
@@ -34,20 +35,16 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[up[moved]]
 
 
-def _both_ways(links: DataFrame) -> DataFrame:
-    return links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-
-
-def _star(links: DataFrame) -> DataFrame:
-    """Each (a, neighbour b) with the smallest of a and its neighbours."""
-    least = links.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return links.join(least, "a")
+def _least(links: DataFrame) -> DataFrame:
+    """(x, m): the smallest neighbour below x. Written, so that joins with it are dealt anew and hot keys can be split."""
+    return materialise(links.groupBy(F.col("a").alias("x")).agg(F.min("b").alias("m")), "least")
 
 
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, root): the root is the component's smallest node; only nodes that have a link, roots included.
 
-    ``links`` has long columns a and b, in any order, repeats allowed. Null ends and loops link nothing.
+    ``links`` has long columns a and b, in any order, repeats allowed. Null ends and loops link nothing. A link is
+    held as (larger, smaller) throughout.
     """
     now = links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now, before = materialise(now, "links"), None
@@ -56,8 +53,11 @@ def connected_components(links: DataFrame) -> DataFrame:
         if mark == before or not mark.n:
             break
         before = mark
-        large = _star(_both_ways(now)).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        small = _star(large).select("a", "b", "m")
+        # large star: what hangs on b moves to the smallest neighbour of b, if b has one below it
+        moved = now.join(_least(now), now["b"] == F.col("x"), "left").select("a", F.coalesce("m", "b").alias("b"))
+        large = materialise(moved.distinct(), "links")
+        # small star: of the neighbours below a, and a itself, all but the smallest move to the smallest
+        small = large.join(_least(large), large["a"] == F.col("x"))
         down = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b")))
         now = materialise(down.where("a != b").distinct(), "links")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
