@@ -34,12 +34,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqmesh.llm.byte_bpe import CACHE, Shared, Vocabulary, byte_letters
+from seqmesh.llm.byte_bpe import Shared, Vocabulary, byte_letters
 from seqmesh.llm.common import documents, slices, state, texts
 from seqmesh.session import ship
 
 SHARD_IDS, LEAST, ROUNDS, STEP = 1 << 20, 8, 16, 1024
 _TABLE = 1 << 18
+#: Pre-tokens of a generation that a worker remembers, about 200 bytes each.
+KNOWN = 800_000
 _SHARD = "part int, seq int, before long, n_ids long, image binary"
 
 
@@ -197,7 +199,7 @@ class Known(dict):
         return got
 
     def trim(self) -> None:
-        if len(self) > CACHE:
+        if len(self) > KNOWN:
             self.older = dict(self)
             self.clear()
 
