@@ -145,6 +145,33 @@ def test_paraphrases_need_their_answer():
         assert abs(share - best[-1, -1] / len(w)) < 1e-12
 
 
+@pytest.mark.parametrize("around", ["plain", "repeated", "rare"])
+def test_search_by_words_finds_what_brute_force_finds(around):
+    """A basis of zeros, so that no window is near by cosine: verbatim and paraphrased plants, against LCS at every window."""
+    r, text, items = bench(30, 6)
+    box = decontamination.Items(items, np.zeros((decontamination.DIMENSIONS, decontamination.RANK), dtype=np.float32))
+    fill = {"plain": text, "repeated": lambda n: "fal fal gim " * (n // 3), "rare": lambda n: " ".join(f"zz{r.random()}" for _ in range(n))}[around]
+    rows, whole = [], []
+    for k, (_, t) in enumerate(items):
+        w = t.split()
+        for keep in (1.0, 0.85, 0.7, 0.6, 0.5):
+            got = [x for i, x in enumerate(w) if r.random() < keep or i >= len(w) - 4 and keep < 0.85]
+            if keep == 0.7:
+                got = [y for x in got for y in (x, *fill(3).split()[: r.randrange(3)])]
+            rows.append(" ".join([fill(r.randrange(120)), *got, fill(r.randrange(120))]))
+            if keep == 1.0:
+                whole.append((len(rows) - 1, k))
+    found = {(i, k) for i, h in enumerate(box.search(rows, np.zeros((decontamination.DIMENSIONS, decontamination.RANK), dtype=np.float32))) for k in h}
+    want = set()
+    for i, t in enumerate(rows):
+        w = decontamination.words(t)
+        for k in range(len(items)):
+            n = len(box.words[k])
+            if any(box.leaked(k, w[max(0, f - n) : f + 32 + n])[0] for f in range(0, len(w), 16)):
+                want.add((i, k))
+    assert set(whole) <= want and len(want) > 2 * len(items) and found == want
+
+
 def test_nothing_to_search(spark):
     docs = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
