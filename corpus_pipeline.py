@@ -1,7 +1,8 @@
 """A corpus pipeline: each stage takes the documents that its predecessor kept.
 
 Toxicity drops documents whose score reaches one half; exact dedup keeps of equal texts the row with the largest
-doc_id; SimHash near-dedup keeps the smallest doc_id of each component; decontamination drops documents that hold a
+doc_id; SimHash near-dedup keeps the smallest doc_id of each component, linking texts a few bits apart and those whose
+five-word shingles have a Jaccard similarity of ``SIMILAR`` or more; decontamination drops documents that hold a
 benchmark item; the last stage encodes what is left and decodes it again.
 """
 
@@ -14,6 +15,9 @@ from seqmesh.llm import byte_bpe, decontamination, exact_dedup, simhash, toxicit
 from seqmesh.session import materialise, table
 
 
+SIMILAR = 0.8
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
@@ -23,7 +27,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_first(docs)
+    return simhash.keep_first(docs, SIMILAR)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,12 @@ chosen by N: three windows of 21-22 bits up to 2^26, ten of 25-26 bits up to 2^3
 entries are cut into blocks, and each pair of blocks becomes a bucket of its own; no bucket outgrows a task. A task
 sends on a spanning forest of the links it finds, never all pairs of a group.
 
+Four bits are a narrow radius for texts of ordinary length: of pairs whose five-word shingles have a Jaccard similarity
+of 0.8, most differ in more. Given ``jaccard``, ``near_duplicates`` and ``keep_first`` link those as well: min-hashes of
+the sets of ``WORDS``-word shingles, in bands of ``ROWS``, name the candidates (a pair at the very threshold is missed
+with a chance of at most ``MISS``), and each candidate is confirmed by the exact similarity of the two sets. Texts with
+the same set count as one. A band's bucket of m sets yields up to m(m-1)/2 pairs; only texts of candidates are read again.
+
 Defined results: null and empty texts (and texts of white space) have fingerprint zero and are linked like any other;
 texts of one to three words have one shingle; component_id is the smallest doc_id reachable, null only where all
 doc_ids of the component are null; repeated rows come out as often as they came in; empty tables give empty results.
@@ -23,6 +29,7 @@ doc_ids of the component are null; repeated rows come out as often as they came
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -36,6 +43,8 @@ from seqmesh.llm.components import connected_components, forest
 from seqmesh.session import materialise, ship
 
 SHINGLE, SEED, THRESHOLD = 4, 42, 4
+#: Words of a shingle of the Jaccard similarity, min-hashes of a band, and the chance to miss a pair at the threshold.
+WORDS, ROWS, MISS = 5, 4, 3e-5
 #: Entries of an anchor beyond which it is cut into blocks.
 CAP = 1 << 18
 #: Buckets up to this size are compared many at a time, larger ones by breadth-first search.
@@ -63,6 +72,38 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * (counts @ _BITS).ravel() > n).tobytes(), "big")
 
 
+def shingle_set(text: str, shingle: int = WORDS) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles; a shorter text is one shingle, one without words has none."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    line, digest = b" ".join(words), xxhash.xxh64_intdigest
+    ends = list(itertools.accumulate(map(len, words), lambda a, b: a + b + 1))
+    starts = itertools.chain((0,), (e + 1 for e in ends))
+    stops = ends[min(shingle, len(words)) - 1 :]
+    return np.unique(np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts, stops)), dtype=np.uint64, count=len(stops)))
+
+
+def bands(found: np.ndarray, jaccard: float) -> np.ndarray:
+    """The band keys of a set that isn't empty; sets as similar as ``jaccard`` share one but for a chance of ``MISS``."""
+    n = max(1, math.ceil(math.log(MISS) / math.log1p(-(jaccard**ROWS)))) if jaccard < 1 else 1
+    odd = np.random.default_rng(7).integers(0, 1 << 63, n * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(n * ROWS, (1 << 64) - 1, dtype=np.uint64)
+    for i in range(0, len(found), 1 << 12):
+        np.minimum(least, np.multiply.outer(odd, found[i : i + (1 << 12)]).min(axis=1), out=least)
+    key = np.arange(1, n + 1, dtype=np.uint64)
+    for column in least.reshape(n, ROWS).T:
+        key = (key ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(32)
+    return key
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """The Jaccard similarity of two sorted sets, not both empty."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
 def _fingerprints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
         got = np.array([fingerprint(x) for x in texts(b)], dtype=np.uint64)
@@ -75,6 +116,60 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return documents(docs).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
+_SKETCH = "doc_id long, fp long, key long, whole long, n long, bands array<long>"
+
+
+def _sketches(jaccard: float):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            rows = texts(b)
+            sets = [shingle_set(x) for x in rows]
+            fps = np.array([fingerprint(x) for x in rows], dtype=np.uint64)
+            whole = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], dtype=np.uint64)
+            keys = [bands(x, jaccard).view(np.int64) if len(x) else np.zeros(0, np.int64) for x in sets]
+            columns = [pa.array(fps.view(np.int64)), b.column("key"), pa.array(whole.view(np.int64)), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], ["doc_id", "fp", "key", "whole", "n", "bands"])
+
+    return run
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return documents(docs).withColumn("key", F.xxhash64("text"))
+
+
+def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches):
+        yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([shingle_set(x).tobytes() for x in texts(b)], pa.binary())], ["key", "found"])
+
+
+def _confirm(jaccard: float):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pairs = zip(b.column("x"), b.column("y"), strict=True)
+            near = pa.array([similarity(*(np.frombuffer(z.as_buffer(), dtype=np.uint64) for z in p)) >= jaccard for p in pairs], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(near), b.column("b").filter(near)], ["a", "b"])
+
+    return run
+
+
+def similar(docs: DataFrame, rows: DataFrame, jaccard: float) -> DataFrame:
+    """(a, b): fingerprints of texts whose sets of shingles are equal or at least as similar as ``jaccard``."""
+    some = rows.where("n > 0")
+    one = some.groupBy("whole").agg(F.min("fp").alias("fp"), F.min("key").alias("key"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    one = materialise(one, "sets")
+    same = some.select("whole", F.col("fp").alias("a")).join(one.select("whole", F.col("fp").alias("b")), "whole").where("a != b").select("a", "b")
+    ends = [one.select(F.explode("bands").alias("band"), F.col("fp").alias(i), F.col("key").alias(f"{i}_key"), F.col("n").alias(f"{i}_n")) for i in "ab"]
+    # texts with the same fingerprint are linked as it is; sizes further apart than the threshold can't reach it
+    may = (F.col("a_key") < F.col("b_key")) & (F.col("a") != F.col("b")) & (F.least("a_n", "b_n") >= F.lit(jaccard) * F.greatest("a_n", "b_n"))
+    pairs = materialise(ends[0].join(ends[1], "band").where(may).select("a", "b", "a_key", "b_key").distinct(), "candidates")
+    needed = pairs.select(F.col("a_key").alias("key")).union(pairs.select("b_key")).distinct()
+    found = _keyed(docs).join(needed, "key", "left_semi").dropDuplicates(["key"]).select("key", "text").mapInArrow(_sets, "key long, found binary")
+    found = materialise(found, "shingles")
+    x, y = (found.select(F.col("key").alias(f"{i}_key"), F.col("found").alias(c)) for i, c in ("ax", "by"))
+    near = pairs.join(x, "a_key").join(y, "b_key").select("a", "b", "x", "y").mapInArrow(_confirm(jaccard), "a long, b long")
+    return same.union(near)
+
+
 def windows(n: int) -> list[list[int]]:
     """The bit positions of each window for n distinct fingerprints; see the module's notes."""
     pieces, choose = (3, 1) if n <= 1 << 26 else (5, 2) if n <= 1 << 30 else (6, 3) if n <= 1 << 34 else (7, 4)
@@ -221,12 +316,14 @@ def links(classes: DataFrame, n: int) -> DataFrame:
     return dealt.repartition("anchor", "bi", "bj").sortWithinPartitions("anchor", "bi", "bj").mapInArrow(_compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """A row for each document: doc_id, fp, component_id."""
-    rows = materialise(fingerprints(docs), "fingerprints")
+def near_duplicates(docs: DataFrame, jaccard: float | None = None) -> DataFrame:
+    """A row for each document: doc_id, fp, component_id. With ``jaccard``, texts that similar are linked beside those few bits apart."""
+    ship(docs.sparkSession)
+    rows = materialise(fingerprints(docs) if jaccard is None else _keyed(docs).mapInArrow(_sketches(jaccard), _SKETCH), "fingerprints")
     classes = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     n = classes.count()
-    roots = connected_components(links(classes, n))
+    near = links(classes, n)
+    roots = connected_components(near if jaccard is None else near.union(similar(docs, rows, jaccard)))
     named = roots.join(classes.withColumnRenamed("fp", "node"), "node")
     least = named.groupBy("root").agg(F.min("rep").alias("least"))
     moved = named.join(least, "root").select(F.col("node").alias("fp"), "least")
@@ -235,13 +332,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(whole, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, jaccard: float | None = None) -> DataFrame:
     """``docs`` with one document of each component: the one whose doc_id is the component's id.
 
     Rows without a doc_id stay, for nothing tells them apart; of rows that repeat a doc_id, those of the component's
     id stay together. A doc_id that stands with several texts goes only if none of them is its component's first.
     """
-    rows = materialise(near_duplicates(docs).select("doc_id", "component_id"), "components")
+    rows = materialise(near_duplicates(docs, jaccard).select("doc_id", "component_id"), "components")
     first = rows.groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("first"))
     lost = first.where("first = 0").select("doc_id")
     return docs.join(lost, docs["doc_id"].cast("long") == lost["doc_id"], "left_anti")

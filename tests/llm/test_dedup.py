@@ -154,6 +154,40 @@ def test_near_duplicates(spark, monkeypatch, cap):
     assert sorted(x.doc_id for x in kept if x.doc_id is not None) == sorted(i for i in [*least.values()] for _ in range(sum(j == i for j, _ in rows)))
 
 
+def test_pipeline_stage_keeps_one_of_similar_texts(spark):
+    """Copies with a few words replaced, against brute force over five-word shingles."""
+    import corpus_pipeline
+
+    r = random.Random(21)
+    words = ["w%d" % i for i in range(3000)]
+    rows = [(5000, None), (5001, ""), (5002, "two words"), (5003, "Two  words")]
+    for i in range(80):
+        text = [r.choice(words) for _ in range(r.randint(40, 200))]
+        rows.append((i, " ".join(text)))
+        for k in range(2):
+            for _ in range(r.randint(1, 5)):
+                text[r.randrange(len(text))] = r.choice(words)
+            rows.append((100 + 10 * i + k, " ".join(text)))
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))})
+    fps = [slow_fingerprint(t) for _, t in rows]
+    up = list(range(len(rows)))
+    far = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            bits, alike = (fps[i] ^ fps[j]).bit_count() <= 4, len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8
+            far += alike and not bits
+            if bits or alike:
+                up = [up[j] if x == up[i] else x for x in up]
+    want = {}
+    for (i, _), g in zip(rows, up, strict=True):
+        want[g] = min(i, want.get(g, i))
+    kept = {x.doc_id for x in corpus_pipeline.simhash_stage(spark, frame(spark, rows), "").collect()}
+    assert far > 30 and kept == set(want.values())
+
+
 def test_near_duplicates_empty(spark):
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
     assert simhash.keep_first(frame(spark, [])).count() == 0
