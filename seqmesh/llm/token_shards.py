@@ -5,14 +5,15 @@ once a worker; a byte-level pre-token is encoded alike on its own). An end id fo
 ``SHARD_IDS`` ids make a shard, a shard is compressed on its own, and its image is one row of a table in the shared
 folder, so a lost executor costs the shards it was writing.
 
-Re-Pair: frequent pairs of neighbouring ids are replaced by nonterminals, round after round, until a round no longer
-pays. A round counts all pairs of the shard's sequence by a hash, takes the fullest places, counts one pair of each
-exactly, and replaces the occurrences of those met at least ``LEAST`` times from the left without overlap.
+Re-Pair: the most frequent pair of neighbouring ids is replaced by a nonterminal, again and again, until no pair of the
+shard's sequence occurs twice. Places are linked, so a replacement touches only its neighbours; pairs that tie and share
+no symbol are replaced together. Rules that only one rule uses are written out there.
 
-Image (little-endian): ``RPR1``, then eight longs: documents, ids, rules, symbols, first nonterminal, null doc_ids, and
-two spare; doc_ids (long); the documents' lengths (u32); for each rule its two symbols and its expansion length (u32);
-the sequence (u32); and for every ``STEP``-th symbol the ids before it (long). A reader finds an id by the documents'
-lengths, goes to the last step before it and expands only the symbols that it needs.
+Image (little-endian): ``RPR2``, then eight longs: documents, ids, rules, symbols, first nonterminal, null doc_ids,
+symbols of all rules, and a spare; doc_ids (long); the documents' lengths (u32); for each rule its number of symbols
+and its expansion length (u32); the rules' symbols (u32); the sequence (u32); and for every ``STEP``-th symbol the ids
+before it (long). A reader finds an id by the documents' lengths, goes to the last step before it and expands only the
+symbols that it needs.
 
 Defined results: null texts count as empty, an empty text is stored as the end id alone; null doc_ids come first; rows
 with equal doc_id follow one another in the order of their texts; empty tables give no shards and no rows.
@@ -20,6 +21,7 @@ with equal doc_id follow one another in the order of their texts; empty tables g
 
 from __future__ import annotations
 
+import heapq
 import itertools
 import operator
 import os
@@ -38,73 +40,198 @@ from seqmesh.llm.byte_bpe import Shared, Vocabulary, byte_letters
 from seqmesh.llm.common import documents, slices, state, texts
 from seqmesh.session import ship
 
-SHARD_IDS, LEAST, ROUNDS, STEP = 1 << 20, 8, 16, 1024
-_TABLE = 1 << 18
+SHARD_IDS, STEP = 1 << 20, 1024
 #: Pre-tokens of a generation that a worker remembers, about 200 bytes each.
 KNOWN = 800_000
 _SHARD = "part int, seq int, before long, n_ids long, image binary"
 
 
-def _replace(seq: np.ndarray, first: int, left: list, right: list) -> np.ndarray:
-    """One round: new rules go to ``left`` and ``right``; the sequence with their pairs replaced."""
-    a, b = seq[:-1], seq[1:]
-    h = ((a * np.uint32(0x9E3779B1) ^ b * np.uint32(0x85EBCA77)) >> np.uint32(14)).astype(np.intp)
-    tally = np.bincount(h, minlength=_TABLE)
-    # the floor leaves the pairs that cover most; at most a 32nd of the hash's places goes on, or more where they tie
-    floor = max(LEAST, int(np.partition(tally, -_TABLE // 32)[-_TABLE // 32]))
-    at = np.flatnonzero((tally >= floor)[h])
-    place, x, y = h[at], a[at], b[at]
-    # a place stands for one of its pairs, most likely the one that fills it; the others wait for a later round
-    one, two = np.empty(_TABLE, dtype=np.uint32), np.empty(_TABLE, dtype=np.uint32)
-    one[place], two[place] = x, y
-    same = (one[place] == x) & (two[place] == y)
-    at, place = at[same], place[same]
-    n = np.bincount(place, minlength=_TABLE)
-    often = n >= LEAST
-    code = (np.cumsum(often) - 1 + first + len(left)).astype(np.uint32)
-    hit = often[place]
-    at, new = at[hit], code[place[hit]]
-    if not len(at):
-        return seq
-    chain = np.flatnonzero(np.r_[True, np.diff(at) != 1])  # overlapping occurrences: every other one, from the left
-    odd = (np.arange(len(at)) - np.repeat(chain, np.diff(np.r_[chain, len(at)]))) & 1
-    at, new = at[odd == 0], new[odd == 0]
-    left.extend(one[often].tolist())
-    right.extend(two[often].tolist())
-    keep = np.ones(len(seq), dtype=bool)
-    keep[at + 1] = False
-    out = seq.copy()
-    out[at] = new
-    return out[keep]
-
-
-def grammar(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rules as rows of two symbols, expansion lengths, sequence) of uint32 ids below ``first``."""
-    left: list[int] = []
-    right: list[int] = []
-    seq = ids
-    for _ in range(ROUNDS):
-        if len(seq) < 2 * LEAST:
-            break
-        new = _replace(seq, first, left, right)
-        worth = len(seq) - len(new)
-        seq = new
-        if worth < 0.02 * len(seq):
-            break
-    rules = np.array([left, right], dtype=np.uint32).T.reshape(-1, 2)
-    length = np.ones(first + len(rules), dtype=np.int64)
-    for k, (a, b) in enumerate(rules.tolist()):
-        length[first + k] = length[a] + length[b]
-    return rules, length[first:].astype(np.uint32), seq
+def _firsts(x: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values begin."""
+    new = np.ones(len(x), dtype=bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of ``size`` numbers each, one range after another."""
+    end = np.cumsum(size)
+    return np.repeat(start - (end - size), size) + np.arange(end[-1] if len(end) else 0)
+
+
+class _Occurrences:
+    """A sequence as linked places, and its pairs that were met twice or more: how often they still are, and where.
+
+    A pair holds the younger of its two symbols from the moment that symbol is made, so all of its places are known
+    then and only grow fewer; a place counts for a pair while ``pair`` says so.
+    """
+
+    def __init__(self, ids: np.ndarray):
+        n = len(ids)
+        self.n, self.symbol = n, ids.astype(np.int32)
+        self.after, self.before = np.arange(1, n + 1), np.arange(-1, n)
+        #: bits of a symbol and of a place
+        self.wide, self.deep = (int(ids.max(initial=0)) + n).bit_length(), n.bit_length()
+        self.alive = np.ones(n, dtype=bool)
+        #: by place: the pair that begins there, 0 for none and for pairs that occur once
+        self.pair = np.zeros(n + 1, dtype=np.int32)
+        # a replacement makes at most two new neighbourhoods, and there are fewer than n replacements
+        self.where, self.held = np.empty(3 * n, dtype=np.int64), 0
+        self.start, self.size, self.count = (np.zeros(2 + 3 * n // 2, dtype=x) for x in (np.int64, np.int32, np.int32))
+        self.pairs = 1
+        self.owner = np.full(n + 1, -1, dtype=np.int32)
+
+    def add(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Take up the pairs that begin at these ascending places: (pairs met more than once, how often)."""
+        key = self.symbol[at].astype(np.int64) << self.wide | self.symbol[self.after[at]]
+        if 2 * self.wide + self.deep < 64:  # sorting numbers is faster than sorting their places
+            key = np.sort(key << self.deep | at)
+            at = key & ((1 << self.deep) - 1)
+            key >>= self.deep
+        else:
+            order = np.argsort(key, kind="stable")
+            key, at = key[order], at[order]
+        first = _firsts(key)
+        size = np.diff(first, append=len(key))
+        often = size > 1
+        new = np.arange(self.pairs, self.pairs + int(often.sum()))
+        name = np.zeros(len(size), dtype=np.int32)
+        name[often] = new
+        self.pair[at] = np.repeat(name, size)
+        at, size = at[np.repeat(often, size)], size[often]
+        self.where[self.held : self.held + len(at)] = at
+        self.start[new], self.size[new], self.count[new] = self.held + np.cumsum(size) - size, size, size
+        self.held, self.pairs = self.held + len(at), self.pairs + len(new)
+        return new, size
+
+    def places(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places, whose they are as an index into ``pairs``, how many each has), from the left and without overlap."""
+        size = self.size[pairs]
+        at = self.where[_ranges(self.start[pairs], size)]
+        who = np.repeat(np.arange(len(pairs)), size)
+        now = self.pair[at] == pairs[who]
+        at, who = at[now], who[now]
+        joined = (self.after[at[:-1]] == at[1:]) & (who[:-1] == who[1:])
+        if joined.any():  # runs of one symbol: every other place
+            run = np.flatnonzero(np.r_[True, ~joined])
+            odd = (np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))) & 1
+            at, who = at[odd == 0], who[odd == 0]
+        return at, who, np.bincount(who, minlength=len(pairs))
+
+    def apart(self, pairs: np.ndarray, at: np.ndarray, who: np.ndarray) -> np.ndarray:
+        """Which of the pairs to replace now, so that no two of them share a symbol of the sequence; the others wait."""
+        wait = np.zeros(len(pairs), dtype=bool)
+        if len(pairs) > 1:
+            self.owner[at] = who
+            other = self.owner[self.after[at]]
+            meet = other >= 0
+            x, y = who[meet], other[meet]
+            # in the order of a hash, so that a long repeat is halved again and again instead of growing by one symbol
+            turn = pairs * 0x9E3779B1 & 0xFFFFFFFF
+            wait[np.where(turn[x] > turn[y], x, y)] = True
+            self.owner[at] = -1
+        return ~wait
+
+    def replace(self, at: np.ndarray, new: np.ndarray) -> np.ndarray:
+        """Put symbols ``new`` in the place of the pairs at ``at``; the places whose pairs are new."""
+        gone = self.after[at]
+        following = self.after[gone]
+        self.symbol[at], self.after[at], self.before[following] = new, following, at
+        self.alive[gone] = False
+        left = self.before[at]
+        left = left[left >= 0]
+        self.owner[at] = 0
+        touched = np.sort(np.concatenate([at, left[self.owner[left] < 0]]))
+        self.owner[at] = -1
+        np.subtract.at(self.count, np.concatenate([self.pair[gone], self.pair[touched]]).astype(np.intp), np.int32(1))
+        self.pair[gone] = self.pair[touched] = 0
+        return touched[self.after[touched] < self.n]
+
+
+def repair(ids: np.ndarray, first: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Re-Pair to its end: (rules as rows of two symbols, in steps, sequence). No pair of the sequence occurs twice without overlap.
+
+    Pairs wait by how often they were last known to occur; the fullest are looked at first. Of those that tie, all that
+    share no symbol are replaced at once, which is what replacing them one after another gives.
+    """
+    found = _Occurrences(ids)
+    levels: dict[int, list[np.ndarray]] = {}
+    heap: list[int] = []
+
+    def wait(pairs: np.ndarray, often: np.ndarray) -> None:
+        pairs, often = pairs[often > 1], often[often > 1]
+        order = np.argsort(often, kind="stable")
+        pairs, often = pairs[order], often[order]
+        cut = [0, *(np.flatnonzero(often[1:] != often[:-1]) + 1).tolist(), len(often)] if len(often) else []
+        for i, j in itertools.pairwise(cut):
+            n = int(often[i])
+            if n not in levels:
+                levels[n] = []
+                heapq.heappush(heap, -n)
+            levels[n].append(pairs[i:j])
+
+    wait(*found.add(np.arange(len(ids) - 1)))
+    rules: list[np.ndarray] = []
+    made = first
+    while heap:
+        level = -heapq.heappop(heap)
+        pairs = np.concatenate(levels.pop(level))
+        while len(pairs):
+            often = found.count[pairs].astype(np.int64)
+            wait(pairs[often < level], often[often < level])
+            pairs = pairs[often >= level]
+            at, who, often = found.places(pairs)
+            now = often >= level
+            if not now.all():
+                wait(pairs[~now], often[~now])
+                at, who = at[now[who]], (np.cumsum(now) - 1)[who[now[who]]]
+                pairs = pairs[now]
+            if not len(pairs):
+                break
+            now = found.apart(pairs, at, who)
+            left, pairs = pairs[~now], pairs[now]
+            at, who = at[now[who]], (np.cumsum(now) - 1)[who[now[who]]]
+            some = at[_firsts(who)]
+            rules.append(np.stack([found.symbol[some], found.symbol[found.after[some]]], axis=1))
+            touched = found.replace(at, made + who)
+            found.count[pairs] = 0
+            made += len(pairs)
+            wait(*found.add(touched))
+            pairs = left
+    return rules, found.symbol[found.alive]
+
+
+def grammar(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rules' symbols laid end to end, symbols of each rule, expansion lengths, sequence) of uint32 ids below ``first``.
+
+    A rule that only one other rule uses is written out there, so every rule is used twice or more.
+    """
+    steps, seq = repair(ids, first)
+    rules = np.concatenate([np.zeros((0, 2), dtype=np.int64), *steps])
+    size, made = np.ones(first + len(rules), dtype=np.int64), first
+    for step in steps:  # a step's rules are made of earlier symbols
+        size[made : made + len(step)] = size[step].sum(axis=1)
+        made += len(step)
+    once = np.bincount(np.concatenate([rules.ravel(), seq]), minlength=len(size)) < 2
+    once[:first] = False
+    kept = np.flatnonzero(~once[first:])
+    flat, rule = rules[kept].ravel(), np.repeat(np.arange(len(kept)), 2)
+    while (inner := once[flat]).any():
+        at = np.cumsum(1 + inner) - 1 - inner
+        below = rules[flat[inner] - first]
+        flat, rule = np.repeat(flat, 1 + inner), np.repeat(rule, 1 + inner)
+        flat[at[inner]], flat[at[inner] + 1] = below.T
+    name = np.cumsum(~once) - 1
+    return name[flat].astype(np.uint32), np.bincount(rule, minlength=len(kept)).astype(np.uint32), size[first + kept].astype(np.uint32), name[seq].astype(np.uint32)
 
 
 class Shard:
     """A reader of one image."""
 
     def __init__(self, image: bytes):
-        if image[:4] != b"RPR1":
+        if image[:4] != b"RPR2":
             raise ValueError("not a token shard")
-        docs, self.n_ids, rules, symbols, self.first, self.nulls = np.frombuffer(image, "<i8", 8, 4)[:6].tolist()
+        docs, self.n_ids, rules, symbols, self.first, self.nulls, written = np.frombuffer(image, "<i8", 8, 4)[:7].tolist()
         at = 68
 
         def take(kind: str, n: int) -> np.ndarray:
@@ -114,32 +241,31 @@ class Shard:
             return x
 
         self.doc_ids, self.lengths = take("<i8", docs), take("<u4", docs).astype(np.int64)
-        self.rules, self.sizes = take("<u4", 2 * rules).reshape(-1, 2), take("<u4", rules).astype(np.int64)
+        self.counts, self.sizes, self.bodies = take("<u4", rules).astype(np.int64), take("<u4", rules).astype(np.int64), take("<u4", written)
         self.seq, self.steps = take("<u4", symbols), take("<i8", (symbols + STEP - 1) // STEP)
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self._flat: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
-
-    def _expansions(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All symbols written out one after another, where each begins, and its length. A rule needs only earlier ones."""
-        if self._flat is None:
-            size = np.r_[np.ones(self.first, dtype=np.int64), self.sizes]
-            begin = np.cumsum(size) - size
-            flat = np.empty(int(size.sum()), dtype=np.uint32)
-            flat[: self.first] = np.arange(self.first)
-            starts, sizes, at = begin.tolist(), size.tolist(), self.first
-            for a, b in self.rules.tolist():
-                for x in (a, b):
-                    n = sizes[x]
-                    flat[at : at + n] = flat[starts[x] : starts[x] + n]
-                    at += n
-            self._flat = flat, begin, size
-        return self._flat
+        self.begin = np.cumsum(self.counts) - self.counts
+        before = np.cumsum(self._size(self.bodies)) - self._size(self.bodies)
+        #: ids between a rule's first id and those of each symbol of its body
+        self.inside = before - np.repeat(before[self.begin], self.counts) if rules else before
+
+    def _size(self, seq: np.ndarray) -> np.ndarray:
+        """The ids that each symbol stands for."""
+        out, rule = np.ones(len(seq), dtype=np.int64), seq >= self.first
+        out[rule] = self.sizes[seq[rule].astype(np.int64) - self.first]
+        return out
 
     def expand(self, seq: np.ndarray) -> np.ndarray:
-        flat, begin, size = self._expansions()
-        n = size[seq]
-        end = np.cumsum(n)
-        return flat[np.repeat(begin[seq] - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
+        """The ids of a run of symbols: each is put where it belongs, rule by rule downwards."""
+        size = self._size(seq)
+        out, at = np.empty(int(size.sum()), dtype=np.uint32), np.cumsum(size) - size
+        while len(seq):
+            rule = seq >= self.first
+            out[at[~rule]] = seq[~rule]
+            k = seq[rule].astype(np.int64) - self.first
+            body = _ranges(self.begin[k], self.counts[k])
+            seq, at = self.bodies[body], np.repeat(at[rule], self.counts[k]) + self.inside[body]
+        return out
 
     def read(self, start: int, n: int) -> np.ndarray:
         """Ids start..start+n-1 of the shard, without expanding the rest."""
@@ -157,14 +283,14 @@ class Shard:
 
 def image(doc_ids: list, lengths: list[int], ids: np.ndarray, first: int) -> bytes:
     """A shard's image of these documents; ids must be below ``first``."""
-    rules, sizes, seq = grammar(ids, first)
+    bodies, counts, sizes, seq = grammar(ids, first)
     size = np.ones(len(seq), dtype=np.int64)
     size[seq >= first] = sizes[seq[seq >= first].astype(np.int64) - first]
     before = np.cumsum(size) - size
     nulls = sum(d is None for d in doc_ids)  # they come first
-    head = np.array([len(doc_ids), len(ids), len(rules), len(seq), first, nulls, 0, 0], dtype="<i8")
-    parts = (head, np.array([d or 0 for d in doc_ids], dtype="<i8"), np.array(lengths, dtype="<u4"), rules.astype("<u4"), sizes.astype("<u4"), seq.astype("<u4"), before[::STEP].astype("<i8"))
-    return b"RPR1" + b"".join(x.tobytes() for x in parts)
+    head = np.array([len(doc_ids), len(ids), len(counts), len(seq), first, nulls, len(bodies), 0], dtype="<i8")
+    parts = (head, np.array([d or 0 for d in doc_ids], dtype="<i8"), np.array(lengths, dtype="<u4"), counts.astype("<u4"), sizes.astype("<u4"), bodies.astype("<u4"), seq.astype("<u4"), before[::STEP].astype("<i8"))
+    return b"RPR2" + b"".join(x.tobytes() for x in parts)
 
 
 _ID = operator.attrgetter("id")

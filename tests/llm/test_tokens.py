@@ -110,15 +110,76 @@ def test_grammar_random_access():
     ids[20_000:21_000] = 5
     lengths = [10_000, 0, 25_000, 5_000]
     s = token_shards.Shard(token_shards.image([None, 3, 4, 5], lengths, ids, 1000))
-    assert len(s.seq) < 0.7 * len(ids) and len(s.rules) and s.nulls == 1
+    assert len(s.seq) < 0.7 * len(ids) and len(s.counts) and s.nulls == 1
     assert (s.read(0, s.n_ids) == ids).all()
     for at in (0, 1, 999, 5017, 20_500, 39_990):
         assert (s.read(at, 37) == ids[at : at + 37]).all()
     edge = np.r_[0, np.cumsum(lengths)]
     for k in range(4):
         assert (s.document(k) == ids[edge[k] : edge[k + 1]]).all()
-    # every rule stands for the two symbols it was made from
-    length = np.r_[np.ones(1000, dtype=int), s.sizes]
-    assert all(length[1000 + k] == length[a] + length[b] for k, (a, b) in enumerate(s.rules.tolist()))
+    assert sorted(s._size(s.bodies[b : b + n]).sum() for b, n in zip(s.begin, s.counts)) == sorted(s.sizes.tolist())
     with pytest.raises(ValueError, match="not a token shard"):
         token_shards.Shard(b"nope")
+
+
+def overlapfree(seq):
+    """How often each pair stands in a sequence, counted from the left without overlap."""
+    count, last = {}, {}
+    for i, p in enumerate(zip(seq, seq[1:])):
+        if last.get(p) != i - 1 or p[0] != p[1]:
+            count[p], last[p] = count.get(p, 0) + 1, i
+    return count
+
+
+def plain_repair(seq, first):
+    """Re-Pair by recounting everything for each rule: (how often each rule's pair occurred, rules, sequence)."""
+    seq, often, rules = list(seq), [], []
+    while True:
+        count = overlapfree(seq)
+        best = max(count, key=count.get, default=None)
+        if best is None or count[best] < 2:
+            return often, rules, seq
+        out, i = [], 0
+        while i < len(seq):
+            if tuple(seq[i : i + 2]) == best:
+                out.append(first + len(rules))
+                i += 2
+            else:
+                out.append(seq[i])
+                i += 1
+        often.append(count[best])
+        rules.append(best)
+        seq = out
+
+
+@pytest.mark.parametrize("kind", ["words", "runs", "copies", "few", "empty", "one"])
+def test_repair_against_a_plain_one(kind):
+    r = np.random.default_rng(len(kind))
+    ids = {
+        "words": r.zipf(1.4, 2000).clip(1, 60),
+        "runs": np.repeat(r.integers(0, 4, 300), r.integers(1, 9, 300)),
+        "copies": np.tile(r.integers(0, 500, 150), 12),
+        "few": r.integers(0, 3, 800),
+        "empty": np.zeros(0),
+        "one": np.zeros(1),
+    }[kind].astype(np.uint32)
+    often, rules, seq = plain_repair(ids.tolist(), 1000)
+    steps, got = token_shards.repair(ids, 1000)
+    made = [tuple(p) for step in steps for p in step.tolist()]
+    # to the end: nothing is left to replace
+    assert max(overlapfree(got.tolist()).values(), default=0) < 2
+    # the fullest pair first: the first rule is one of the most frequent, and the grammar is as small as the plain one
+    if rules:
+        assert overlapfree(ids.tolist())[made[0]] == often[0]
+    assert len(got) + 2 * len(made) <= 1.03 * (len(seq) + 2 * len(rules)) + 8
+    flat, counts, sizes, name = token_shards.grammar(ids, 1000)
+    uses = np.bincount(np.concatenate([flat, name]), minlength=1000)[1000:]
+    assert len(uses) == len(counts) and (uses >= 2).all() and (counts >= 2).all()
+    s = token_shards.Shard(token_shards.image([1], [len(ids)], ids, 1000))
+    assert (s.read(0, len(ids)) == ids).all()
+
+
+def test_repair_halves_long_repeats():
+    ids = np.tile(np.arange(4096, dtype=np.uint32), 2)
+    steps, seq = token_shards.repair(ids, 4096)
+    assert len(seq) == 2 and len(steps) < 100
