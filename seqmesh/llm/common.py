@@ -31,6 +31,22 @@ def give_back() -> None:
         trim(0)
 
 
+#: A key with more than one in this many of all rows is hot, so there are fewer hot keys than this.
+HOT = 1000
+
+
+def join_whole(rows: DataFrame, whole: DataFrame, key: str, n: int) -> DataFrame:
+    """``rows`` (``n`` of them, a written table) joined to ``whole``, a written table with one row for each key.
+
+    Column ``often`` of ``whole`` says how many rows have the key. Hot keys, at most ``HOT``, are broadcast, so that
+    their rows stay where they are; the others' rows meet by a shuffle.
+    """
+    often = F.col("often") > n // HOT
+    hot, cold = F.broadcast(whole.where(often).drop("often")), whole.where(~often).drop("often")
+    rest = rows.join(hot.select(key), key, "left_anti").join(cold, key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 _STATE: dict = {}
 
 

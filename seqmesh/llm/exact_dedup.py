@@ -8,7 +8,8 @@ comparing all bytes and never by the hash alone.
 
 ``Probe``: incoming rows are grouped by digest before the shuffle. Members of the index are merged into their slot;
 nonmembers stay groups of their own. No text is shuffled, and a digest sends one row a map task, however many copies
-it has. Shards hold about ``SHARD_ROWS`` distinct digests, and SHA-256 prefixes spread them evenly.
+it has. Shards hold about ``SHARD_ROWS`` distinct digests, and SHA-256 prefixes spread them evenly. Rows meet their
+group by a shuffle of digests, or, for digests that a thousandth of all rows share, by a broadcast of those groups.
 
 Defined results: null text counts as empty; texts are equal when they agree after lower-casing A-Z only; of a group
 the row with the largest doc_id stays, a null doc_id being smaller than any other; if that doc_id occurs several times
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqmesh.llm.common import ascii_lower, documents
+from seqmesh.llm.common import ascii_lower, documents, join_whole
 from seqmesh.session import materialise, ship
 
 #: Distinct digests a shard is planned for: about 11 MB of slots.
@@ -189,8 +190,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     shards = max(1, math.ceil(n / SHARD_ROWS))
     early = F.coalesce(F.col("doc_id") < ((low or 0) + (high or 0)) // 2, F.lit(False))
     index = materialise(build_index(rows.where(early), shards), "perfect-hash")
-    groups = probe(index, rows.where(~early), shards)
-    return rows.join(groups, "digest").select(
+    groups = materialise(probe(index, rows.where(~early), shards).withColumn("often", F.col("group_size")), "groups")
+    return join_whole(rows, groups, "digest", n).select(
         "doc_id", "keep_id", "group_size", (F.col("tag") == F.col("keep_tag")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "tag"
     )
 

@@ -19,7 +19,8 @@ Four bits are a narrow radius for texts of ordinary length: of pairs whose five-
 of 0.8, most differ in more. Given ``jaccard``, ``near_duplicates`` and ``keep_first`` link those as well: min-hashes of
 the sets of ``WORDS``-word shingles, in bands of ``ROWS``, name the candidates (a pair at the very threshold is missed
 with a chance of at most ``MISS``), and each candidate is confirmed by the exact similarity of the two sets. Texts with
-the same set count as one. A band's bucket of m sets yields up to m(m-1)/2 pairs; only texts of candidates are read again.
+the same set count as one. Of a band's bucket only pairs that may still join two components are compared, see
+``similar``; only texts of candidates are read again.
 
 Defined results: null and empty texts (and texts of white space) have fingerprint zero and are linked like any other;
 texts of one to three words have one shingle; component_id is the smallest doc_id reachable, null only where all
@@ -38,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqmesh.llm.common import documents, slices, texts
+from seqmesh.llm.common import documents, join_whole, slices, texts
 from seqmesh.llm.components import connected_components, forest
 from seqmesh.session import materialise, ship
 
@@ -152,22 +153,50 @@ def _confirm(jaccard: float):
     return run
 
 
-def similar(docs: DataFrame, rows: DataFrame, jaccard: float) -> DataFrame:
-    """(a, b): fingerprints of texts whose sets of shingles are equal or at least as similar as ``jaccard``."""
-    some = rows.where("n > 0")
-    one = some.groupBy("whole").agg(F.min("fp").alias("fp"), F.min("key").alias("key"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    one = materialise(one, "sets")
-    same = some.select("whole", F.col("fp").alias("a")).join(one.select("whole", F.col("fp").alias("b")), "whole").where("a != b").select("a", "b")
-    ends = [one.select(F.explode("bands").alias("band"), F.col("fp").alias(i), F.col("key").alias(f"{i}_key"), F.col("n").alias(f"{i}_n")) for i in "ab"]
-    # texts with the same fingerprint are linked as it is; sizes further apart than the threshold can't reach it
-    may = (F.col("a_key") < F.col("b_key")) & (F.col("a") != F.col("b")) & (F.least("a_n", "b_n") >= F.lit(jaccard) * F.greatest("a_n", "b_n"))
-    pairs = materialise(ends[0].join(ends[1], "band").where(may).select("a", "b", "a_key", "b_key").distinct(), "candidates")
+def _confirmed(docs: DataFrame, pairs: DataFrame, jaccard: float) -> DataFrame:
+    """(a, b) of the candidate pairs (a, b, a_key, b_key) whose sets are at least as similar as ``jaccard``."""
     needed = pairs.select(F.col("a_key").alias("key")).union(pairs.select("b_key")).distinct()
     found = _keyed(docs).join(needed, "key", "left_semi").dropDuplicates(["key"]).select("key", "text").mapInArrow(_sets, "key long, found binary")
     found = materialise(found, "shingles")
     x, y = (found.select(F.col("key").alias(f"{i}_key"), F.col("found").alias(c)) for i, c in ("ax", "by"))
     near = pairs.join(x, "a_key").join(y, "b_key").select("a", "b", "x", "y").mapInArrow(_confirm(jaccard), "a long, b long")
-    return same.union(near)
+    return materialise(near, "similar")
+
+
+def similar(docs: DataFrame, rows: DataFrame, near: DataFrame, jaccard: float) -> DataFrame:
+    """(node, root): components of ``near`` and of the texts whose sets of shingles are equal or at least as similar as ``jaccard``.
+
+    A band's bucket is a group of any size, so its pairs are not written out. First every member meets the bucket's
+    head. In a bucket of near copies that links all; what is left are pairs across components, and of those each
+    member outside the bucket's largest component meets the others.
+    """
+    some = rows.where("n > 0")
+    one = some.groupBy("whole").agg(F.min("fp").alias("fp"), F.min("key").alias("key"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    one = materialise(one, "sets")
+    same = some.select("whole", F.col("fp").alias("a")).distinct().join(one.select("whole", F.col("fp").alias("b")), "whole").where("a != b").select("a", "b")
+    member = F.struct("key", "fp", "n")
+    bands = one.select(F.explode("bands").alias("band"), member.alias("y"))
+    heads = bands.groupBy("band").agg(F.min("y").alias("x"), F.count(F.lit(1)).alias("m")).where("m > 1").select("band", "x")
+    buckets = materialise(bands.join(heads, "band").where("y.key != x.key"), "buckets")
+
+    def candidates(met: DataFrame) -> DataFrame:
+        # texts with the same fingerprint are linked as it is; sizes further apart than the threshold can't reach it
+        may = (F.col("x.fp") != F.col("y.fp")) & (F.least("x.n", "y.n") >= F.lit(jaccard) * F.greatest("x.n", "y.n"))
+        return met.where(may).select(*[F.col(f"{c}.{f}").alias(n) for c, f, n in (("x", "fp", "a"), ("y", "fp", "b"), ("x", "key", "a_key"), ("y", "key", "b_key"))]).distinct()
+
+    first = _confirmed(docs, materialise(candidates(buckets), "candidates"), jaccard)
+    roots = materialise(connected_components(near.union(same).union(first)), "roots")
+    all_ = buckets.select("band", "y").union(buckets.select("band", F.col("x").alias("y")).distinct()).withColumn("node", F.col("y.fp"))
+    named = materialise(all_.join(roots, "node", "left").select("band", "y", F.coalesce("root", "node").alias("root")), "named")
+    top = named.groupBy("band", "root").count().groupBy("band").agg(F.max(F.struct("count", "root")).alias("top"), F.count(F.lit(1)).alias("kinds"))
+    mixed = materialise(named.join(top.where("kinds > 1").select("band", F.col("top.root").alias("top")), "band"), "mixed")
+    if mixed.isEmpty():
+        return roots
+    x, y = (mixed.select("band", "top", F.col("y").alias(c), F.col("root").alias(f"{c}_root")) for c in "xy")
+    once = (F.col("y_root") == F.col("top")) | (F.col("x.key") < F.col("y.key"))
+    across = x.where("x_root != top").join(y.drop("top"), "band").where((F.col("x_root") != F.col("y_root")) & once)
+    rest = _confirmed(docs, materialise(candidates(across), "candidates"), jaccard)
+    return roots if rest.isEmpty() else connected_components(rest.union(roots))
 
 
 def windows(n: int) -> list[list[int]]:
@@ -320,16 +349,15 @@ def near_duplicates(docs: DataFrame, jaccard: float | None = None) -> DataFrame:
     """A row for each document: doc_id, fp, component_id. With ``jaccard``, texts that similar are linked beside those few bits apart."""
     ship(docs.sparkSession)
     rows = materialise(fingerprints(docs) if jaccard is None else _keyed(docs).mapInArrow(_sketches(jaccard), _SKETCH), "fingerprints")
-    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    n = classes.count()
+    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("often"))
+    n, total = classes.agg(F.count(F.lit(1)), F.coalesce(F.sum("often"), F.lit(0))).first()
     near = links(classes, n)
-    roots = connected_components(near if jaccard is None else near.union(similar(docs, rows, jaccard)))
+    roots = connected_components(near) if jaccard is None else similar(docs, rows, near, jaccard)
     named = roots.join(classes.withColumnRenamed("fp", "node"), "node")
     least = named.groupBy("root").agg(F.min("rep").alias("least"))
     moved = named.join(least, "root").select(F.col("node").alias("fp"), "least")
-    # written, so that both sides of the last join are dealt anew and its hot keys can be split
-    whole = materialise(classes.join(moved, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id")), "classes")
-    return rows.join(whole, "fp").select("doc_id", "fp", "component_id")
+    whole = materialise(classes.join(moved, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"), "often"), "classes")
+    return join_whole(rows.select("doc_id", "fp"), whole, "fp", total).select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, jaccard: float | None = None) -> DataFrame:

@@ -168,6 +168,12 @@ def test_pipeline_stage_keeps_one_of_similar_texts(spark):
             for _ in range(r.randint(1, 5)):
                 text[r.randrange(len(text))] = r.choice(words)
             rows.append((100 + 10 * i + k, " ".join(text)))
+    # drifting copies: a bucket's head is similar to some of its members only
+    for i in range(3):
+        text = [r.choice(words) for _ in range(120)]
+        for k in range(40):
+            rows.append((2000 + 100 * i + k, " ".join(text)))
+            text[r.randrange(len(text))] = r.choice(words)
     sets = []
     for _, t in rows:
         w = (t or "").lower().split()
