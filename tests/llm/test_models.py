@@ -127,7 +127,7 @@ def test_leaks_are_found_and_clean_documents_left_alone(spark):
 
 def test_paraphrases_need_their_answer():
     r, text, items = bench(6, 4)
-    basis = np.zeros((decontamination.DIMENSIONS, decontamination.RANK), dtype=np.float32)
+    basis = np.zeros((decontamination.DIMENSIONS + 1, decontamination.RANK), dtype=np.float32)
     box = decontamination.Items(items, basis)
     for k, (_, t) in enumerate(items):
         w = decontamination.words(t)
@@ -149,7 +149,7 @@ def test_paraphrases_need_their_answer():
 def test_search_by_words_finds_what_brute_force_finds(around):
     """A basis of zeros, so that no window is near by cosine: verbatim and paraphrased plants, against LCS at every window."""
     r, text, items = bench(30, 6)
-    box = decontamination.Items(items, np.zeros((decontamination.DIMENSIONS, decontamination.RANK), dtype=np.float32))
+    box = decontamination.Items(items, np.zeros((decontamination.DIMENSIONS + 1, decontamination.RANK), dtype=np.float32))
     fill = {"plain": text, "repeated": lambda n: "fal fal gim " * (n // 3), "rare": lambda n: " ".join(f"zz{r.random()}" for _ in range(n))}[around]
     rows, whole = [], []
     for k, (_, t) in enumerate(items):
@@ -161,7 +161,7 @@ def test_search_by_words_finds_what_brute_force_finds(around):
             rows.append(" ".join([fill(r.randrange(120)), *got, fill(r.randrange(120))]))
             if keep == 1.0:
                 whole.append((len(rows) - 1, k))
-    found = {(i, k) for i, h in enumerate(box.search(rows, np.zeros((decontamination.DIMENSIONS, decontamination.RANK), dtype=np.float32))) for k in h}
+    found = {(i, k) for i, h in enumerate(box.search(rows, np.zeros((decontamination.DIMENSIONS + 1, decontamination.RANK), dtype=np.float32))) for k in h}
     want = set()
     for i, t in enumerate(rows):
         w = decontamination.words(t)
@@ -172,6 +172,40 @@ def test_search_by_words_finds_what_brute_force_finds(around):
     assert set(whole) <= want and len(want) > 2 * len(items) and found == want
 
 
+def test_paraphrases_end_to_end(spark):
+    """The whole operator against the LCS at every window: plants with words replaced, dropped and put in, and short items."""
+    r, text, items = bench(24, 12)
+    short = [(100, "Zorb plinth"), (101, "quorl"), (102, "fal gim fal jorwex!")]
+    rows = []
+    for k, (_, t) in enumerate(items):
+        w = t.split()
+        for change in (0.0, 0.2, 0.3, 0.35, 0.5):
+            got = [text(1) if r.random() < change and i < len(w) - 4 else x for i, x in enumerate(w)]
+            if k % 3 == 1:
+                got = [y for x in got for y in ([x, text(1)] if r.random() < 0.15 else [x])]
+            rows.append(" ".join([text(r.randrange(1, 90)), *got, text(r.randrange(1, 90))]))
+    rows += [text(300) for _ in range(60)]
+    rows += ["so ZORB, plinth it is", "zorb and plinth", "plinth zorb plinth", "a quorl.", "quorls", "fal gim fal gim fal jorwex gim", "fal gim jorwex", "", "zorb"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = decontamination.contaminated(docs, spark.createDataFrame(items + short, "item_id long, text string")).collect()
+    box = decontamination.Items(items, np.zeros((decontamination.DIMENSIONS + 1, decontamination.RANK), dtype=np.float32))
+    want = set()
+    for i, t in enumerate(rows):
+        w = decontamination.words(t)
+        for k in range(len(items)):
+            n = len(box.words[k])
+            if any(box.leaked(k, w[max(0, f - n) : f + 32 + n])[0] for f in range(0, len(w), 16)):
+                want.add((i, k))
+        for k, x in short:
+            y = decontamination.words(x)
+            if any(w[f : f + len(y)] == y for f in range(len(w))):
+                want.add((i, k))
+    found = {(x.doc_id, x.item_id) for x in got}
+    assert len(want) > 3 * len(items) and {(180, 100), (182, 100), (183, 101), (185, 102)} <= want
+    assert len(found & want) >= 0.9 * len(want) and found == want
+    assert all((x.cosine is None) == (x.item_id >= 100) for x in got)
+
+
 def test_nothing_to_search(spark):
     docs = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
@@ -196,7 +230,8 @@ def test_orthonormal():
 
 @pytest.mark.parametrize("words", [0, 1, 16, 17, 32, 33, 200])
 def test_document_windows(words):
-    basis = np.random.default_rng(2).standard_normal((decontamination.DIMENSIONS, decontamination.RANK)).astype(np.float32)
+    basis = np.random.default_rng(2).standard_normal((decontamination.DIMENSIONS + 1, decontamination.RANK)).astype(np.float32)
+    basis[-1] = 0
     ids = np.random.default_rng(words).integers(0, decontamination.DIMENSIONS, words)
     v, first, text = decontamination.window_vectors(ids, np.array([words]), basis)
     assert set(range(words)) <= {w for f in first for w in range(f, f + 32)}
