@@ -2,10 +2,11 @@
 
 A text is escaped (a space becomes U+2581, one more is put in front) and cut before every run of that mark: no piece
 of a supported model holds the mark behind another character, so no merge crosses a cut. The distinct pre-tokens of a
-slice become one ragged array of symbols. In each round every sequence merges its leftmost pair of lowest rank, all
-sequences at once; sequences without a pair drop out, and what survives is counted. A symbol outside the vocabulary
-counts as many tokens as it has UTF-8 bytes. Pre-tokens over ``LONG`` characters, for which rounds over arrays would
-take quadratic time, go through a heap with the same order of merges.
+slice become one ragged array of symbols. In each round every sequence merges its pairs of lowest rank, from the left
+without overlap, all sequences at once; sequences without a pair drop out, and what survives is counted. A symbol
+outside the vocabulary counts as many tokens as it has UTF-8 bytes. Merging one after another would look at a new pair
+before the next old one if the new one's rank is no higher; where that is so, a sequence's round ends with that merge,
+so the result is that of merging one by one. A sequence takes about as many rounds as ranks are met in it.
 
 Defined results: null texts count as empty and have no tokens; repeated rows come out as often as they came in;
 special strings inside texts are plain text, as in the library; models with another normaliser are refused.
@@ -13,7 +14,6 @@ special strings inside texts are plain text, as in the library; models with anot
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Iterable, Iterator
 
@@ -27,10 +27,8 @@ from seqmesh.llm.common import documents, slices, state, texts
 from seqmesh.session import ship
 
 MARK = "▁"
-#: Characters from which a pre-token goes through the heap.
-LONG = 512
-#: Distinct pre-tokens merged at a time.
-BATCH = 50_000
+#: Characters of distinct pre-tokens merged at a time, if one alone has no more.
+BATCH = 400_000
 _NONE = 1 << 30
 _CUT = re.compile(f"{MARK}+[^{MARK}]*")
 
@@ -51,6 +49,9 @@ class PieceModel:
         score = {p.piece: p.score for p in m.pieces if p.type == 1}
         if any(MARK in p.lstrip(MARK) for p in score):
             raise ValueError("models whose pieces hold a space behind another character are not supported")
+        self._tables(score)
+
+    def _tables(self, score: dict[str, float]) -> None:
         order = {s: r for r, s in enumerate(sorted(set(score.values()), reverse=True))}
         # ids 1-4 are characters outside the vocabulary by their number of bytes; the rest are strings that can be a symbol
         ids = {p: i + 5 for i, p in enumerate(score)}
@@ -72,7 +73,6 @@ class PieceModel:
         self.keys = np.array(sorted(table), dtype=np.int64)
         self.ranks = np.array([table[k][0] for k in self.keys.tolist()], dtype=np.int64)
         self.into = np.array([table[k][1] for k in self.keys.tolist()], dtype=np.int64)
-        self.pairs = table
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The rank (``_NONE`` without a merge) and the merged symbol of each pair."""
@@ -84,27 +84,8 @@ class PieceModel:
     def _codes(self, words: list[str]) -> np.ndarray:
         return self.char[np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4")]
 
-    def _long(self, word: str) -> int:
-        s = self._codes([word]).tolist()
-        n, size, get = len(s), self.size, self.pairs.get
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(p[0], i, s[i], s[i + 1], p[1]) for i in range(n - 1) if (p := get(s[i] * size + s[i + 1]))]
-        heapq.heapify(heap)
-        while heap:
-            _, i, a, b, new = heapq.heappop(heap)
-            if s[i] != a or (j := after[i]) >= n or s[j] != b:
-                continue
-            s[i], s[j], after[i] = new, -1, (k := after[j])
-            if k < n:
-                before[k] = i
-                if p := get(new * size + s[k]):
-                    heapq.heappush(heap, (p[0], i, new, s[k], p[1]))
-            if (h := before[i]) >= 0 and (p := get(s[h] * size + new)):
-                heapq.heappush(heap, (p[0], h, s[h], new, p[1]))
-        return int(sum(self.cost[x] for x in s if x >= 0))
-
     def _rounds(self, words: list[str]) -> np.ndarray:
-        """Merged all together; words are not empty."""
+        """Tokens of each word, merged all together; words are not empty."""
         s, size = self._codes(words), np.array([len(w) for w in words])
         count, who = np.zeros(len(words), dtype=np.int64), np.arange(len(words))
         seq = np.repeat(who, size)
@@ -113,24 +94,28 @@ class PieceModel:
         rank[inner], into[inner] = self.rank(s[inner], s[inner + 1])
         while len(s):
             start = np.flatnonzero(np.r_[True, seq[1:] != seq[:-1]])
-            best = np.minimum.reduceat(rank << 32 | np.arange(len(s)), start)
-            over = best >> 32 >= _NONE
+            length = np.diff(start, append=len(s))
+            low = np.minimum.reduceat(rank, start)
+            over = low >= _NONE
             if over.any():
-                length = np.diff(np.r_[start, len(s)])
                 done = np.repeat(over, length)
                 count += np.bincount(seq[done], weights=self.cost[s[done]], minlength=len(words)).astype(np.int64)
                 s, seq, rank, into = s[~done], seq[~done], rank[~done], into[~done]
+                low, length = low[~over], length[~over]
                 if not len(s):
                     break
-                moved = (np.cumsum(done) - done)[best[~over] & 0xFFFFFFFF]
-                at = (best[~over] & 0xFFFFFFFF) - moved
-            else:
-                at = best & 0xFFFFFFFF
-            s[at] = into[at]
+            at = np.flatnonzero(rank == np.repeat(low, length))
+            # pairs that overlap: every other one, from the left
+            run = np.flatnonzero(np.r_[True, np.diff(at) != 1])
+            at = at[(np.arange(len(at)) - np.repeat(run, np.diff(run, append=len(at)))) % 2 == 0]
+            new, own = into[at], seq[at]
+            if len(at) > len(low):  # more than one merge in a sequence
+                at, new = self._prefix(s, seq, at, new, own, rank[at])
+            s[at] = new
             keep = np.ones(len(s), dtype=bool)
             keep[at + 1] = False
             s, seq, rank, into = s[keep], seq[keep], rank[keep], into[keep]
-            at = at - np.arange(len(at))  # one symbol has gone from each sequence before
+            at = at - np.arange(len(at))  # one symbol has gone for each merge before
             for p in (at, at[at > 0] - 1):
                 last = p + 1 >= len(s)
                 same = np.zeros(len(p), dtype=bool)
@@ -140,16 +125,34 @@ class PieceModel:
                 rank[q], into[q] = self.rank(s[q], s[q + 1])
         return count
 
+    def _prefix(self, s: np.ndarray, seq: np.ndarray, at: np.ndarray, new: np.ndarray, own: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The merges of each sequence up to the first that makes a pair whose rank is no higher."""
+        far = np.minimum(at + 2, len(s) - 1)
+        right = np.where((at + 2 < len(s)) & (seq[far] == own), self.rank(new, s[far])[0], _NONE)
+        near = np.maximum(at - 1, 0)
+        merged = np.zeros(len(at), dtype=bool)  # the symbol before is what the merge before made
+        merged[1:] = (at[1:] == at[:-1] + 2) & (own[1:] == own[:-1])
+        before = np.where(merged, np.r_[0, new[:-1]], s[near])
+        left = np.where((at > 0) & (seq[near] == own), self.rank(before, new)[0], _NONE)
+        early = np.minimum(left, right) <= rank
+        if not early.any():
+            return at, new
+        earlier = np.cumsum(early) - early
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        go = earlier == np.repeat(earlier[first], np.diff(first, append=len(own)))
+        return at[go], new[go]
+
     def counts(self, words: list[str]) -> list[int]:
         """Tokens of each escaped pre-token."""
         out = np.zeros(len(words), dtype=np.int64)
-        short = [k for k, w in enumerate(words) if 0 < len(w) <= LONG]
-        for at in range(0, len(short), BATCH):
-            part = short[at : at + BATCH]
-            out[part] = self._rounds([words[k] for k in part])
-        for k, w in enumerate(words):
-            if len(w) > LONG:
-                out[k] = self._long(w)
+        some = np.array([k for k, w in enumerate(words) if w], dtype=np.int64)
+        # words of like length together, so that a long one does not hold up many
+        size = np.array([len(words[k]) for k in some], dtype=np.int64)
+        some, size = some[np.argsort(size, kind="stable")], np.sort(size)
+        batch = np.cumsum(size) // BATCH
+        for part in np.split(some, np.flatnonzero(np.diff(batch)) + 1):
+            if len(part):
+                out[part] = self._rounds([words[k] for k in part])
         return out.tolist()
 
 

@@ -74,13 +74,31 @@ def test_piece_counts(spark):
     for t in samples():
         assert sum(model.counts(token_counts.pretokens(t))) == len(sp.encode(t)), t
     long = "".join(random.Random(2).choice("abcdefg") for _ in range(5000))
-    assert model._long("▁" + long) == len(sp.encode(long)) == int(model._rounds(["▁" + long])[0])
+    assert model.counts(["▁" + long]) == [len(sp.encode(long))]
+    huge = "".join(random.Random(4).choice("etaoinshrdlucm") for _ in range(100_000))
+    assert model.counts(["▁" + huge, "▁a", ""]) == [len(sp.encode(huge)), len(sp.encode("a")), 0]
     rows = [*enumerate(samples()), (1, None), (None, "x")]
     got = token_counts.token_counts(frame(spark, rows), PIECES, 20).collect()
     want = sorted((i or 0, len((t or "").encode()), len(sp.encode(t or "")), len(sp.encode(t or "")) > 20) for i, t in rows)
     assert sorted((r.doc_id or 0, r.n_bytes, r.n_tokens, r.over_limit) for r in got) == want
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_rounds_against_merging_one_by_one(seed):
+    """Pieces with scores drawn by chance, ties among them, so that merges make pairs of lower rank all the time."""
+    r = random.Random(seed)
+    pieces = {c: 0.0 for c in "abc"} | {"".join(r.choice("abc") for _ in range(r.randint(2, 5))): float(r.randrange(12)) for _ in range(60)}
+    model = token_counts.PieceModel.__new__(token_counts.PieceModel)
+    model._tables(pieces)
+    words = ["".join(r.choice("abcd") for _ in range(r.randint(1, 40))) for _ in range(300)]
+    for w, n in zip(words, model.counts(words), strict=True):
+        s = list(w)
+        while found := [(-pieces[a + b], i) for i, (a, b) in enumerate(zip(s, s[1:])) if a + b in pieces]:
+            i = min(found)[1]
+            s[i : i + 2] = [s[i] + s[i + 1]]
+        assert n == len(s), w
+
+
 def test_empty_tables(spark, tmp_path):
     none = frame(spark, [])
     assert byte_bpe.encoded(none, BYTES).count() == 0 and token_counts.token_counts(none, PIECES).count() == 0
