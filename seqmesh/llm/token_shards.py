@@ -69,27 +69,26 @@ class _Occurrences:
     def __init__(self, ids: np.ndarray):
         n = len(ids)
         self.n, self.symbol = n, ids.astype(np.int32)
-        self.after, self.before = np.arange(1, n + 1), np.arange(-1, n)
         #: bits of a symbol and of a place
         self.wide, self.deep = (int(ids.max(initial=0)) + n).bit_length(), n.bit_length()
-        self.alive = np.ones(n, dtype=bool)
-        #: by place: the pair that begins there, 0 for none and for pairs that occur once
+        self.after, self.before = np.arange(1, n + 1), np.arange(-1, n)
+        #: by place: the pair that begins there, 0 for none and for pairs that occur once, -1 where a symbol has gone
         self.pair = np.zeros(n + 1, dtype=np.int32)
         # a replacement makes at most two new neighbourhoods, and there are fewer than n replacements
-        self.where, self.held = np.empty(3 * n, dtype=np.int64), 0
-        self.start, self.size, self.count = (np.zeros(2 + 3 * n // 2, dtype=x) for x in (np.int64, np.int32, np.int32))
-        self.pairs = 1
-        self.owner = np.full(n + 1, -1, dtype=np.int32)
+        self.where, self.held, self.pairs, most = np.empty(3 * n, dtype=np.int64), 0, 1, 2 + 3 * n // 2
+        self.start, self.size, self.count = (np.zeros(most, dtype=x) for x in (np.int64, np.int32, np.int32))
+        #: by pair: its place among those looked at, and whether its two symbols are the same
+        self.slot, self.twin = np.full(most, -1, dtype=np.int32), np.zeros(most, dtype=bool)
 
     def add(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Take up the pairs that begin at these ascending places: (pairs met more than once, how often)."""
+        """Take up the pairs that begin at these places: (pairs met more than once, how often)."""
         key = self.symbol[at].astype(np.int64) << self.wide | self.symbol[self.after[at]]
         if 2 * self.wide + self.deep < 64:  # sorting numbers is faster than sorting their places
             key = np.sort(key << self.deep | at)
             at = key & ((1 << self.deep) - 1)
             key >>= self.deep
         else:
-            order = np.argsort(key, kind="stable")
+            order = np.lexsort((at, key))
             key, at = key[order], at[order]
         first = _firsts(key)
         size = np.diff(first, append=len(key))
@@ -98,54 +97,65 @@ class _Occurrences:
         name = np.zeros(len(size), dtype=np.int32)
         name[often] = new
         self.pair[at] = np.repeat(name, size)
-        at, size = at[np.repeat(often, size)], size[often]
+        key, at, size = key[first[often]], at[np.repeat(often, size)], size[often]
         self.where[self.held : self.held + len(at)] = at
-        self.start[new], self.size[new], self.count[new] = self.held + np.cumsum(size) - size, size, size
+        part = slice(self.pairs, self.pairs + len(new))
+        self.start[part], self.size[part], self.count[part] = self.held + np.cumsum(size) - size, size, size
+        self.twin[part] = key >> self.wide == key & ((1 << self.wide) - 1)
         self.held, self.pairs = self.held + len(at), self.pairs + len(new)
         return new, size
 
-    def places(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(places, whose they are as an index into ``pairs``, how many each has), from the left and without overlap."""
-        size = self.size[pairs]
+    def places(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(places, those of the symbols behind, whose they are as an index into ``pairs``, how many each has).
+
+        They come from the left and without overlap.
+        """
+        often, size = self.count[pairs], self.size[pairs]
         at = self.where[_ranges(self.start[pairs], size)]
         who = np.repeat(np.arange(len(pairs)), size)
-        now = self.pair[at] == pairs[who]
-        at, who = at[now], who[now]
-        joined = (self.after[at[:-1]] == at[1:]) & (who[:-1] == who[1:])
-        if joined.any():  # runs of one symbol: every other place
-            run = np.flatnonzero(np.r_[True, ~joined])
-            odd = (np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))) & 1
-            at, who = at[odd == 0], who[odd == 0]
-        return at, who, np.bincount(who, minlength=len(pairs))
-
-    def apart(self, pairs: np.ndarray, at: np.ndarray, who: np.ndarray) -> np.ndarray:
-        """Which of the pairs to replace now, so that no two of them share a symbol of the sequence; the others wait."""
+        if (often < size).any():
+            now = self.pair[at] == pairs[who]
+            at, who = at[now], who[now]
+        behind = self.after[at]
+        if self.twin[pairs].any():
+            joined = (behind[:-1] == at[1:]) & (who[:-1] == who[1:])
+            if joined.any():  # runs of one symbol: every other place
+                run = np.flatnonzero(np.r_[True, ~joined])
+                odd = (np.arange(len(at)) - np.repeat(run, np.diff(run, append=len(at)))) & 1
+                at, behind, who = at[odd == 0], behind[odd == 0], who[odd == 0]
+                often = np.bincount(who, minlength=len(pairs))
+        return at, behind, who, often
+
+    def waiting(self, pairs: np.ndarray, behind: np.ndarray, who: np.ndarray) -> np.ndarray:
+        """Which of the pairs have to wait, so that no two of the others share a symbol of the sequence."""
         wait = np.zeros(len(pairs), dtype=bool)
         if len(pairs) > 1:
-            self.owner[at] = who
-            other = self.owner[self.after[at]]
-            meet = other >= 0
+            self.slot[pairs] = np.arange(len(pairs))
+            other = self.slot[self.pair[behind]]
+            self.slot[pairs] = -1
+            meet = np.flatnonzero((other >= 0) & (other != who))
             x, y = who[meet], other[meet]
             # in the order of a hash, so that a long repeat is halved again and again instead of growing by one symbol
             turn = pairs * 0x9E3779B1 & 0xFFFFFFFF
             wait[np.where(turn[x] > turn[y], x, y)] = True
-            self.owner[at] = -1
-        return ~wait
+        return wait
 
-    def replace(self, at: np.ndarray, new: np.ndarray) -> np.ndarray:
-        """Put symbols ``new`` in the place of the pairs at ``at``; the places whose pairs are new."""
-        gone = self.after[at]
+    def replace(self, at: np.ndarray, gone: np.ndarray, new: np.ndarray, made: int) -> np.ndarray:
+        """Put symbols ``new``, all from ``made`` on, in the place of the pairs at ``at``; the places whose pairs are new."""
         following = self.after[gone]
         self.symbol[at], self.after[at], self.before[following] = new, following, at
-        self.alive[gone] = False
         left = self.before[at]
         left = left[left >= 0]
-        self.owner[at] = 0
-        touched = np.sort(np.concatenate([at, left[self.owner[left] < 0]]))
-        self.owner[at] = -1
-        np.subtract.at(self.count, np.concatenate([self.pair[gone], self.pair[touched]]).astype(np.intp), np.int32(1))
-        self.pair[gone] = self.pair[touched] = 0
-        return touched[self.after[touched] < self.n]
+        left = left[self.symbol[left] < made]
+        np.subtract.at(self.count, np.concatenate([self.pair[gone], self.pair[left]]).astype(np.intp), np.int32(1))
+        self.pair[gone] = -1
+        touched = np.concatenate([at, left])
+        last = following == self.n
+        if last.any():
+            end = at[last]
+            self.pair[end] = 0
+            touched = touched[touched != end]
+        return touched
 
 
 def repair(ids: np.ndarray, first: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -158,11 +168,12 @@ def repair(ids: np.ndarray, first: int) -> tuple[list[np.ndarray], np.ndarray]:
     levels: dict[int, list[np.ndarray]] = {}
     heap: list[int] = []
 
-    def wait(pairs: np.ndarray, often: np.ndarray) -> None:
+    def later(pairs: np.ndarray, often: np.ndarray) -> None:
         pairs, often = pairs[often > 1], often[often > 1]
-        order = np.argsort(often, kind="stable")
-        pairs, often = pairs[order], often[order]
-        cut = [0, *(np.flatnonzero(often[1:] != often[:-1]) + 1).tolist(), len(often)] if len(often) else []
+        if len(pairs) and not (often == often[0]).all():
+            order = np.argsort(often, kind="stable")
+            pairs, often = pairs[order], often[order]
+        cut = [*_firsts(often).tolist(), len(often)]
         for i, j in itertools.pairwise(cut):
             n = int(often[i])
             if n not in levels:
@@ -170,35 +181,34 @@ def repair(ids: np.ndarray, first: int) -> tuple[list[np.ndarray], np.ndarray]:
                 heapq.heappush(heap, -n)
             levels[n].append(pairs[i:j])
 
-    wait(*found.add(np.arange(len(ids) - 1)))
+    later(*found.add(np.arange(len(ids) - 1)))
     rules: list[np.ndarray] = []
     made = first
     while heap:
         level = -heapq.heappop(heap)
         pairs = np.concatenate(levels.pop(level))
         while len(pairs):
-            often = found.count[pairs].astype(np.int64)
-            wait(pairs[often < level], often[often < level])
-            pairs = pairs[often >= level]
-            at, who, often = found.places(pairs)
-            now = often >= level
-            if not now.all():
-                wait(pairs[~now], often[~now])
-                at, who = at[now[who]], (np.cumsum(now) - 1)[who[now[who]]]
-                pairs = pairs[now]
-            if not len(pairs):
-                break
-            now = found.apart(pairs, at, who)
-            left, pairs = pairs[~now], pairs[now]
-            at, who = at[now[who]], (np.cumsum(now) - 1)[who[now[who]]]
-            some = at[_firsts(who)]
-            rules.append(np.stack([found.symbol[some], found.symbol[found.after[some]]], axis=1))
-            touched = found.replace(at, made + who)
-            found.count[pairs] = 0
-            made += len(pairs)
-            wait(*found.add(touched))
+            often = found.count[pairs]
+            if (few := often < level).any():
+                later(pairs[few], often[few])
+                pairs = pairs[~few]
+            at, gone, who, often = found.places(pairs)
+            few = often < level
+            wait = few | found.waiting(pairs, gone, who)
+            later(pairs[few], often[few])
+            left, pairs = pairs[wait & ~few], pairs[~wait]
+            if wait.any():
+                now = ~wait[who]
+                at, gone, who = at[now], gone[now], (np.cumsum(~wait) - 1)[who[now]]
+            if len(pairs):
+                some = _firsts(who)
+                rules.append(np.stack([found.symbol[at[some]], found.symbol[gone[some]]], axis=1))
+                touched = found.replace(at, gone, made + who, made)
+                found.count[pairs] = 0
+                made += len(pairs)
+                later(*found.add(touched))
             pairs = left
-    return rules, found.symbol[found.alive]
+    return rules, found.symbol[found.pair[:-1] >= 0]
 
 
 def grammar(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
