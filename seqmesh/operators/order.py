@@ -24,5 +24,7 @@ def numbered(df: DataFrame, keys: list[str], name: str = "idx") -> DataFrame:
     before = list(itertools.accumulate((n for _, n in counts), initial=0))
     if not counts:
         return rows.withColumn(name, F.lit(0).cast("long")).drop("_at")
-    base = F.create_map(*[F.lit(x) for (p, _), o in zip(counts, before, strict=False) for x in (p, o)])
-    return rows.withColumn(name, (base[part] + F.col("_at").bitwiseAND(_ROW)).cast("long")).drop("_at")
+    # one row a range: as many as tasks, a few bytes each
+    base = df.sparkSession.createDataFrame([(p, o) for (p, _), o in zip(counts, before, strict=False)], "_part long, _base long")
+    held = rows.withColumn("_part", part).join(F.broadcast(base), "_part")
+    return held.withColumn(name, F.col("_base") + F.col("_at").bitwiseAND(_ROW)).drop("_at", "_part", "_base")

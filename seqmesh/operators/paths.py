@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqmesh.operators.graph import usable
-from seqmesh.session import materialise, ship
+from seqmesh.operators.order import numbered
+from seqmesh.session import discard, materialise, ship
 
 #: Path sums from here on count as unreachable.
 INF = 1_000_000_000
@@ -102,8 +103,9 @@ def close_strips(strips: DataFrame, n: int, height: int) -> DataFrame:
                     out.append((shared.value if s == k else _relax(rows, shared.value, k * height)).tobytes())
                 yield pd.DataFrame({"strip": b["strip"], "data": out})
 
-        now = materialise(now.mapInPandas(step, "strip int, data binary"), "strips")
-        shared.unpersist()
+        before, now = now, materialise(now.mapInPandas(step, "strip int, data binary"), "strips")
+        discard(before)
+        shared.destroy()
     return now
 
 
@@ -128,7 +130,8 @@ def _relational(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     direct = edges.where(F.col("weight") < INF).select(F.col("src").alias("i"), F.col("dst").alias("j"), F.col("weight").alias("d"))
     now, before = materialise(diagonal.unionByName(direct).groupBy("i", "j").agg(F.min("d").alias("d")), "paths"), None
     while (mark := now.agg(F.count(F.lit(1)), F.sum(F.col("d").cast("decimal(38,0)"))).first()) != before:
-        before, now = mark, materialise(min_plus(now, now), "paths")
+        last, before, now = now, mark, materialise(min_plus(now, now), "paths")
+        discard(last)
     ends = vertices.select("idx")
     whole = ends.withColumnRenamed("idx", "i").join(ends.withColumnRenamed("idx", "j"), F.lit(True))
     return whole.join(now, ["i", "j"], "left").select("i", "j", "d")
@@ -138,7 +141,8 @@ def shortest_paths(vertices: DataFrame, edges: DataFrame, strategy: str = "auto"
     """(i, j, d) for all ordered pairs of ``vertices`` (idx), d null without a path.
 
     ``edges`` (src, dst, weight) are undirected, one for each pair (see ``last_wins``). Loops are ignored, weight 0 is
-    no edge unless ``zero_weight='edge'``, negative weights are an error. ``strips`` needs idx 0..n-1.
+    no edge unless ``zero_weight='edge'``, negative weights are an error. ``strips`` works on ordinals: vertices that
+    are not 0..n-1 are numbered for it, and pairs get their ids back.
     """
     spark = vertices.sparkSession
     ship(spark)
@@ -147,12 +151,21 @@ def shortest_paths(vertices: DataFrame, edges: DataFrame, strategy: str = "auto"
     if n == 0:
         return spark.createDataFrame([], "i long, j long, d int")
     dense = low == 0 and high == n - 1
-    if strategy == "relational" or strategy == "auto" and (n <= RELATIONAL or not dense):
+    if strategy == "relational" or strategy == "auto" and n <= RELATIONAL:
         return _relational(vertices, both)
     if not dense:
-        raise ValueError("the strip strategy needs vertices 0..n-1; number them first")
+        names = materialise(numbered(vertices.select("idx"), ["idx"], "at"), "ordinals")
+        a, b = (names.withColumnsRenamed({"idx": x, "at": f"{x}_at"}) for x in ("src", "dst"))
+        placed = both.join(a, "src").join(b, "dst").select(F.col("src_at").alias("src"), F.col("dst_at").alias("dst"), "weight")
+        found = _by_strips(placed, n, strip)
+        i, j = (names.withColumnsRenamed({"idx": f"{x}_id", "at": x}) for x in "ij")
+        return found.join(i, "i").join(j, "j").select(F.col("i_id").alias("i"), F.col("j_id").alias("j"), "d")
+    return _by_strips(both, n, strip)
+
+
+def _by_strips(both: DataFrame, n: int, strip: int) -> DataFrame:
     height = max(1, min(strip, PIVOT_BYTES // (4 * n)))
-    height = min(height, max(32, -(-n // spark.sparkContext.defaultParallelism)))
+    height = min(height, max(32, -(-n // both.sparkSession.sparkContext.defaultParallelism)))
     return to_long(close_strips(to_strips(both, n, height), n, height), n, height)
 
 

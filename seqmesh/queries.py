@@ -87,13 +87,12 @@ def initial_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations as a graph: for each unordered pair the last line item in order of key and number between customer and
-    supplier, its quantity less ten, at least 0, as weight; only pairs with an odd sum of keys."""
+    supplier, its quantity less ten, at least 0, as weight; pairs of a nation with itself included."""
     li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
     joined = li.join(o, li["l_orderkey"] == o["o_orderkey"]).join(c, o["o_custkey"] == c["c_custkey"]).join(s, li["l_suppkey"] == s["s_suppkey"])
     ends = joined.select(F.col("c_nationkey").cast("long").alias("src"), F.col("s_nationkey").cast("long").alias("dst"), F.greatest(F.col("l_quantity").cast("int") - 10, F.lit(0)).alias("weight"), "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-    odd = ends.where((F.col("src") + F.col("dst")) % 2 == 1)
-    return graph.last_wins(odd, ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"])
+    return graph.last_wins(ends, ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"])
 
 
 def parallel_edge_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,6 +154,19 @@ def dot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").select("src", "dst", "weight", "a", "b")
 
 
+def dot_one_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near graph with quoted names that hold signs of the language, all on one line, read again."""
+    path = f"{scratch(spark)}/line-{uuid.uuid4().hex[:8]}.dot"
+    name = lambda c: F.concat(F.lit('"v; '), F.col(c).cast("string"), F.lit(' -- [x]"'))
+    edge = F.concat(name("src"), F.lit(" -- "), name("dst"), F.lit(" [weight="), F.col("weight").cast("string"), F.lit("];"))
+    lines = _edges(spark, sf_dir, NEAR).select(F.lit(1).alias("kind"), F.col("src").alias("i"), F.col("dst").alias("j"), edge.alias("line"))
+    ends = spark.sql("SELECT * FROM VALUES (0, 0L, 0L, 'graph {'), (2, 0L, 0L, '}') AS t(kind, i, j, line)")
+    lines.unionByName(ends).coalesce(1).sortWithinPartitions("kind", "i", "j").select("line").write.option("lineSep", " ").text(path)
+    vertices, edges = dot.read_dot(spark, path)
+    a, b = (vertices.withColumnsRenamed({"idx": i, "name": n}) for i, n in (("src", "a"), ("dst", "b")))
+    return edges.join(a, "src").join(b, "dst").select("a", "b", "weight")
+
+
 def matrix_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.matrix_lines(_paths(spark, sf_dir, SPARSE))
 
@@ -180,6 +192,18 @@ def pam_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pam_assign(spark, sf_dir).agg(F.sum(F.col("dist").cast("long")).alias("total_cost"))
 
 
+def pam_assign_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The assignment to the initial medoids with the names of vertices and medoids."""
+    names = _vertices(spark, sf_dir).withColumn("name", vertex_name(F.col("idx")))
+    return medoids.decoded(pam_assign(spark, sf_dir), names)
+
+
+def pam_random_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search from medoids drawn by seed 5."""
+    found = medoids.k_medoids(_paths(spark, sf_dir, NEAR), 4, seed=5)
+    return spark.createDataFrame([(m, v, found.total_cost) for m, v in enumerate(found.medoids)], "slot int, medoid long, total_cost long")
+
+
 def pam_swap_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cost of every swap from the initial medoids."""
     costs = medoids.swap_costs(materialise(_paths(spark, sf_dir, NEAR), "distances"), INIT)
@@ -237,8 +261,7 @@ def _all(epsilon: int) -> str:
 
 _TRADE = """t AS (
   SELECT c_nationkey::BIGINT AS a, s_nationkey::BIGINT AS b, greatest(trunc(l_quantity)::INT - 10, 0) AS weight, l_orderkey, l_linenumber, l_partkey, l_extendedprice
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-  WHERE (c_nationkey + s_nationkey) % 2 = 1),
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey),
 last AS (SELECT least(a, b) AS src, greatest(a, b) AS dst, weight, row_number() OVER (PARTITION BY least(a, b), greatest(a, b)
   ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_extendedprice DESC, weight DESC) AS k FROM t),
 trade AS (SELECT src, dst, weight FROM last WHERE k = 1),
@@ -258,6 +281,8 @@ swaps AS (SELECT h.idx AS h, x.slot, sum(z.d)::BIGINT AS cost
     ON z.h = h.idx AND z.slot = x.slot
   WHERE h.idx NOT IN (SELECT medoid FROM m) GROUP BY ALL)"""
 
+_DRAWN = "drawn AS (SELECT idx, row_number() OVER (ORDER BY md5('5:' || idx), idx) AS k FROM v QUALIFY k <= 4)"
+
 # Passes of the search: the state is the list of medoids; a candidate's cost is the sum over vertices of the least
 # distance to the list with one slot replaced.
 _SEARCH = """search(pass, med, cost) AS (
@@ -279,6 +304,8 @@ UNION ALL
 final AS (SELECT med, cost FROM search ORDER BY pass DESC LIMIT 1),
 slots AS (SELECT unnest([0, 1, 2, 3]) AS slot, unnest(med) AS medoid, cost FROM final)"""
 
+_RANDOM = _SEARCH.replace("[0::BIGINT, 1::BIGINT, 2::BIGINT, 3::BIGINT]", "(SELECT list(idx ORDER BY k) FROM drawn)").replace("j IN (0, 1, 2, 3)", "j IN (SELECT idx FROM drawn)")
+
 _CLUSTERS = """nearest AS (SELECT i AS vertex, slot::INT AS cluster, medoid, least(coalesce(d, 100000), 100000)::INT AS dist,
   row_number() OVER (PARTITION BY i ORDER BY least(coalesce(d, 100000), 100000), slot) AS k FROM dist JOIN slots ON j = medoid)"""
 
@@ -289,8 +316,8 @@ QUERIES = {
     for f in (
         signature, hamming_pairs, hamming_pairs_any_alphabet, hamming_pairs_by_blocks, hamming_histogram, threshold_edges, symmetric_edges,
         vertex_degree, isolated_vertices, initial_distances, parallel_edge_last_wins, nation_graph_apsp, min_plus_product, apsp_small,
-        apsp_unreachable, vertex_numbering, weight_parse, block_ownership, sequence_sizes, dot_lines, dot_roundtrip, matrix_lines,
-        matrix_roundtrip, fasta_roundtrip, pam_assign, pam_cost, pam_swap_costs, pam_best_swap, pam_medoids, sequence_pipeline,
+        apsp_unreachable, vertex_numbering, weight_parse, block_ownership, sequence_sizes, dot_lines, dot_roundtrip, dot_one_line, matrix_lines,
+        matrix_roundtrip, fasta_roundtrip, pam_assign, pam_assign_named, pam_cost, pam_swap_costs, pam_best_swap, pam_medoids, pam_random_start, sequence_pipeline,
         pam_cluster_summary, pam_result_roundtrip,
     )
 }
@@ -307,7 +334,7 @@ ORACLES = {
     "isolated_vertices": f"WITH {_e(SPARSE)} SELECT idx FROM v WHERE idx NOT IN (SELECT src FROM b)",
     "initial_distances": f"WITH {_TRADE} SELECT x.idx AS i, y.idx AS j, CASE WHEN x.idx = y.idx THEN 0 WHEN weight = 0 THEN NULL ELSE weight END::INT AS d FROM nations x CROSS JOIN nations y LEFT JOIN trade2 ON src = x.idx AND dst = y.idx",
     "parallel_edge_last_wins": f"WITH {_TRADE} SELECT src, dst, weight FROM trade",
-    "nation_graph_apsp": f"WITH RECURSIVE {_TRADE}, tb AS (SELECT * FROM trade2 WHERE weight > 0), {_closure('nations', 'tb')} SELECT i, j, d FROM dist",
+    "nation_graph_apsp": f"WITH RECURSIVE {_TRADE}, tb AS (SELECT * FROM trade2 WHERE weight > 0 AND src <> dst), {_closure('nations', 'tb')} SELECT i, j, d FROM dist",
     "min_plus_product": f"WITH {_e(SPARSE)} SELECT x.src AS i, y.dst AS j, min(x.weight + y.weight)::INT AS d FROM b x JOIN b y ON x.dst = y.src GROUP BY ALL",
     "apsp_small": f"{_all(NEAR)} SELECT i, j, d FROM dist",
     "apsp_unreachable": f"{_all(SPARSE)} SELECT i, j, coalesce(d, 1000000000) AS d, least(coalesce(d, 100000), 100000) AS capped FROM dist",
@@ -318,14 +345,17 @@ ORACLES = {
     "dot_lines": f"""WITH {_e(NEAR)} SELECT 0 AS kind, idx AS i, -1::BIGINT AS j, '    A' || (idx + 1) || ' [label="' || idx || '"];' AS line FROM v
       UNION ALL SELECT 2, src, dst, '    A' || (src + 1) || ' -- A' || (dst + 1) || ' [label="' || weight || '", weight=' || weight || '];' FROM e""",
     "dot_roundtrip": f"WITH {_e(NEAR)} SELECT src, dst, weight, 'A' || (src + 1) AS a, 'A' || (dst + 1) AS b FROM e",
+    "dot_one_line": f"""WITH {_e(NEAR)} SELECT 'v; ' || src || ' -- [x]' AS a, 'v; ' || dst || ' -- [x]' AS b, weight FROM e""",
     "matrix_lines": f"{_all(SPARSE)} SELECT i, string_agg(CASE WHEN length(t) < 5 THEN lpad(t, 5, ' ') ELSE t END || ' ', '' ORDER BY j) AS line FROM (SELECT i, j, coalesce(d, 1000000000)::VARCHAR AS t FROM dist) GROUP BY i",
     "matrix_roundtrip": f"{_all(SPARSE)} SELECT i, j, d FROM dist",
     "fasta_roundtrip": f"SELECT idx, 'A' || (idx + 1) AS header, seq FROM ({_SIG})",
     "pam_assign": f"{_all(SPARSE)}, {_ASSIGN} SELECT i AS vertex, slot AS cluster, medoid, d AS dist FROM c WHERE k = 1",
+    "pam_assign_named": f"{_all(SPARSE)}, {_ASSIGN} SELECT i AS vertex, slot AS cluster, medoid, d AS dist, 'A' || (i + 1) AS vertex_name, 'A' || (medoid + 1) AS medoid_name FROM c WHERE k = 1",
     "pam_cost": f"{_all(SPARSE)}, {_ASSIGN} SELECT sum(d)::BIGINT AS total_cost FROM c WHERE k = 1",
     "pam_swap_costs": f"{_all(NEAR)}, {_SWAPS} SELECT h, slot, cost FROM swaps",
     "pam_best_swap": f"{_all(NEAR)}, {_SWAPS} SELECT cost, slot, h FROM swaps ORDER BY cost, slot, h LIMIT 1",
     "pam_medoids": f"{_all(NEAR)}, {_SEARCH} SELECT slot, medoid, cost AS total_cost FROM slots",
+    "pam_random_start": f"{_all(NEAR)}, {_DRAWN}, {_RANDOM} SELECT slot, medoid, cost AS total_cost FROM slots",
     "sequence_pipeline": _PIPELINE,
     "pam_cluster_summary": f"{_all(NEAR)}, {_SEARCH}, {_CLUSTERS} SELECT cluster, medoid, count(*) AS n, sum(dist)::BIGINT AS cost, max(dist) AS farthest FROM nearest WHERE k = 1 GROUP BY ALL",
     "pam_result_roundtrip": _PIPELINE,

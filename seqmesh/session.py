@@ -39,6 +39,8 @@ def scratch(spark: SparkSession) -> str:
     if key not in _FOLDERS:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = tempfile.mkdtemp(prefix="seqmesh-checkpoint-")
             spark.sparkContext.setCheckpointDir(base)
         _FOLDERS[key] = f"{base.rstrip('/')}/seqmesh-{uuid.uuid4().hex}"
@@ -69,7 +71,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex[:8]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._seqmesh_path = path
+    return written
+
+
+def discard(written: DataFrame) -> None:
+    """Delete a table that ``materialise`` wrote, once nothing reads it any more; others are left alone."""
+    if path := getattr(written, "_seqmesh_path", None):
+        delete(written.sparkSession, path)
 
 
 #: Bytes of an Arrow batch, in place of Spark's 64 MB; a setting of the user's own is left alone.

@@ -23,7 +23,7 @@ def test_core_queries_match_their_oracles(spark):
     con = duckdb.connect()
     for f in glob.glob(f"{DATA}/*.parquet"):
         con.sql(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
-    for name in ("hamming_histogram", "threshold_edges", "initial_distances", "parallel_edge_last_wins", "nation_graph_apsp", "apsp_unreachable", "pam_best_swap", "fasta_roundtrip"):
+    for name in ("hamming_histogram", "threshold_edges", "initial_distances", "parallel_edge_last_wins", "nation_graph_apsp", "apsp_unreachable", "pam_best_swap", "fasta_roundtrip", "dot_one_line", "pam_assign_named", "pam_random_start"):
         got = QUERIES[name](spark, DATA)
         want = con.sql(ORACLES[name])
         cols = sorted(got.columns)
