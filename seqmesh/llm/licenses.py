@@ -1,13 +1,13 @@
 """License scans by ordered signature rules.
 
 A rule is a regular expression over the words of a text (lower-cased, joined by single spaces), with a label, a
-priority and the keywords without which it cannot match. One multi-pattern pass over the words finds the keywords;
-only rules whose keywords are there are run. Detections that lie within a detection of higher priority (or of equal
+priority and keywords, one of which every match holds at the start of a word. One multi-pattern pass over the words
+finds the keywords; only rules whose keywords are there are run. Detections that lie within a detection of higher priority (or of equal
 priority and greater length) are suppressed; what is left gives the labels. Base phrases are exact word sequences and
 are never suppressed.
 
-The rule table is written by hand as license families with their spellings, versions and phrases, and has a few
-hundred rules once families are written out.
+The rules are the hand-written signatures of ``license_rules``, about two hundred, and, for names with versions, the
+license families below with their spellings written out.
 
 Defined results: null texts count as empty; texts without words have zero counts, null positions, empty labels and
 score 0; repeated rows come out as often as they came in.
@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from seqmesh.llm.common import documents, slices, state, texts
+from seqmesh.llm.license_rules import SIGNATURES
 from seqmesh.session import ship
 
 #: Phrase and label; each place where the words stand consecutively counts.
@@ -80,7 +81,7 @@ _VERSIONED = [
     ("rpl", ("reciprocal public licen[sc]e",), ("1 1", "1 5"), ("reciprocal",)),
     ("sspl", ("server side public licen[sc]e", "sspl"), ("1",), ("sspl", "server")),
     ("busl", ("business source licen[sc]e",), ("1 1",), ("business",)),
-    ("qpl", ("q public licen[sc]e",), ("1 0",), ("q",)),
+    ("qpl", ("q public licen[sc]e",), ("1 0",), ("q public",)),
 ]
 
 # Creative Commons terms: spelling of the terms and label.
@@ -93,41 +94,25 @@ _CC_TERMS = [
     ("by nc nd", "attribution non ?commercial no ?deriv(?:ative)?s?(?: works)?", "cc-by-nc-nd"),
 ]
 
-# Single rules: pattern, label, priority, keywords, weight.
-_SINGLE = [
-    (r"permission is hereby granted free of charge to any person obtaining a copy", "mit", 80, ("hereby",), 0.95),
-    (r"the software is provided as is without warranty of any kind express or implied", "mit", 40, ("warranty",), 0.5),
-    (r"redistribution and use in source and binary forms with or without modification are permitted", "bsd", 80, ("redistribution",), 0.9),
-    (r"neither the name of .{1,80}? nor the names of its contributors", "bsd-3-clause", 85, ("contributors",), 0.95),
-    (r"(?:3|three) clause bsd|bsd (?:3|three) clause|(?:new|modified|revised) bsd", "bsd-3-clause", 85, ("bsd",), 0.95),
-    (r"(?:2|two) clause bsd|bsd (?:2|two) clause|simplified bsd|freebsd licen[sc]e", "bsd-2-clause", 85, ("bsd", "freebsd"), 0.95),
-    (r"(?:4|four) clause bsd|bsd (?:4|four) clause|original bsd", "bsd-4-clause", 85, ("bsd",), 0.95),
-    (r"(?:0|zero) clause bsd|bsd (?:0|zero) clause", "0bsd", 85, ("bsd",), 0.95),
-    (r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted", "isc", 80, ("hereby",), 0.9),
-    (r"this is free and unencumbered software released into the public domain", "unlicense", 80, ("unencumbered",), 0.95),
-    (r"(?:released|dedicated|placed) (?:in ?to|to|in) the public domain", "public-domain", 60, ("domain",), 0.7),
-    (r"all rights reserved", "all-rights-reserved", 30, ("reserved",), 0.4),
-    (r"proprietary and confidential", "proprietary", 60, ("proprietary",), 0.8),
-    (r"licen[sc]ed under the terms of the [a-z0-9 ]{1,40}? licen[sc]e", "other-license", 10, ("terms",), 0.4),
-    (r"spdx licen[sc]e identifier mit", "mit", 95, ("spdx",), 1.0),
-    (r"spdx licen[sc]e identifier apache 2 0", "apache-2", 95, ("spdx",), 1.0),
-    (r"spdx licen[sc]e identifier bsd 3 clause", "bsd-3-clause", 95, ("spdx",), 1.0),
-    (r"spdx licen[sc]e identifier bsd 2 clause", "bsd-2-clause", 95, ("spdx",), 1.0),
-    (r"spdx licen[sc]e identifier gpl (\d) 0", "gpl", 95, ("spdx",), 1.0),
-    (r"either version \d+ of the licen[sc]e or(?: at your option)? any later version", "or-later", 20, ("later",), 0.5),
-]
+def signatures() -> list[Rule]:
+    """The hand-written signatures."""
+    out = []
+    for line in SIGNATURES.strip().splitlines():
+        label, priority, weight, pattern = line.split(" ", 3)
+        out.append(Rule(re.sub(r"<([a-z0-9]+)>", r"\1", pattern), label, int(priority), tuple(re.findall(r"<([a-z0-9]+)>", pattern)), float(weight)))
+    return out
 
 
 def rules() -> list[Rule]:
     """All rules, families written out, in falling priority; of equal priority the earlier written comes first."""
-    out = [Rule(p, label, priority, keys, weight) for p, label, priority, keys, weight in _SINGLE]
+    out = signatures()
     for stem, names, versions, keys in _VERSIONED:
         for k, name in enumerate(names):
             short = " " not in name
-            for v in versions:
+            for v in versions:  # glued or apart, as in "gplv3", "gpl 3 0" or "gpl version 3"
                 if v:
                     tail = "-".join([stem, v.removesuffix(" 0").replace(" ", ".")])
-                    out.append(Rule(rf"{name},? (?:v|version |v ){v}" if short else rf"{name} (?:v|version |v )?{v}", tail, 70 + len(v), keys, 0.9))
+                    out.append(Rule(rf"{name} ?(?:v|version |v )?{v}", tail, 70 + len(v), keys, 0.9))
                     out.append(Rule(rf"version {v} of the {name}", tail, 72 + len(v), keys, 0.9))
             if not short:
                 out.append(Rule(name, stem, 50 - k, keys, 0.7))
@@ -153,18 +138,24 @@ class Scanner:
         for k, r in enumerate(self.rules):
             for w in r.keywords:
                 by.setdefault(w, []).append(k)
+        if "" in by or not all(r.keywords for r in self.rules):
+            raise ValueError("a rule without a keyword would never be run")
         self.automaton = ahocorasick.Automaton()
         for w, ks in by.items():
-            self.automaton.add_word(f" {w} ", ks)
+            self.automaton.add_word(f" {w}", ks)
         self.automaton.make_automaton()
-        # a quick test ahead of the automaton: nothing can match without one of these
-        self.any = re.compile(b"licen|permi|warrant|redistrib|contrib|public|reserved|propriet|later|bsd|gpl|cc0|cc by|creative|unlicense|unencumber|spdx|mpl|cddl|eupl|wtfpl|odbl|gfdl|clause|zlib|sspl")
-
-    def detections(self, line: bytes) -> list[tuple[int, int, Rule]]:
-        """(start, end, rule) by start, after suppression; ``line`` is the words between single spaces, with one at either end."""
-        if not self.any.search(line):
-            return []
-        run = {k for _, ks in self.automaton.iter(line.decode("latin-1")) for k in ks}
+
+    def detections(self, line: bytes, gated: bool = True) -> list[tuple[int, int, Rule]]:
+        """(start, end, rule) by start, after suppression; ``line`` is the words between single spaces, with one at either end.
+
+        Not ``gated``, every rule is run; what is found is the same.
+        """
+        if gated:
+            run = set()
+            for _, ks in self.automaton.iter(line.decode("latin-1")):
+                run.update(ks)
+        else:
+            run = set(range(len(self.rules)))
         found = [(m.start(), m.end(), k) for k in run for m in self.compiled[k].finditer(line)]
         found.sort(key=lambda d: (-self.rules[d[2]].priority, d[0] - d[1], d[2], d[0]))
         kept: list[tuple[int, int, int]] = []

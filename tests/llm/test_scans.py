@@ -134,5 +134,41 @@ def test_license_rules(spark):
 def test_license_priority_and_containment():
     rules = [licenses.Rule("b c", "inner", 90, ("b",), 1.0), licenses.Rule("a b c d", "outer", 50, ("b",), 1.0), licenses.Rule("b", "least", 10, ("b",), 1.0), licenses.Rule("d e", "beside", 10, ("e",), 1.0)]
     s = licenses.Scanner(rules)
-    s.any = __import__("re").compile(b"b|e")
     assert [(r.label) for _, _, r in s.detections(b" a b c d e ")] == ["outer", "inner", "beside"]
+    assert [r.label for _, _, r in licenses.Scanner([licenses.Rule("beerware", "beer", 1, ("beerware",), 1.0)]).detections(b" this is beerware code ")] == ["beer"]
+    with pytest.raises(ValueError, match="without a keyword"):
+        licenses.Scanner([licenses.Rule("x", "x", 1, (), 1.0)])
+
+
+def example(pattern, r):
+    """A string that the pattern of a signature matches: an alternative of each group, optional parts by chance."""
+    import re
+
+    text, grown = pattern, re.compile(r"\((?:\?:)?([^()]*)\)(\?|\*)?")
+    text = text.replace("(?! 0| no)", "")
+    while m := grown.search(text):
+        text = text[: m.start()] + ("" if m[2] and r.random() < 0.5 else r.choice(m[1].split("|"))) + text[m.end() :]
+    text = r.choice(text.split("|"))
+    text = re.sub(r"(\[[^\]]*\]|\\d|\.)\{\d+,(\d+)\}\??", "of x", text)
+    text = re.sub(r"\[sc\]|\[sz\]", lambda m: r.choice(m[0][1:-1]), text)
+    text = re.sub(r"\\d", lambda m: r.choice("1234"), text).replace("+", "")
+    return re.sub(r"(.)\?", lambda m: r.choice([m[1], ""]), text)
+
+
+def test_gated_rules_find_what_all_rules_find():
+    """Texts made of the rules' own patterns: every signature is met, and the keyword gate loses nothing."""
+    import re
+
+    r, s, met = random.Random(3), licenses.Scanner(), set()
+    rules = licenses.rules()
+    for k in range(1500):
+        own = rules[k % len(rules)]
+        said = [example(own.pattern, r), *(example(r.choice(rules).pattern, r) for _ in range(r.randrange(3)))]
+        line = (" " + " some words between ".join(said) + " ").encode()
+        assert s.detections(line) == s.detections(line, gated=False), line
+        if re.search(rf"(?<= )(?:{own.pattern})(?= )".encode(), line):
+            met.add(own)
+    assert len(met) > 0.9 * len(set(rules))
+    assert len(licenses.signatures()) >= 200
+    for text, label in (("GPLv3", "gpl-3"), ("GPL-3.0", "gpl-3"), ("LGPL-2.1", "lgpl-2.1"), ("MPL-2.0", "mpl-2"), ("AGPLv3", "agpl-3")):
+        assert licenses.scan(text, s)[5] == label
