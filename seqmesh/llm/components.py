@@ -4,7 +4,7 @@ Each round sends every node's larger neighbours to its smallest one and then all
 whose centre is the component's smallest node. Rounds grow with the logarithm of the longest path. Minima are
 pre-aggregated by the larger end, where keys are rarely hot; links are joined to them by sort-merge joins whose hot
 keys (centres of large stars) adaptive execution splits. Each step is a written table, so that no lineage grows and
-nothing is collected.
+nothing is collected; a round's tables are deleted when the next one's are written.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqmesh.session import materialise
+from seqmesh.session import discard, materialise
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,10 +54,15 @@ def connected_components(links: DataFrame) -> DataFrame:
             break
         before = mark
         # large star: what hangs on b moves to the smallest neighbour of b, if b has one below it
-        moved = now.join(_least(now), now["b"] == F.col("x"), "left").select("a", F.coalesce("m", "b").alias("b"))
+        least = _least(now)
+        moved = now.join(least, now["b"] == F.col("x"), "left").select("a", F.coalesce("m", "b").alias("b"))
         large = materialise(moved.distinct(), "links")
         # small star: of the neighbours below a, and a itself, all but the smallest move to the smallest
-        small = large.join(_least(large), large["a"] == F.col("x"))
+        lower = _least(large)
+        small = large.join(lower, large["a"] == F.col("x"))
         down = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b")))
-        now = materialise(down.where("a != b").distinct(), "links")
+        new = materialise(down.where("a != b").distinct(), "links")
+        for gone in (now, least, large, lower):
+            discard(gone)
+        now = new
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
