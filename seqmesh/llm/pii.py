@@ -113,7 +113,10 @@ def _last(text: Column) -> Column:
 
 
 def _spans(text: str, found: str, pattern: str, valid, context: bool = False) -> Column:
-    """Spans of the matches in column ``found`` of ``pattern`` that are ``valid``, with the text before each if asked for."""
+    """Spans of the matches in column ``found`` of ``pattern`` that are ``valid``, with the text before each if asked for.
+
+    A text counts as having a space before it, so that a word at its start reads as elsewhere.
+    """
     between = F.split(F.col(text), pattern, -1)
     pieces = F.zip_with(F.col(found), between, lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g"), (_last(g) if context else F.lit("")).alias("gap")))
 
@@ -124,7 +127,7 @@ def _spans(text: str, found: str, pattern: str, valid, context: bool = False) ->
         tail = _last(F.concat(acc["tail"], x["gap"], F.coalesce(x["m"], F.lit("")))) if context else F.lit("")
         return {"at": end, "tail": tail}, F.struct(begin.alias("start"), end.alias("end"), x["m"].alias("found"), F.lower(before).alias("before"))
 
-    every = _walk(pieces, {"at": F.lit(0), "tail": F.lit("")}, step, _SPAN)
+    every = _walk(pieces, {"at": F.lit(0), "tail": F.lit(" ")}, step, _SPAN)
     return F.when(F.size(found) > 0, F.filter(every, lambda s: s["found"].isNotNull() & valid(s["found"]))).otherwise(_none(_SPAN))
 
 
