@@ -66,11 +66,11 @@ class _Occurrences:
     then and only grow fewer; a place counts for a pair while ``pair`` says so.
     """
 
-    def __init__(self, ids: np.ndarray):
+    def __init__(self, ids: np.ndarray, first: int):
         n = len(ids)
         self.n, self.symbol = n, ids.astype(np.int32)
-        #: bits of a symbol and of a place
-        self.wide, self.deep = (int(ids.max(initial=0)) + n).bit_length(), n.bit_length()
+        #: bits of a symbol, of which there are fewer than n from ``first`` on, and of a place
+        self.wide, self.deep = (first + n).bit_length(), n.bit_length()
         self.after, self.before = np.arange(1, n + 1), np.arange(-1, n)
         #: by place: the pair that begins there, 0 for none and for pairs that occur once, -1 where a symbol has gone
         self.pair = np.zeros(n + 1, dtype=np.int32)
@@ -164,7 +164,9 @@ def repair(ids: np.ndarray, first: int) -> tuple[list[np.ndarray], np.ndarray]:
     Pairs wait by how often they were last known to occur; the fullest are looked at first. Of those that tie, all that
     share no symbol are replaced at once, which is what replacing them one after another gives.
     """
-    found = _Occurrences(ids)
+    if len(ids) and int(ids.max()) >= first:
+        raise ValueError("ids must be below the first nonterminal")
+    found = _Occurrences(ids, first)
     levels: dict[int, list[np.ndarray]] = {}
     heap: list[int] = []
 
@@ -299,8 +301,12 @@ def image(doc_ids: list, lengths: list[int], ids: np.ndarray, first: int) -> byt
     before = np.cumsum(size) - size
     nulls = sum(d is None for d in doc_ids)  # they come first
     head = np.array([len(doc_ids), len(ids), len(counts), len(seq), first, nulls, len(bodies), 0], dtype="<i8")
-    parts = (head, np.array([d or 0 for d in doc_ids], dtype="<i8"), np.array(lengths, dtype="<u4"), counts.astype("<u4"), sizes.astype("<u4"), bodies.astype("<u4"), seq.astype("<u4"), before[::STEP].astype("<i8"))
-    return b"RPR2" + b"".join(x.tobytes() for x in parts)
+    lists = (head, np.array([d or 0 for d in doc_ids], dtype="<i8"), np.array(lengths, dtype="<u4"), counts.astype("<u4"), sizes.astype("<u4"), bodies.astype("<u4"), seq.astype("<u4"), before[::STEP].astype("<i8"))
+    made = b"RPR2" + b"".join(x.tobytes() for x in lists)
+    held = Shard(made)
+    if not np.array_equal(held.expand(held.seq), ids):
+        raise AssertionError("the grammar does not expand to the ids of its shard")
+    return made
 
 
 _ID = operator.attrgetter("id")
@@ -398,13 +404,13 @@ def _steps(column: str, ends: list[int]) -> Column:
 
 def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for before, data in zip(b.column("before").to_pylist(), b.column("image").to_pylist(), strict=True):
+        for part, before, data in zip(b.column("part").to_pylist(), b.column("before").to_pylist(), b.column("image").to_pylist(), strict=True):
             s = Shard(data)
             ids = s.read(0, s.n_ids).astype("<u4").tobytes()
             edge = np.r_[0, np.cumsum(s.lengths)].tolist()
             crc = [zlib.crc32(ids[4 * i : 4 * j]) for i, j in itertools.pairwise(edge)]
             doc = pa.array(s.doc_ids, mask=np.arange(len(s.doc_ids)) < s.nulls)
-            yield pa.RecordBatch.from_arrays([b.column("part").slice(0, 1).take(pa.array([0] * len(doc))), doc, pa.array(before + s.starts), pa.array(s.lengths), pa.array(crc, pa.int64())], ["part", "doc_id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(doc), pa.int32()), doc, pa.array(before + s.starts), pa.array(s.lengths), pa.array(crc, pa.int64())], ["part", "doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:

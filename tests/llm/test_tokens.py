@@ -106,9 +106,18 @@ def test_empty_tables(spark, tmp_path):
     assert token_shards.read_shards(spark, str(tmp_path / "e")).count() == 0
 
 
-@pytest.mark.parametrize("size", [1 << 20, 300])
-def test_shards(spark, tmp_path, monkeypatch, library, size):
+@pytest.mark.parametrize(("size", "parts"), [(1 << 20, 4), (300, 4), (300, 40), (5000, 13)])
+def test_shards(spark, tmp_path, monkeypatch, library, size, parts):
     monkeypatch.setattr(token_shards, "SHARD_IDS", size)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))  # more parts than tasks that read them
+    try:
+        _check_shards(spark, tmp_path, library)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def _check_shards(spark, tmp_path, library):
     rows = [*((7 * i, t) for i, t in enumerate(samples())), (14, None), (None, "first"), (-3, "negative")]
     path = str(tmp_path / "s")
     token_shards.write_shards(frame(spark, rows).repartition(5), path, BYTES, end=0)
@@ -140,6 +149,25 @@ def test_grammar_random_access():
         token_shards.Shard(b"nope")
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 30, 300, 1000, 20_000, 50_000])
+def test_images_of_any_size_with_the_real_vocabulary(n):
+    r = np.random.default_rng(n)
+    for high in (3, 400, 20_000, 50_257):
+        ids = r.zipf(1.2, n).clip(1, high).astype(np.uint32) - 1
+        s = token_shards.Shard(token_shards.image([1], [n], ids, 50_257))
+        assert (s.read(0, n) == ids).all()
+    with pytest.raises(ValueError, match="first nonterminal"):
+        token_shards.repair(np.array([50_257, 1], dtype=np.uint32), 50_257)
+
+
+def test_equal_short_texts(spark, tmp_path, library):
+    rows = [(i % 7, "the same short text") for i in range(40)]
+    token_shards.write_shards(frame(spark, rows), str(tmp_path / "q"), BYTES)
+    n = len(library.encode("the same short text").ids) + 1
+    got = sorted((r.start, r.doc_id, r.n_tokens) for r in token_shards.read_shards(spark, str(tmp_path / "q")).collect())
+    assert got == [(n * k, i, n) for k, i in enumerate(sorted(i for i, _ in rows))]
+
+
 def overlapfree(seq):
     """How often each pair stands in a sequence, counted from the left without overlap."""
     count, last = {}, {}
