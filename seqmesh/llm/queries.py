@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqmesh.llm import byte_bpe, decontamination, exact_dedup, licenses, pii, simhash, token_counts, token_shards, toxicity, url_filter
+from seqmesh.llm import byte_bpe, decontamination, exact_dedup, importance, licenses, manifest, pii, piece_codec, simhash, token_counts, token_shards, toxicity, url_filter
 from seqmesh.session import scratch, table
 
 
@@ -99,6 +99,94 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), seed=2024, percent=10, n=1, buckets=10_000, least=20)
+
+
+def op12_piece_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.tampered(table(spark, sf_dir, "documents"))
+
+
+# CRC-32 of a text from the hex form of its bytes, with the table of its polynomial worked out by rule.
+_CRC = """crc_table AS (
+  SELECT list(list_reduce([i] || [0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) ORDER BY i) AS steps
+  FROM (SELECT unnest(range(256)) AS i))"""
+
+
+def _crc(text: str) -> str:
+    hexed = f"hex(encode({text}))"
+    data = f"list_transform(range(0, len({hexed}) // 2), lambda k: ('0x' || substr({hexed}, 2 * k + 1, 2))::BIGINT)"
+    return f"xor(list_reduce([4294967295] || {data}, lambda a, b: xor(a // 256, steps[xor(a % 256, b) + 1])), 4294967295)"
+
+
+_OP11 = rf"""
+WITH {_CRC},
+cut AS (
+  SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+target AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word
+  FROM benchmark),
+grams AS (SELECT row, word, count(*) AS n FROM (SELECT row, unnest(words) AS word FROM cut) GROUP BY ALL),
+hashed AS (SELECT word, {_crc("word")} % 10000 AS bucket FROM (SELECT word FROM grams UNION SELECT word FROM target), crc_table),
+source_counts AS (SELECT bucket, sum(n) AS s FROM grams JOIN hashed USING (word) GROUP BY bucket),
+target_counts AS (SELECT bucket, count(*) AS t FROM target JOIN hashed USING (word) GROUP BY bucket),
+sums AS (SELECT (SELECT coalesce(sum(s), 0) FROM source_counts)::DOUBLE AS all_s, (SELECT coalesce(sum(t), 0) FROM target_counts)::DOUBLE AS all_t),
+gains AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (all_s + 10000) / ((s + 1)::DOUBLE * (all_t + 10000))))::BIGINT AS gain
+  FROM source_counts LEFT JOIN target_counts USING (bucket), sums),
+weights AS (SELECT row, sum(n * gain)::BIGINT AS weight FROM grams JOIN hashed USING (word) JOIN gains USING (bucket) GROUP BY row),
+scored AS (
+  SELECT doc_id, len(words)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::UBIGINT::DOUBLE + 0.5) / 4294967296)))::BIGINT AS score
+  FROM cut LEFT JOIN weights USING (row)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features) AS r, count(*) OVER (PARTITION BY n_features >= 20) AS fit FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND r <= 10 * fit // 100 THEN r END AS rank FROM ranked
+"""
+
+
+def _leaf(n_chars: str) -> str:
+    parts = [f"coalesce(strlen({c}::VARCHAR) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", n_chars, "text")]
+    return f"sha256({' || '.join(parts)})"
+
+
+_OP13 = f"""
+WITH RECURSIVE {_CRC},
+docs AS (
+  SELECT doc_id, lang, {_leaf("n_chars")} AS leaf,
+    CASE WHEN {_crc("coalesce(doc_id::VARCHAR, '1')")} % 7 = 0 THEN {_leaf("(n_chars + 1)")} ELSE {_leaf("n_chars")} END AS other
+  FROM documents, crc_table),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n,
+    dense_rank() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS tree FROM docs),
+nodes AS (
+  SELECT tree, 0 AS level, i, n, leaf AS h FROM placed
+UNION ALL
+  SELECT tree, level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY tree, level, i // 2, n),
+tops AS (
+  SELECT 0 AS level, tree AS i, count(*) OVER () AS n, h FROM nodes WHERE n = 1
+UNION ALL
+  SELECT level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM tops WHERE n > 1 GROUP BY level, i // 2, n),
+ways AS (
+  SELECT row_number() OVER () AS row, doc_id, leaf, tree, 0 AS level, false AS top, i, n, other AS h, '' AS proof FROM placed
+UNION ALL
+  SELECT row, doc_id, leaf, tree, CASE WHEN w.n = 1 THEN 0 ELSE level + 1 END, top OR w.n = 1,
+    CASE WHEN w.n = 1 THEN tree ELSE w.i // 2 END, CASE WHEN w.n = 1 THEN (SELECT count(DISTINCT tree) FROM placed) ELSE (w.n + 1) // 2 END,
+    CASE WHEN w.n = 1 THEN w.h WHEN sibling IS NULL THEN sha256(w.h) WHEN w.i % 2 = 0 THEN sha256(w.h || sibling) ELSE sha256(sibling || w.h) END,
+    CASE WHEN w.n = 1 THEN proof ELSE proof || coalesce(sibling, '') END
+  FROM (
+    SELECT w.*, coalesce(a.h, b.h) AS sibling FROM ways w
+    LEFT JOIN nodes a ON NOT w.top AND w.n > 1 AND a.tree = w.tree AND a.level = w.level AND a.i = xor(w.i, 1)
+    LEFT JOIN tops b ON w.top AND w.n > 1 AND b.level = w.level AND b.i = xor(w.i, 1)) w
+  WHERE w.n > 1 OR NOT w.top)
+SELECT doc_id, leaf, (SELECT h FROM nodes z WHERE z.tree = w.tree AND z.n = 1) AS subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified
+FROM ways w, (SELECT h AS root FROM tops WHERE n = 1) WHERE w.top AND w.n = 1
+"""
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -110,5 +198,8 @@ QUERIES = {
     "op8_token_shards": op8_token_shards,
     "op9_license_scan": op9_license_scan,
     "op10_decontamination": op10_decontamination,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_piece_encode_decode": op12_piece_encode_decode,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
-ORACLES = {"op1_url_filter": _OP1, "op4_exact_dedup": _OP4}
+ORACLES = {"op1_url_filter": _OP1, "op4_exact_dedup": _OP4, "op11_importance_resampling": _OP11, "op13_merkle_manifest": _OP13}
