@@ -19,6 +19,7 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -158,18 +159,36 @@ class Scanner:
             run = set(range(len(self.rules)))
         found = [(m.start(), m.end(), k) for k in run for m in self.compiled[k].finditer(line)]
         found.sort(key=lambda d: (-self.rules[d[2]].priority, d[0] - d[1], d[2], d[0]))
+        reach = Reach([s for s, _, _ in found])
         kept: list[tuple[int, int, int]] = []
-        starts: dict[int, int] = {}
         for s, e, k in found:  # kept ones are stronger: a detection within one of them goes
-            if not any(a <= s and e <= b for a, b, _ in kept) if len(kept) < 64 else not _within(s, e, kept, starts):
+            if reach.of(s) < e:
                 kept.append((s, e, k))
-                starts[s] = max(starts.get(s, 0), e)
+                reach.put(s, e)
         return [(s, e, self.rules[k]) for s, e, k in sorted(kept)]
 
 
-def _within(s: int, e: int, kept: list[tuple[int, int, int]], starts: dict[int, int]) -> bool:
-    """Whether a kept interval contains s..e; detections are at most a few hundred bytes long."""
-    return any(starts.get(a, -1) >= e for a in range(max(0, s - 512), s + 1))
+class Reach:
+    """The furthest end of all intervals that start at or before a place, in logarithmic time for each step."""
+
+    def __init__(self, starts: list[int]):
+        self.at = {s: k + 1 for k, s in enumerate(sorted(set(starts)))}
+        self.most = [-1] * (len(self.at) + 1)
+
+    def put(self, start: int, end: int) -> None:
+        k = self.at[start]
+        while k < len(self.most):
+            if self.most[k] < end:
+                self.most[k] = end
+            k += k & -k
+
+    def of(self, start: int) -> int:
+        k, found = self.at[start], -1
+        while k:
+            if self.most[k] > found:
+                found = self.most[k]
+            k &= k - 1
+        return found
 
 
 def words(text: str) -> list[bytes]:
@@ -189,13 +208,21 @@ def scan(text: str, scanner: Scanner) -> tuple:
             base.add(label)
             at = line.find(needle, at + 1)
     kept = scanner.detections(line)
-    labels = base | {r.label for _, _, r in kept}
+    weight = dict.fromkeys(base, 1.0)
+    for _, _, r in kept:
+        weight[r.label] = max(weight.get(r.label, 0.0), r.weight)
     miss = 1.0
-    for label in labels:
-        miss *= 1.0 - max([1.0 if label in base else 0.0, *(r.weight for _, _, r in kept if r.label == label)])
-    start = [line.count(b" ", 0, p) for p in (min(places), max(places))] if places else [None, None]
-    spans = [(line.count(b" ", 0, s - 1), line.count(b" ", 0, e), r.label) for s, e, r in kept]
-    return len(found), len(places), *start, ",".join(sorted(base)), ",".join(sorted(labels)), 1.0 - miss if labels else 0.0, spans
+    for label in sorted(weight):
+        miss *= 1.0 - weight[label]
+    if not places and not kept:
+        return len(found), 0, None, None, "", "", 0.0, []
+    # a word's number is how many spaces stand before the one that precedes it
+    space = np.flatnonzero(np.frombuffer(line, dtype=np.uint8) == 32)
+    start = np.searchsorted(space, [min(places), max(places)]).tolist() if places else [None, None]
+    first = np.searchsorted(space, [s - 1 for s, _, _ in kept]).tolist()
+    last = np.searchsorted(space, [e for _, e, _ in kept]).tolist()
+    spans = [(a, b, r.label) for a, b, (_, _, r) in zip(first, last, kept, strict=True)]
+    return len(found), len(places), *start, ",".join(sorted(base)), ",".join(sorted(weight)), 1.0 - miss, spans
 
 
 _OUT = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<first:long,end:long,label:string>>"

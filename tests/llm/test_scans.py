@@ -225,3 +225,29 @@ def test_gated_rules_find_what_all_rules_find():
     assert len(licenses.signatures()) >= 200
     for text, label in (("GPLv3", "gpl-3"), ("GPL-3.0", "gpl-3"), ("LGPL-2.1", "lgpl-2.1"), ("MPL-2.0", "mpl-2"), ("AGPLv3", "agpl-3")):
         assert licenses.scan(text, s)[5] == label
+
+
+@pytest.mark.parametrize("n", [10, 63, 64, 65, 400])
+def test_containment_is_one_rule_at_all_sizes(n):
+    """Containers of any length, before and behind any number of other detections."""
+    r = random.Random(n)
+    rules = [licenses.Rule("start(?: (?:x|y|filler))* end", "long", 90, ("start",), 0.5), licenses.Rule("x", "x", 50, ("x",), 0.5), licenses.Rule("x y", "xy", 40, ("x",), 0.5), licenses.Rule("y", "y", 90, ("y",), 0.5)]
+    words = []
+    for _ in range(n):
+        words += r.choice([["x"], ["y"], ["x", "y"], ["other"], ["start", *r.choices(["x", "y", "filler"], k=r.choice([0, 3, 300])), "end"]])
+    line = (" " + " ".join(words) + " ").encode()
+    s = licenses.Scanner(rules)
+    every = sorted(((m.start(), m.end(), k) for k in range(len(s.rules)) for m in s.compiled[k].finditer(line)), key=lambda d: (-s.rules[d[2]].priority, d[0] - d[1], d[2], d[0]))
+    kept = []
+    for a, b, k in every:
+        if not any(c <= a and b <= d for c, d, _ in kept):
+            kept.append((a, b, k))
+    assert s.detections(line) == [(a, b, s.rules[k]) for a, b, k in sorted(kept)]
+
+
+def test_license_spans_of_very_many_detections():
+    n, text, s = 20_000, "released under the gnu general public license version 2 or later ", licenses.Scanner()
+    one = licenses.scan(text, s)
+    got = licenses.scan(text * n, s)
+    assert got[0] == 11 * n and one[7]
+    assert got[7] == [(a + 11 * k, b + 11 * k, label) for k in range(n) for a, b, label in one[7]]
