@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from seqmesh.llm import byte_bpe, token_counts, token_shards
+from seqmesh.llm import byte_bpe, piece_codec, token_counts, token_shards
 
 P = pytest.importorskip("public_tokenizers")
 BYTES, PIECES = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
@@ -99,8 +99,52 @@ def test_rounds_against_merging_one_by_one(seed):
         assert n == len(s), w
 
 
+@pytest.fixture(scope="module")
+def pieces():
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=PIECES), piece_codec.PieceCodec(open(PIECES, "rb").read())
+
+
+def test_piece_rounds(pieces):
+    sp, model = pieces
+    for t in [*samples(), "▁", " ▁ ▁▁x", "\x00", "中文字 слово العربية", "e" * 2000]:
+        ids = sp.encode(t, add_eos=True)
+        assert model.encode(t) == ids and model.decode(ids) == sp.decode(ids), t
+    huge = "".join(random.Random(4).choice("etaoinshrdlucm") for _ in range(100_000))
+    assert model.encode(huge) == sp.encode(huge, add_eos=True)
+
+
+def test_pieces_of_any_ids_decode_like_the_library(pieces):
+    sp, model = pieces
+    r = random.Random(1)
+    for _ in range(5000):
+        ids = [r.choice([r.randrange(32_000), r.randrange(260), 0, 1, 2, 29_871]) for _ in range(r.randint(0, 6))]
+        assert model.decode(ids) == sp.decode(ids), ids
+    with pytest.raises(ValueError, match="outside the model"):
+        model.decode([32_000])
+
+
+def test_piece_encode_decode(spark, pieces):
+    import hashlib
+
+    sp, _ = pieces
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    rows = [*enumerate(samples()), (3, None), (3, "twice"), (None, "no id")]
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in piece_codec.encoded(frame(spark, rows), PIECES).collect())
+    want = []
+    for i, t in rows:
+        ids = sp.encode(t or "", add_eos=True)
+        want.append((i is not None, i or 0, len(ids), sha(" ".join(map(str, ids))), sha(sp.decode(ids))))
+    assert got == sorted(want)
+    ids = piece_codec.encode(frame(spark, rows), PIECES)
+    back = piece_codec.decode(ids.unionByName(spark.createDataFrame([(-9, None)], "doc_id long, ids array<int>")), PIECES)
+    assert sorted((r.doc_id or -1, r.text) for r in back.collect()) == sorted([(-9, ""), *((i or -1, sp.decode(sp.encode(t or ""))) for i, t in rows)])
+
+
 def test_empty_tables(spark, tmp_path):
     none = frame(spark, [])
+    assert piece_codec.encoded(none, PIECES).count() == 0 and piece_codec.encode(none, PIECES).count() == 0
     assert byte_bpe.encoded(none, BYTES).count() == 0 and token_counts.token_counts(none, PIECES).count() == 0
     token_shards.write_shards(none, str(tmp_path / "e"), BYTES)
     assert token_shards.read_shards(spark, str(tmp_path / "e")).count() == 0
