@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqmesh.operators.order import numbered
+from seqmesh.session import materialise
+
 
 def last_wins(edges: DataFrame, order: list[str]) -> DataFrame:
     """One edge for each unordered pair: the last in ``order``. Hot pairs are reduced before the shuffle."""
@@ -37,3 +40,10 @@ def degrees(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 def isolated(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     ends = symmetrised(edges).select(F.col("src").alias("idx"))
     return vertices.join(ends, "idx", "left_anti").select("idx")
+
+
+def on_ordinals(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges between ordinals, names (idx, at)) of vertices of any ids, numbered in their order."""
+    names = materialise(numbered(vertices.select("idx"), ["idx"], "at"), "ordinals")
+    a, b = (names.withColumnsRenamed({"idx": x, "at": f"{x}_at"}) for x in ("src", "dst"))
+    return edges.join(a, "src").join(b, "dst").select(F.col("src_at").alias("src"), F.col("dst_at").alias("dst"), "weight"), names

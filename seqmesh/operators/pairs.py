@@ -1,14 +1,27 @@
-"""All pairs of a sequence set by Hamming distance, and the graph of those below a threshold."""
+"""All pairs of a sequence set by Hamming distance, and the graph of those below a threshold.
+
+A small threshold needs no look at all pairs: cut into as many segments as the threshold, two sequences below it agree
+in one segment at least, so they meet in an equi-join on segments, and the distance is taken of those that meet alone.
+How many would meet is counted first, exactly; where that is no small part of all pairs, all pairs it is.
+"""
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
+import operator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqmesh.functions.distance import hamming, plane_distance, planes
+from seqmesh.session import materialise
 
+#: A segment join is taken if no more than one in this many of all pairs would meet.
+WORTH = 4
+#: Sequences with one segment in common that meet in one place; larger groups are dealt to pairs of blocks.
+CROWD = 4096
 #: Bytes of sequences up to which one side is broadcast; beyond, both sides are dealt to pairs of blocks.
 BROADCAST_BYTES = 32 << 20
 
@@ -21,12 +34,15 @@ def sequence_length(seqs: DataFrame) -> tuple[int, int]:
     return n, high or 0
 
 
-def pairwise_hamming(seqs: DataFrame, alphabet: str | None = "ACGT", below: int | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def pairwise_hamming(seqs: DataFrame, alphabet: str | None = "ACGT", below: int | None = None, broadcast_bytes: int = BROADCAST_BYTES, join: str = "auto") -> DataFrame:
     """(i, j, d) for all i < j of ``seqs`` (idx, seq), or only those with d < ``below``.
 
     With an alphabet of up to four letters the distance is a population count within generated code; ``None`` compares
-    characters of any kind. The filter sits on the join, so pairs that fail it are never rows.
+    characters of any kind. The filter sits on the join, so pairs that fail it are never rows. ``join`` is 'pairs',
+    'segments' (needs ``below``), or 'auto', which takes segments if few enough pairs have one in common.
     """
+    if join not in ("auto", "pairs", "segments") or join == "segments" and below is None:
+        raise ValueError("join is 'auto', 'pairs', or with a threshold 'segments'")
     n, length = sequence_length(seqs)
     if alphabet is None:
         keyed = seqs.select("idx", F.col("seq").alias("v"))
@@ -35,7 +51,11 @@ def pairwise_hamming(seqs: DataFrame, alphabet: str | None = "ACGT", below: int
         keyed = seqs.select("idx", planes(F.col("seq"), length, alphabet).alias("v"))
         distance = plane_distance(F.col("a.v"), F.col("b.v"), length) if length else F.lit(0)
     upper = F.col("a.idx") < F.col("b.idx")
-    if n * max(length, 1) <= broadcast_bytes:
+    if below is not None and below <= 0:
+        return seqs.sparkSession.createDataFrame([], "i long, j long, d int")
+    if join == "segments" and below <= length or join == "auto" and _worth(seqs, n, length, alphabet, below):
+        joined = _by_segments(seqs, keyed, length, below)
+    elif n * max(length, 1) <= broadcast_bytes:
         spread = keyed.repartition(max(1, min(n // 64, 4 * keyed.sparkSession.sparkContext.defaultParallelism)), "idx")
         joined = spread.alias("a").join(F.broadcast(keyed).alias("b"), upper)
     else:
@@ -44,6 +64,16 @@ def pairwise_hamming(seqs: DataFrame, alphabet: str | None = "ACGT", below: int
     return pairs if below is None else pairs.where(F.col("d") < below)
 
 
+def _worth(seqs: DataFrame, n: int, length: int, alphabet: str | None, below: int | None) -> bool:
+    """Whether few enough pairs have a segment in common; short segments are not even counted."""
+    if below is None or not 0 < below <= length:
+        return False
+    letters = len(alphabet) if alphabet else 4
+    if n < 1000 or below >= WORTH * letters ** (length // below):
+        return False
+    return segment_candidates(seqs, below, length) * WORTH <= n * (n - 1) // 2
+
+
 def _by_blocks(keyed: DataFrame, upper: Column, blocks: int) -> DataFrame:
     """Each pair of sequences meets in the one bucket of its two blocks; a sequence is sent to ``blocks`` buckets."""
     own = F.pmod(F.xxhash64("idx"), F.lit(blocks)).cast("int")
@@ -53,7 +83,46 @@ def _by_blocks(keyed: DataFrame, upper: Column, blocks: int) -> DataFrame:
     return left.alias("a").join(right.alias("b"), (F.col("a.bi") == F.col("b.bi")) & (F.col("a.bj") == F.col("b.bj")) & upper)
 
 
-def threshold_graph(seqs: DataFrame, epsilon: int = 70, alphabet: str | None = "ACGT") -> DataFrame:
+def segments(seq: Column, length: int, below: int) -> list[Column]:
+    """``below`` segments, of lengths as equal as can be; sequences that differ in fewer places agree in one of them."""
+    edge = [k * length // below for k in range(below + 1)]
+    return [F.substring(seq, a + 1, b - a) for a, b in itertools.pairwise(edge)]
+
+
+def _segmented(seqs: DataFrame, length: int, below: int) -> DataFrame:
+    """(idx, seq, keys, at, key): a row for each segment of each sequence."""
+    keys = F.array(*segments(F.col("seq"), length, below))
+    return seqs.select("idx", "seq", keys.alias("keys")).select("*", F.posexplode("keys").alias("at", "key"))
+
+
+def _crowds(seqs: DataFrame, length: int, below: int) -> DataFrame:
+    """(at, key, size) of each group of sequences that have a segment in common."""
+    return _segmented(seqs, length, below).groupBy("at", "key").agg(F.count(F.lit(1)).alias("size"))
+
+
+def segment_candidates(seqs: DataFrame, below: int, length: int | None = None) -> int:
+    """How many pairs the segment join compares; a pair counts once for each segment it has in common."""
+    length = sequence_length(seqs)[1] if length is None else length
+    pairs = F.col("size").cast("decimal(38,0)") * (F.col("size") - 1) / 2
+    return int(_crowds(seqs, length, below).agg(F.coalesce(F.sum(pairs), F.lit(0))).first()[0])
+
+
+def _by_segments(seqs: DataFrame, keyed: DataFrame, length: int, below: int) -> DataFrame:
+    """Each pair with a segment in common, once: where its first common segment is."""
+    rows = _segmented(seqs, length, below).drop("seq")
+    crowd = materialise(_crowds(seqs, length, below).where(F.col("size") > CROWD).select("at", "key", F.ceil(F.col("size") / CROWD).cast("int").alias("blocks")), "crowds")
+    # fewer than one crowd for each CROWD rows of ``rows``
+    rows = rows.join(F.broadcast(crowd) if crowd.count() <= 100_000 else crowd, ["at", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own, every = F.pmod(F.xxhash64("idx"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    held = rows.join(keyed, "idx")
+    a = held.withColumn("bi", own).withColumn("bj", every).alias("a")
+    b = held.withColumn("bj", own).withColumn("bi", every).alias("b")
+    meet = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("at", "key", "bi", "bj")]
+    first = F.array_position(F.zip_with(F.col("a.keys"), F.col("b.keys"), lambda x, y: x == y), True) == F.col("a.at") + 1
+    return a.join(b, functools.reduce(operator.and_, meet) & (F.col("a.idx") < F.col("b.idx"))).where(first)
+
+
+def threshold_graph(seqs: DataFrame, epsilon: int = 70, alphabet: str | None = "ACGT", join: str = "auto") -> DataFrame:
     """Edges (src, dst, weight) of all pairs with distance strictly below ``epsilon``; src < dst."""
-    pairs = pairwise_hamming(seqs, alphabet, epsilon)
+    pairs = pairwise_hamming(seqs, alphabet, epsilon, join=join)
     return pairs.select(F.col("i").alias("src"), F.col("j").alias("dst"), F.col("d").alias("weight"))

@@ -7,6 +7,10 @@ ids, rows only for reachable pairs. It suits sparse graphs with small components
 strip the strip is closed on the driver, broadcast, and all strips are relaxed where they lie, without a shuffle. The
 strip height keeps a pivot strip within ``PIVOT_BYTES``, so what is broadcast does not grow with the graph. Each
 round's matrix is written to the shared folder, which cuts the lineage and lets the next pivot be read alone.
+
+``tiles``: two-dimensional tiles closed by halves (see ``tiles``), for graphs whose pivot strips would be thin.
+
+``sparse``: components first, and no table of all pairs (see ``sparse_paths``); unreachable pairs are added at the end.
 """
 
 from __future__ import annotations
@@ -18,15 +22,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqmesh.operators.graph import usable
-from seqmesh.operators.order import numbered
+from seqmesh.operators import tiles
+from seqmesh.operators.graph import on_ordinals, usable
+from seqmesh.operators.sparse_paths import reachable
+from seqmesh.operators.strip_medoids import Strips, of_tiles
+from seqmesh.operators.tiles import INF
 from seqmesh.session import discard, materialise, ship
 
-#: Path sums from here on count as unreachable.
-INF = 1_000_000_000
 PIVOT_BYTES, STRIP = 64 << 20, 512
-#: Vertices up to which ``auto`` squares relationally.
-RELATIONAL = 64
+#: Vertices up to which ``auto`` squares relationally, and beyond which it works on tiles.
+RELATIONAL, TILED = 64, 32_768
 
 
 def min_plus(x: DataFrame, y: DataFrame) -> DataFrame:
@@ -132,41 +137,72 @@ def _relational(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     while (mark := now.agg(F.count(F.lit(1)), F.sum(F.col("d").cast("decimal(38,0)"))).first()) != before:
         last, before, now = now, mark, materialise(min_plus(now, now), "paths")
         discard(last)
+    return _all_pairs(vertices, now)
+
+
+def _all_pairs(vertices: DataFrame, known: DataFrame) -> DataFrame:
+    """(i, j, d) of all ordered pairs, d null where ``known`` (i, j, d) has none: n x n rows by nature."""
     ends = vertices.select("idx")
     whole = ends.withColumnRenamed("idx", "i").join(ends.withColumnRenamed("idx", "j"), F.lit(True))
-    return whole.join(now, ["i", "j"], "left").select("i", "j", "d")
+    return whole.join(known, ["i", "j"], "left").select("i", "j", "d")
+
+
+def _measured(vertices: DataFrame) -> tuple[int, bool]:
+    """(number of vertices, whether they are 0..n-1)."""
+    n, low, high = vertices.agg(F.count(F.lit(1)), F.min("idx"), F.max("idx")).first()
+    return n, n == 0 or low == 0 and high == n - 1
 
 
-def shortest_paths(vertices: DataFrame, edges: DataFrame, strategy: str = "auto", zero_weight: str = "absent", strip: int = STRIP) -> DataFrame:
+def shortest_paths(vertices: DataFrame, edges: DataFrame, strategy: str = "auto", zero_weight: str = "absent", strip: int = STRIP, side: int = tiles.SIDE, leaf: int = tiles.LEAF) -> DataFrame:
     """(i, j, d) for all ordered pairs of ``vertices`` (idx), d null without a path.
 
     ``edges`` (src, dst, weight) are undirected, one for each pair (see ``last_wins``). Loops are ignored, weight 0 is
-    no edge unless ``zero_weight='edge'``, negative weights are an error. ``strips`` works on ordinals: vertices that
-    are not 0..n-1 are numbered for it, and pairs get their ids back.
+    no edge unless ``zero_weight='edge'``, negative weights are an error. ``strips`` and ``tiles`` work on ordinals:
+    vertices that are not 0..n-1 are numbered for it, and pairs get their ids back.
     """
     spark = vertices.sparkSession
     ship(spark)
     both = usable(edges, zero_weight)
-    n, low, high = vertices.agg(F.count(F.lit(1)), F.min("idx"), F.max("idx")).first()
+    n, dense = _measured(vertices)
     if n == 0:
         return spark.createDataFrame([], "i long, j long, d int")
-    dense = low == 0 and high == n - 1
+    if strategy == "sparse":
+        return _all_pairs(vertices, reachable(vertices, edges, zero_weight))
     if strategy == "relational" or strategy == "auto" and n <= RELATIONAL:
         return _relational(vertices, both)
+    names = None
+    if not dense:
+        both, names = on_ordinals(vertices, both)
+    if strategy == "tiles" or strategy == "auto" and n > TILED:
+        found = tiles.to_long(tiles.close(tiles.to_tiles(both, n, side), leaf))
+    else:
+        found = to_long(*_closed_strips(both, n, strip))
+    if names is None:
+        return found
+    i, j = (names.withColumnsRenamed({"idx": f"{x}_id", "at": x}) for x in "ij")
+    return found.join(i, "i").join(j, "j").select(F.col("i_id").alias("i"), F.col("j_id").alias("j"), "d")
+
+
+def path_strips(vertices: DataFrame, edges: DataFrame, zero_weight: str = "absent") -> Strips:
+    """The distances of ``shortest_paths`` as binary row strips, a written table."""
+    spark = vertices.sparkSession
+    ship(spark)
+    n, dense = _measured(vertices)
+    if n == 0:
+        return Strips(spark.createDataFrame([], "strip int, data binary"), 0, 1)
+    both, names = usable(edges, zero_weight), None
     if not dense:
-        names = materialise(numbered(vertices.select("idx"), ["idx"], "at"), "ordinals")
-        a, b = (names.withColumnsRenamed({"idx": x, "at": f"{x}_at"}) for x in ("src", "dst"))
-        placed = both.join(a, "src").join(b, "dst").select(F.col("src_at").alias("src"), F.col("dst_at").alias("dst"), "weight")
-        found = _by_strips(placed, n, strip)
-        i, j = (names.withColumnsRenamed({"idx": f"{x}_id", "at": x}) for x in "ij")
-        return found.join(i, "i").join(j, "j").select(F.col("i_id").alias("i"), F.col("j_id").alias("j"), "d")
-    return _by_strips(both, n, strip)
+        both, names = on_ordinals(vertices, both)
+    if n > TILED:
+        return of_tiles(tiles.close(tiles.to_tiles(both, n)), names)
+    table, n, height = _closed_strips(both, n, STRIP)
+    return Strips(table, n, height, names)
 
 
-def _by_strips(both: DataFrame, n: int, strip: int) -> DataFrame:
+def _closed_strips(both: DataFrame, n: int, strip: int) -> tuple[DataFrame, int, int]:
     height = max(1, min(strip, PIVOT_BYTES // (4 * n)))
     height = min(height, max(32, -(-n // both.sparkSession.sparkContext.defaultParallelism)))
-    return to_long(close_strips(to_strips(both, n, height), n, height), n, height)
+    return close_strips(to_strips(both, n, height), n, height), n, height
 
 
 def connected(distances: DataFrame) -> bool:

@@ -7,19 +7,20 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqmesh.operators.medoids import CAP, Clustering, k_medoids
+from seqmesh.operators import strip_medoids
+from seqmesh.operators.medoids import CAP, Clustering
 from seqmesh.operators.pairs import sequence_length, threshold_graph
-from seqmesh.operators.paths import shortest_paths
+from seqmesh.operators.paths import path_strips
 from seqmesh.session import materialise
 from seqmesh.sources.clustering import write_clustering
 from seqmesh.sources.dot import graph_of, read_dot, write_dot
 from seqmesh.sources.fasta import read_fasta
-from seqmesh.sources.matrix import read_matrix, write_matrix
+from seqmesh.sources.matrix import read_matrix, write_strips
 
 
 @dataclass
 class Run:
-    """The tables of a run and what a report needs: sizes, cost, medoids, seconds by stage."""
+    """The tables of a run and what a report needs: sizes, cost, medoids, medoids and cost of each pass, seconds by stage."""
 
     edges: DataFrame
     distances: DataFrame
@@ -38,11 +39,11 @@ def cluster_sequences(seqs: DataFrame, epsilon: int = 70, k: int = 4, init: list
     n, length = sequence_length(seqs)
     edges = materialise(threshold_graph(seqs, epsilon, alphabet), "edges")
     report = {"n": n, "length": length, "edges": edges.count(), "graph_s": lap()}
-    distances = materialise(shortest_paths(seqs.select("idx"), edges, zero_weight=zero_weight), "distances")
+    strips = path_strips(seqs.select("idx"), edges, zero_weight)
     report["paths_s"] = lap()
-    found = k_medoids(distances, k, init, seed, cap)
-    report |= {"medoids": found.medoids, "total_cost": found.total_cost, "passes": len(found.history), "medoids_s": lap()}
-    return Run(edges, distances, found, report)
+    found = strip_medoids.k_medoids(strips, k, init, seed, cap)
+    report |= {"medoids": found.medoids, "total_cost": found.total_cost, "passes": len(found.history), "history": found.history, "medoids_s": lap()}
+    return Run(edges, strips.long(), found, report)
 
 
 def fasta_to_dot(spark: SparkSession, fasta: str, dot: str, epsilon: int = 70) -> dict:
@@ -59,12 +60,12 @@ def fasta_to_dot(spark: SparkSession, fasta: str, dot: str, epsilon: int = 70) -
 def dot_to_matrix(spark: SparkSession, dot: str, matrix: str, zero_weight: str = "absent") -> dict:
     began = time.perf_counter()
     vertices, edges = graph_of(*read_dot(spark, dot))
-    write_matrix(shortest_paths(vertices, edges, zero_weight=zero_weight), matrix)
+    write_strips(path_strips(vertices, edges, zero_weight), matrix)
     return {"vertices": vertices.count(), "seconds": round(time.perf_counter() - began, 3)}
 
 
 def matrix_to_clusters(spark: SparkSession, matrix: str, out: str, k: int = 4, init: list[int] | None = None, seed: int = 0) -> dict:
     began = time.perf_counter()
-    found = k_medoids(read_matrix(spark, matrix), k, init, seed)
+    found = strip_medoids.k_medoids(strip_medoids.of_long(read_matrix(spark, matrix)), k, init, seed)
     write_clustering(found, out)
-    return {"medoids": found.medoids, "total_cost": found.total_cost, "seconds": round(time.perf_counter() - began, 3)}
+    return {"medoids": found.medoids, "total_cost": found.total_cost, "history": found.history, "seconds": round(time.perf_counter() - began, 3)}

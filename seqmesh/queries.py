@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqmesh.functions.distance import block_owner, capped, initial_distance, leading_int, vertex_name
-from seqmesh.operators import graph, medoids, pairs, paths
+from seqmesh.operators import components, graph, medoids, pairs, paths, sparse_paths, strip_medoids
 from seqmesh.operators.order import numbered
 from seqmesh.plans.pipeline import cluster_sequences
 from seqmesh.session import materialise, scratch, ship, table
 from seqmesh.sources import clustering, dot, fasta, matrix
 
-#: Thresholds on sign strings: a connected graph, and one with isolated vertices.
-NEAR, SPARSE = 26, 22
+#: Thresholds on sign strings: a connected graph, one with isolated vertices, many small components, and few close pairs.
+NEAR, SPARSE, THIN, CLOSE = 26, 22, 20, 16
 INIT = [0, 1, 2, 3]
 
 
@@ -64,6 +64,17 @@ def threshold_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.threshold_graph(signatures(spark, sf_dir), NEAR, "01")
 
 
+def threshold_edges_by_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs below a small threshold, from those that have one of its segments in common."""
+    return pairs.threshold_graph(signatures(spark, sf_dir), CLOSE, "01", "segments")
+
+
+def segment_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pairs the segment join compares for each of three thresholds."""
+    held = signatures(spark, sf_dir)
+    return spark.createDataFrame([(b, pairs.segment_candidates(held, b)) for b in (4, CLOSE, SPARSE)], "below int, candidates long")
+
+
 def symmetric_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.symmetrised(_edges(spark, sf_dir, NEAR))
 
@@ -114,6 +125,25 @@ def apsp_small(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _paths(spark, sf_dir, NEAR)
 
 
+def apsp_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paths of the near graph on tiles of 128 x 128, closed by halves."""
+    return paths.shortest_paths(_vertices(spark, sf_dir), _edges(spark, sf_dir, NEAR), "tiles", side=128, leaf=256)
+
+
+def apsp_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paths of the sparse graph by component, pairs with a path alone."""
+    return sparse_paths.reachable(_vertices(spark, sf_dir), _edges(spark, sf_dir, SPARSE))
+
+
+def apsp_delta_stepping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paths of a thinner graph by delta stepping from every vertex."""
+    return sparse_paths.delta_stepping(_vertices(spark, sf_dir), graph.usable(_edges(spark, sf_dir, THIN)), 80)
+
+
+def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.components(_vertices(spark, sf_dir), _edges(spark, sf_dir, SPARSE))
+
+
 def apsp_unreachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _paths(spark, sf_dir, SPARSE)
     return found.select("i", "j", F.coalesce("d", F.lit(paths.INF)).alias("d"), capped(F.col("d"), medoids.CAP).alias("capped"))
@@ -171,6 +201,11 @@ def matrix_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.matrix_lines(_paths(spark, sf_dir, SPARSE))
 
 
+def matrix_strip_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the matrix file from binary strips."""
+    return matrix.strip_lines(paths.path_strips(_vertices(spark, sf_dir), _edges(spark, sf_dir, SPARSE)))
+
+
 def matrix_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{scratch(spark)}/matrix-{uuid.uuid4().hex[:8]}.txt"
     matrix.write_matrix(_paths(spark, sf_dir, SPARSE), path)
@@ -210,6 +245,19 @@ def pam_swap_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return costs.select("h", F.posexplode(F.array(*[F.col(f"c{m}") for m in range(len(INIT))])).alias("slot", "cost"))
 
 
+def pam_strip_swap_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cost of every swap from the initial medoids, from binary strips."""
+    costs = strip_medoids.swap_costs(paths.path_strips(_vertices(spark, sf_dir), _edges(spark, sf_dir, NEAR)), INIT)
+    return costs.select("h", F.posexplode("costs").alias("slot", "cost"))
+
+
+def pam_strip_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each pass of the search on binary strips: its medoids and their cost."""
+    found = strip_medoids.k_medoids(paths.path_strips(_vertices(spark, sf_dir), _edges(spark, sf_dir, NEAR)), 4, INIT)
+    rows = [(p, slot, m, cost) for p, (med, cost) in enumerate(found.history) for slot, m in enumerate(med)]
+    return spark.createDataFrame(rows, "pass int, slot int, medoid long, cost long")
+
+
 def pam_best_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
     cost, slot, h = medoids.best_swap(materialise(_paths(spark, sf_dir, NEAR), "distances"), INIT)
     return spark.createDataFrame([(cost, slot, h)], "cost long, slot int, h long")
@@ -314,10 +362,10 @@ _PIPELINE = f"{_all(NEAR)}, {_SEARCH}, {_CLUSTERS} SELECT vertex, cluster, medoi
 QUERIES = {
     f.__name__: f
     for f in (
-        signature, hamming_pairs, hamming_pairs_any_alphabet, hamming_pairs_by_blocks, hamming_histogram, threshold_edges, symmetric_edges,
-        vertex_degree, isolated_vertices, initial_distances, parallel_edge_last_wins, nation_graph_apsp, min_plus_product, apsp_small,
-        apsp_unreachable, vertex_numbering, weight_parse, block_ownership, sequence_sizes, dot_lines, dot_roundtrip, dot_one_line, matrix_lines,
-        matrix_roundtrip, fasta_roundtrip, pam_assign, pam_assign_named, pam_cost, pam_swap_costs, pam_best_swap, pam_medoids, pam_random_start, sequence_pipeline,
+        signature, hamming_pairs, hamming_pairs_any_alphabet, hamming_pairs_by_blocks, hamming_histogram, threshold_edges, threshold_edges_by_segments, segment_candidates, symmetric_edges,
+        vertex_degree, isolated_vertices, initial_distances, parallel_edge_last_wins, nation_graph_apsp, min_plus_product, apsp_small, apsp_tiles, apsp_reachable, apsp_delta_stepping, graph_components,
+        apsp_unreachable, vertex_numbering, weight_parse, block_ownership, sequence_sizes, dot_lines, dot_roundtrip, dot_one_line, matrix_lines, matrix_strip_lines,
+        matrix_roundtrip, fasta_roundtrip, pam_assign, pam_assign_named, pam_cost, pam_swap_costs, pam_strip_swap_costs, pam_strip_passes, pam_best_swap, pam_medoids, pam_random_start, sequence_pipeline,
         pam_cluster_summary, pam_result_roundtrip,
     )
 }
@@ -329,6 +377,10 @@ ORACLES = {
     "hamming_pairs_by_blocks": f"WITH {_S} SELECT i, j, d FROM p",
     "hamming_histogram": f"WITH {_S} SELECT d, count(*) AS n FROM p GROUP BY d",
     "threshold_edges": f"WITH {_e(NEAR)} SELECT src, dst, weight FROM e",
+    "threshold_edges_by_segments": f"WITH {_e(CLOSE)} SELECT src, dst, weight FROM e",
+    "segment_candidates": f"""WITH s AS ({_SIG}), b(below) AS (VALUES (4), ({CLOSE}), ({SPARSE})),
+      cut AS (SELECT below, k, substr(seq, k * 64 // below + 1, (k + 1) * 64 // below - k * 64 // below) AS key FROM s, b, LATERAL (SELECT unnest(range(below)) AS k))
+      SELECT below, sum(c * (c - 1) // 2)::BIGINT AS candidates FROM (SELECT below, k, key, count(*) AS c FROM cut GROUP BY ALL) GROUP BY below""",
     "symmetric_edges": f"WITH {_e(NEAR)} SELECT src, dst, weight FROM b",
     "vertex_degree": f"WITH {_e(NEAR)} SELECT idx, count(b.src) AS degree FROM v LEFT JOIN b ON b.src = v.idx GROUP BY idx",
     "isolated_vertices": f"WITH {_e(SPARSE)} SELECT idx FROM v WHERE idx NOT IN (SELECT src FROM b)",
@@ -337,6 +389,10 @@ ORACLES = {
     "nation_graph_apsp": f"WITH RECURSIVE {_TRADE}, tb AS (SELECT * FROM trade2 WHERE weight > 0 AND src <> dst), {_closure('nations', 'tb')} SELECT i, j, d FROM dist",
     "min_plus_product": f"WITH {_e(SPARSE)} SELECT x.src AS i, y.dst AS j, min(x.weight + y.weight)::INT AS d FROM b x JOIN b y ON x.dst = y.src GROUP BY ALL",
     "apsp_small": f"{_all(NEAR)} SELECT i, j, d FROM dist",
+    "apsp_tiles": f"{_all(NEAR)} SELECT i, j, d FROM dist",
+    "apsp_reachable": f"{_all(SPARSE)} SELECT i, j, d FROM dist WHERE d IS NOT NULL",
+    "apsp_delta_stepping": f"{_all(THIN)} SELECT i, j, d FROM dist WHERE d IS NOT NULL",
+    "graph_components": f"{_all(SPARSE)} SELECT i AS idx, min(j) AS component FROM dist WHERE d IS NOT NULL GROUP BY i",
     "apsp_unreachable": f"{_all(SPARSE)} SELECT i, j, coalesce(d, 1000000000) AS d, least(coalesce(d, 100000), 100000) AS capped FROM dist",
     "vertex_numbering": "SELECT c_mktsegment, c_custkey, row_number() OVER (ORDER BY c_mktsegment, c_custkey) - 1 AS idx FROM customer",
     "weight_parse": "SELECT p_partkey, trunc(round(p_retailprice, 2))::INT AS weight FROM part",
@@ -347,12 +403,15 @@ ORACLES = {
     "dot_roundtrip": f"WITH {_e(NEAR)} SELECT src, dst, weight, 'A' || (src + 1) AS a, 'A' || (dst + 1) AS b FROM e",
     "dot_one_line": f"""WITH {_e(NEAR)} SELECT 'v; ' || src || ' -- [x]' AS a, 'v; ' || dst || ' -- [x]' AS b, weight FROM e""",
     "matrix_lines": f"{_all(SPARSE)} SELECT i, string_agg(CASE WHEN length(t) < 5 THEN lpad(t, 5, ' ') ELSE t END || ' ', '' ORDER BY j) AS line FROM (SELECT i, j, coalesce(d, 1000000000)::VARCHAR AS t FROM dist) GROUP BY i",
+    "matrix_strip_lines": f"{_all(SPARSE)} SELECT i, string_agg(CASE WHEN length(t) < 5 THEN lpad(t, 5, ' ') ELSE t END || ' ', '' ORDER BY j) AS line FROM (SELECT i, j, coalesce(d, 1000000000)::VARCHAR AS t FROM dist) GROUP BY i",
     "matrix_roundtrip": f"{_all(SPARSE)} SELECT i, j, d FROM dist",
     "fasta_roundtrip": f"SELECT idx, 'A' || (idx + 1) AS header, seq FROM ({_SIG})",
     "pam_assign": f"{_all(SPARSE)}, {_ASSIGN} SELECT i AS vertex, slot AS cluster, medoid, d AS dist FROM c WHERE k = 1",
     "pam_assign_named": f"{_all(SPARSE)}, {_ASSIGN} SELECT i AS vertex, slot AS cluster, medoid, d AS dist, 'A' || (i + 1) AS vertex_name, 'A' || (medoid + 1) AS medoid_name FROM c WHERE k = 1",
     "pam_cost": f"{_all(SPARSE)}, {_ASSIGN} SELECT sum(d)::BIGINT AS total_cost FROM c WHERE k = 1",
     "pam_swap_costs": f"{_all(NEAR)}, {_SWAPS} SELECT h, slot, cost FROM swaps",
+    "pam_strip_swap_costs": f"{_all(NEAR)}, {_SWAPS} SELECT h, slot, cost FROM swaps",
+    "pam_strip_passes": f"{_all(NEAR)}, {_SEARCH} SELECT pass, unnest([0, 1, 2, 3]) AS slot, unnest(med) AS medoid, cost FROM search",
     "pam_best_swap": f"{_all(NEAR)}, {_SWAPS} SELECT cost, slot, h FROM swaps ORDER BY cost, slot, h LIMIT 1",
     "pam_medoids": f"{_all(NEAR)}, {_SEARCH} SELECT slot, medoid, cost AS total_cost FROM slots",
     "pam_random_start": f"{_all(NEAR)}, {_DRAWN}, {_RANDOM} SELECT slot, medoid, cost AS total_cost FROM slots",
