@@ -16,7 +16,7 @@ from seqmesh.operators import components, graph, medoids, pairs, paths, sparse_p
 from seqmesh.operators.order import numbered
 from seqmesh.plans.pipeline import cluster_sequences
 from seqmesh.session import materialise, scratch, ship, table
-from seqmesh.sources import clustering, dot, fasta, matrix
+from seqmesh.sources import clustering, dot, fasta, matrix, text
 
 #: Thresholds on sign strings: a connected graph, one with isolated vertices, many small components, and few close pairs.
 NEAR, SPARSE, THIN, CLOSE = 26, 22, 20, 16
@@ -197,6 +197,22 @@ def dot_one_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").select("a", "b", "weight")
 
 
+def dot_subgraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers in a subgraph for each nation, with a default of its own, and edges from whole subgraphs to regions, read again."""
+    path = f"{scratch(spark)}/nested-{uuid.uuid4().hex[:8]}.dot"
+    n = F.col("n_nationkey").cast("string")
+    held = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    place = [F.col("n_nationkey").alias("nation"), F.col("s_suppkey").alias("supplier")]
+    rows = held.select(F.lit(1).alias("kind"), *place, F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(" -- hub"), n).alias("line"))
+    once = held.select("n_nationkey", "n_regionkey").distinct().withColumn("s_suppkey", F.lit(0).cast("long"))
+    opened = once.select(F.lit(0).alias("kind"), *place, F.concat(F.lit('subgraph "of '), n, F.lit('" {\nedge [weight='), F.col("n_nationkey") + 1, F.lit("]")).alias("line"))
+    closed = once.select(F.lit(2).alias("kind"), *place, F.concat(F.lit("}\nsubgraph /* all\nof it */ \"of "), n, F.lit('" -- r'), F.col("n_regionkey"), F.lit("\n[weight=100]")).alias("line"))
+    text.write_ordered(opened.unionByName(rows).unionByName(closed), path, ["nation", "kind", "supplier"], ["graph nested {"], ["}"])
+    vertices, edges = dot.read_dot(spark, path)
+    a, b = (vertices.withColumnsRenamed({"idx": i, "name": n}) for i, n in (("src", "a"), ("dst", "b")))
+    return edges.join(a, "src").join(b, "dst").select("a", "b", "weight")
+
+
 def matrix_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.matrix_lines(_paths(spark, sf_dir, SPARSE))
 
@@ -364,7 +380,7 @@ QUERIES = {
     for f in (
         signature, hamming_pairs, hamming_pairs_any_alphabet, hamming_pairs_by_blocks, hamming_histogram, threshold_edges, threshold_edges_by_segments, segment_candidates, symmetric_edges,
         vertex_degree, isolated_vertices, initial_distances, parallel_edge_last_wins, nation_graph_apsp, min_plus_product, apsp_small, apsp_tiles, apsp_reachable, apsp_delta_stepping, graph_components,
-        apsp_unreachable, vertex_numbering, weight_parse, block_ownership, sequence_sizes, dot_lines, dot_roundtrip, dot_one_line, matrix_lines, matrix_strip_lines,
+        apsp_unreachable, vertex_numbering, weight_parse, block_ownership, sequence_sizes, dot_lines, dot_roundtrip, dot_one_line, dot_subgraphs, matrix_lines, matrix_strip_lines,
         matrix_roundtrip, fasta_roundtrip, pam_assign, pam_assign_named, pam_cost, pam_swap_costs, pam_strip_swap_costs, pam_strip_passes, pam_best_swap, pam_medoids, pam_random_start, sequence_pipeline,
         pam_cluster_summary, pam_result_roundtrip,
     )
@@ -402,6 +418,8 @@ ORACLES = {
       UNION ALL SELECT 2, src, dst, '    A' || (src + 1) || ' -- A' || (dst + 1) || ' [label="' || weight || '", weight=' || weight || '];' FROM e""",
     "dot_roundtrip": f"WITH {_e(NEAR)} SELECT src, dst, weight, 'A' || (src + 1) AS a, 'A' || (dst + 1) AS b FROM e",
     "dot_one_line": f"""WITH {_e(NEAR)} SELECT 'v; ' || src || ' -- [x]' AS a, 'v; ' || dst || ' -- [x]' AS b, weight FROM e""",
+    "dot_subgraphs": """WITH s AS (SELECT 's' || s_suppkey AS supplier, 'hub' || n_nationkey AS hub, 'r' || n_regionkey AS region, (n_nationkey + 1)::INT AS w FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+      SELECT supplier AS a, hub AS b, w AS weight FROM s UNION ALL SELECT supplier, region, 100 FROM s UNION ALL SELECT DISTINCT hub, region, 100 FROM s""",
     "matrix_lines": f"{_all(SPARSE)} SELECT i, string_agg(CASE WHEN length(t) < 5 THEN lpad(t, 5, ' ') ELSE t END || ' ', '' ORDER BY j) AS line FROM (SELECT i, j, coalesce(d, 1000000000)::VARCHAR AS t FROM dist) GROUP BY i",
     "matrix_strip_lines": f"{_all(SPARSE)} SELECT i, string_agg(CASE WHEN length(t) < 5 THEN lpad(t, 5, ' ') ELSE t END || ' ', '' ORDER BY j) AS line FROM (SELECT i, j, coalesce(d, 1000000000)::VARCHAR AS t FROM dist) GROUP BY i",
     "matrix_roundtrip": f"{_all(SPARSE)} SELECT i, j, d FROM dist",
