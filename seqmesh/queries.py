@@ -16,7 +16,7 @@ from seqmesh.operators import components, graph, medoids, pairs, paths, sparse_p
 from seqmesh.operators.order import numbered
 from seqmesh.plans.pipeline import cluster_sequences
 from seqmesh.session import materialise, scratch, ship, table
-from seqmesh.sources import clustering, dot, fasta, matrix, text
+from seqmesh.sources import clustering, dot, fasta, formats, matrix, text
 
 #: Thresholds on sign strings: a connected graph, one with isolated vertices, many small components, and few close pairs.
 NEAR, SPARSE, THIN, CLOSE = 26, 22, 20, 16
@@ -228,6 +228,22 @@ def matrix_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.read_matrix(spark, path)
 
 
+def matrix_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matrix file read as a data source, in ranges of 64 KB."""
+    path = f"{scratch(spark)}/matrix-{uuid.uuid4().hex[:8]}.txt"
+    matrix.write_strips(paths.path_strips(_vertices(spark, sf_dir), _edges(spark, sf_dir, SPARSE)), path)
+    formats.register(spark)
+    return matrix.of_words(formats.ordered(spark.read.format("distmatrix").option("splitBytes", 1 << 16).load(path), "at"))
+
+
+def fasta_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sign strings written as a FASTA file and read as a data source, in ranges of 4 KB."""
+    path = f"{scratch(spark)}/signs-{uuid.uuid4().hex[:8]}.fa"
+    fasta.write_fasta(signatures(spark, sf_dir).withColumn("header", vertex_name(F.col("idx"))), path, 30)
+    formats.register(spark)
+    return formats.ordered(spark.read.format("fasta").option("splitBytes", 1 << 12).load(path)).select("idx", "header", "seq")
+
+
 def fasta_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sign strings written as a FASTA file and read again."""
     path = f"{scratch(spark)}/signs-{uuid.uuid4().hex[:8]}.fa"
@@ -381,7 +397,7 @@ QUERIES = {
         signature, hamming_pairs, hamming_pairs_any_alphabet, hamming_pairs_by_blocks, hamming_histogram, threshold_edges, threshold_edges_by_segments, segment_candidates, symmetric_edges,
         vertex_degree, isolated_vertices, initial_distances, parallel_edge_last_wins, nation_graph_apsp, min_plus_product, apsp_small, apsp_tiles, apsp_reachable, apsp_delta_stepping, graph_components,
         apsp_unreachable, vertex_numbering, weight_parse, block_ownership, sequence_sizes, dot_lines, dot_roundtrip, dot_one_line, dot_subgraphs, matrix_lines, matrix_strip_lines,
-        matrix_roundtrip, fasta_roundtrip, pam_assign, pam_assign_named, pam_cost, pam_swap_costs, pam_strip_swap_costs, pam_strip_passes, pam_best_swap, pam_medoids, pam_random_start, sequence_pipeline,
+        matrix_roundtrip, matrix_source, fasta_roundtrip, fasta_source, pam_assign, pam_assign_named, pam_cost, pam_swap_costs, pam_strip_swap_costs, pam_strip_passes, pam_best_swap, pam_medoids, pam_random_start, sequence_pipeline,
         pam_cluster_summary, pam_result_roundtrip,
     )
 }
@@ -423,6 +439,8 @@ ORACLES = {
     "matrix_lines": f"{_all(SPARSE)} SELECT i, string_agg(CASE WHEN length(t) < 5 THEN lpad(t, 5, ' ') ELSE t END || ' ', '' ORDER BY j) AS line FROM (SELECT i, j, coalesce(d, 1000000000)::VARCHAR AS t FROM dist) GROUP BY i",
     "matrix_strip_lines": f"{_all(SPARSE)} SELECT i, string_agg(CASE WHEN length(t) < 5 THEN lpad(t, 5, ' ') ELSE t END || ' ', '' ORDER BY j) AS line FROM (SELECT i, j, coalesce(d, 1000000000)::VARCHAR AS t FROM dist) GROUP BY i",
     "matrix_roundtrip": f"{_all(SPARSE)} SELECT i, j, d FROM dist",
+    "matrix_source": f"{_all(SPARSE)} SELECT i, j, d FROM dist",
+    "fasta_source": f"SELECT idx, 'A' || (idx + 1) AS header, seq FROM ({_SIG})",
     "fasta_roundtrip": f"SELECT idx, 'A' || (idx + 1) AS header, seq FROM ({_SIG})",
     "pam_assign": f"{_all(SPARSE)}, {_ASSIGN} SELECT i AS vertex, slot AS cluster, medoid, d AS dist FROM c WHERE k = 1",
     "pam_assign_named": f"{_all(SPARSE)}, {_ASSIGN} SELECT i AS vertex, slot AS cluster, medoid, d AS dist, 'A' || (i + 1) AS vertex_name, 'A' || (medoid + 1) AS medoid_name FROM c WHERE k = 1",
