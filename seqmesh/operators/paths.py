@@ -4,7 +4,7 @@
 ids, rows only for reachable pairs. It suits sparse graphs with small components.
 
 ``strips``: Floyd-Warshall over row strips of the dense matrix, each a row (strip, data) of int32 bytes. For each pivot
-strip the strip is closed on the driver, broadcast, and all strips are relaxed where they lie, without a shuffle. The
+strip the strip is closed by a task, broadcast, and all strips are relaxed where they lie, without a shuffle. The
 strip height keeps a pivot strip within ``PIVOT_BYTES``, so what is broadcast does not grow with the graph. Each
 round's matrix is written to the shared folder, which cuts the lineage and lets the next pivot be read alone.
 
@@ -15,6 +15,7 @@ round's matrix is written to the shared folder, which cuts the lineage and lets
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,6 +73,11 @@ def _pivot(data: bytes, n: int, first: int) -> np.ndarray:
     return np.minimum(out, INF)
 
 
+def _pivots(batches: Iterator[pd.DataFrame], n: int, first: int) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield pd.DataFrame({"data": [_pivot(d, n, first).tobytes() for d in b["data"]]})
+
+
 def to_strips(edges: DataFrame, n: int, height: int) -> DataFrame:
     """(strip, data) of the initial matrix of edges both ways; strips without an edge are there too."""
 
@@ -97,8 +103,9 @@ def close_strips(strips: DataFrame, n: int, height: int) -> DataFrame:
     spark, count = strips.sparkSession, -(-n // height)
     now = materialise(strips.repartition(min(count, spark.sparkContext.defaultParallelism), "strip"), "strips")
     for k in range(count):
-        data = now.where(F.col("strip") == k).select("data").first()[0]
-        shared = spark.sparkContext.broadcast(_pivot(bytes(data), n, k * height))
+        # closed by a task; what comes to the driver, to be sent out, is one strip
+        closed = now.where(F.col("strip") == k).mapInPandas(functools.partial(_pivots, n=n, first=k * height), "data binary").first()[0]
+        shared = spark.sparkContext.broadcast(np.frombuffer(closed, dtype="<i4").reshape(-1, n))
 
         def step(batches: Iterator[pd.DataFrame], shared=shared, k=k) -> Iterator[pd.DataFrame]:
             for b in batches:

@@ -1,5 +1,6 @@
 """The whole chain on a set of sequences made here, from file to file, against plain loops."""
 
+import os
 import random
 
 import pytest
@@ -74,3 +75,16 @@ def test_stages_from_file_to_file(spark, made):
     for r in rows.collect():
         near = [min(CAP, d[r.vertex][m]) for m in medoids]
         assert (r.cluster, r.medoid, r.dist) == (near.index(min(near)), medoids[near.index(min(near))], min(near))
+
+
+EXAMPLE = [os.environ.get(x, "") for x in ("SEQMESH_EXAMPLE_FASTA", "SEQMESH_EXAMPLE_RESULT")]
+
+
+@pytest.mark.skipif(not all(map(os.path.isfile, EXAMPLE)), reason="a published set of sequences and its result, as two paths")
+def test_published_example(spark):
+    """Threshold 70 and four medoids from the first four sequences end at the published medoids, cost and assignment."""
+    run = cluster_sequences(read_fasta(spark, EXAMPLE[0]).select("idx", "seq"), 70, 4, [0, 1, 2, 3])
+    medoids, rows, cost = read_clustering(spark, EXAMPLE[1])
+    assert run.clustering.total_cost == cost and sorted(run.clustering.medoids) == sorted(medoids)
+    # slots are numbered by the start, and ties go to the lowest slot, so a vertex is compared by its distance
+    assert sorted((r.vertex, r.dist) for r in run.clustering.assignment.collect()) == sorted((r.vertex, r.dist) for r in rows.collect())
