@@ -20,7 +20,8 @@ of 0.8, most differ in more. Given ``jaccard``, ``near_duplicates`` and ``keep_f
 the sets of ``WORDS``-word shingles, in bands of ``ROWS``, name the candidates (a pair at the very threshold is missed
 with a chance of at most ``MISS``), and each candidate is confirmed by the exact similarity of the two sets. Texts with
 the same set count as one. Of a band's bucket only pairs that may still join two components are compared, see
-``similar``; only texts of candidates are read again.
+``similar``. They are compared by sketch where they meet, the low bytes of their min-hashes; pairs that agree in so many
+places as one at the threshold would (again but for a chance of ``MISS``) are confirmed there, and links are written, no pairs.
 
 Defined results: null and empty texts (and texts of white space) have fingerprint zero and are linked like any other;
 texts of one to three words have one shingle; component_id is the smallest doc_id reachable, null only where all
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 
 from seqmesh.llm.common import documents, join_whole, slices, texts
 from seqmesh.llm.components import connected_components, forest
-from seqmesh.session import materialise, ship
+from seqmesh.session import discard, materialise, ship
 
 SHINGLE, SEED, THRESHOLD = 4, 42, 4
 #: Words of a shingle of the Jaccard similarity, min-hashes of a band, and the chance to miss a pair at the threshold.
@@ -50,8 +51,10 @@ WORDS, ROWS, MISS = 5, 4, 3e-5
 CAP = 1 << 18
 #: Buckets up to this size are compared many at a time, larger ones by breadth-first search.
 SMALL = 512
-#: Candidate pairs compared at a time.
-CHUNK = 1 << 21
+#: Candidate pairs compared at a time, by fingerprint and by sketch.
+CHUNK, PAIRS = 1 << 21, 1 << 18
+#: Members of a band's bucket, and hashes of their sets, that meet in one place; more are dealt to pairs of blocks.
+BLOCK, HASHES = 8192, 4 << 20
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1).astype(np.int64)
 
@@ -85,9 +88,24 @@ def shingle_set(text: str, shingle: int = WORDS) -> np.ndarray:
     return np.unique(np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts, stops)), dtype=np.uint64, count=len(stops)))
 
 
-def bands(found: np.ndarray, jaccard: float) -> np.ndarray:
-    """The band keys of a set that isn't empty; sets as similar as ``jaccard`` share one but for a chance of ``MISS``."""
-    n = max(1, math.ceil(math.log(MISS) / math.log1p(-(jaccard**ROWS)))) if jaccard < 1 else 1
+def band_number(jaccard: float) -> int:
+    """So many bands that sets as similar as ``jaccard`` share one but for a chance of ``MISS``."""
+    return max(1, math.ceil(math.log(MISS) / math.log1p(-(jaccard**ROWS)))) if jaccard < 1 else 1
+
+
+def agreement(jaccard: float) -> int:
+    """In how many min-hashes sets as similar as ``jaccard`` agree at least, but for a chance of ``MISS``."""
+    n, below = band_number(jaccard) * ROWS, 0.0
+    for k in range(n + 1):
+        below += math.comb(n, k) * jaccard**k * (1 - jaccard) ** (n - k)
+        if below > MISS:
+            return k
+    return n
+
+
+def bands(found: np.ndarray, jaccard: float) -> tuple[np.ndarray, bytes]:
+    """(band keys, sketch) of a set that isn't empty."""
+    n = band_number(jaccard)
     odd = np.random.default_rng(7).integers(0, 1 << 63, n * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     least = np.full(n * ROWS, (1 << 64) - 1, dtype=np.uint64)
     for i in range(0, len(found), 1 << 12):
@@ -96,7 +114,7 @@ def bands(found: np.ndarray, jaccard: float) -> np.ndarray:
     for column in least.reshape(n, ROWS).T:
         key = (key ^ column) * np.uint64(0x9E3779B97F4A7C15)
         key ^= key >> np.uint64(32)
-    return key
+    return key, least.astype(np.uint8).tobytes()
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -117,7 +135,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return documents(docs).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
-_SKETCH = "doc_id long, fp long, key long, whole long, n long, bands array<long>"
+_SKETCH = "doc_id long, fp long, key long, whole long, n long, bands array<long>, sketch binary"
 
 
 def _sketches(jaccard: float):
@@ -127,9 +145,10 @@ def _sketches(jaccard: float):
             sets = [shingle_set(x) for x in rows]
             fps = np.array([fingerprint(x) for x in rows], dtype=np.uint64)
             whole = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], dtype=np.uint64)
-            keys = [bands(x, jaccard).view(np.int64) if len(x) else np.zeros(0, np.int64) for x in sets]
-            columns = [pa.array(fps.view(np.int64)), b.column("key"), pa.array(whole.view(np.int64)), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], ["doc_id", "fp", "key", "whole", "n", "bands"])
+            made = [bands(x, jaccard) if len(x) else (np.zeros(0, np.uint64), b"") for x in sets]
+            keys, sketches = pa.array([k.view(np.int64) for k, _ in made], pa.list_(pa.int64())), pa.array([x for _, x in made], pa.binary())
+            columns = [pa.array(fps.view(np.int64)), b.column("key"), pa.array(whole.view(np.int64)), pa.array([len(x) for x in sets], pa.int64()), keys, sketches]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], ["doc_id", "fp", "key", "whole", "n", "bands", "sketch"])
 
     return run
 
@@ -153,49 +172,178 @@ def _confirm(jaccard: float):
     return run
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, jaccard: float) -> DataFrame:
-    """(a, b) of the candidate pairs (a, b, a_key, b_key) whose sets are at least as similar as ``jaccard``."""
-    needed = pairs.select(F.col("a_key").alias("key")).union(pairs.select("b_key")).distinct()
-    found = _keyed(docs).join(needed, "key", "left_semi").dropDuplicates(["key"]).select("key", "text").mapInArrow(_sets, "key long, found binary")
-    found = materialise(found, "shingles")
+_PAIR = "a long, b long, a_key long, b_key long"
+
+
+def _sketch_rows(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_buffer() for x in column), dtype=np.uint8).reshape(len(column), -1)
+
+
+def _alike(least: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                near = pa.array((_sketch_rows(b.column("x")) == _sketch_rows(b.column("y"))).sum(axis=1) >= least)
+                yield pa.RecordBatch.from_arrays([b.column(c).filter(near) for c in ("a", "b", "a_key", "b_key")], ["a", "b", "a_key", "b_key"])
+
+    return run
+
+
+def _needed_sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, found): the sets of the texts with these keys, a written table."""
+    found = _keyed(docs).join(keys, "key", "left_semi").dropDuplicates(["key"]).select("key", "text").mapInArrow(_sets, "key long, found binary")
+    return materialise(found, "shingles")
+
+
+def _confirmed(docs: DataFrame, pairs: DataFrame, one: DataFrame, jaccard: float) -> DataFrame:
+    """(a, b) of the candidate pairs (a, b, a_key, b_key) whose sets are at least as similar as ``jaccard``: first by sketch, then by the sets."""
+    x, y = (one.select(F.col("key").alias(f"{i}_key"), F.col("sketch").alias(c)) for i, c in ("ax", "by"))
+    near = materialise(pairs.join(x, "a_key").join(y, "b_key").select("a", "b", "a_key", "b_key", "x", "y").mapInArrow(_alike(agreement(jaccard)), _PAIR), "alike")
+    needed = near.select(F.col("a_key").alias("key")).union(near.select("b_key")).distinct()
+    found = _needed_sets(docs, needed)
     x, y = (found.select(F.col("key").alias(f"{i}_key"), F.col("found").alias(c)) for i, c in ("ax", "by"))
-    near = pairs.join(x, "a_key").join(y, "b_key").select("a", "b", "x", "y").mapInArrow(_confirm(jaccard), "a long, b long")
-    return materialise(near, "similar")
+    sure = materialise(near.join(x, "a_key").join(y, "b_key").select("a", "b", "x", "y").mapInArrow(_confirm(jaccard), "a long, b long"), "similar")
+    for gone in (near, found):
+        discard(gone)
+    return sure
+
+
+def alike_within(bucket: np.ndarray, band: np.ndarray, own: np.ndarray, split: np.ndarray, root: np.ndarray, fp: np.ndarray, n: np.ndarray, sketch: np.ndarray, jaccard: float) -> tuple[np.ndarray, np.ndarray]:
+    """(x, y): places of the pairs within a bucket that may be as similar as ``jaccard`` and have not the same root.
+
+    Rows come by bucket and ``n``; in a bucket that is ``split`` only pairs of different blocks ``own`` are looked at. A
+    pair belongs to the bucket of the first band (number ``band``) that it shares.
+    """
+    none, least = np.zeros(0, dtype=np.int64), agreement(jaccard)
+    place = bucket.astype(np.int64) << 40
+    end = np.searchsorted(place + n, place + np.floor(n / jaccard + 1e-9).astype(np.int64), "right")
+    count = end - np.arange(len(n)) - 1
+    total = np.cumsum(count)
+    edges = [0, *(np.flatnonzero(np.diff(total // PAIRS)) + 1).tolist(), len(n)]
+    found = [(none, none)]
+    for i, j in itertools.pairwise(edges):
+        c = count[i:j]
+        x = np.repeat(np.arange(i, j), c)
+        y = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + x + 1
+        open_ = (root[x] != root[y]) & (fp[x] != fp[y]) & (~split[x] | (own[x] != own[y]))
+        x, y = x[open_], y[open_]
+        same = sketch[x] == sketch[y]
+        near = same.sum(axis=1) >= least
+        x, y, same = x[near], y[near], same[near]
+        first = same.reshape(len(x), sketch.shape[1] // ROWS, ROWS).all(axis=2).argmax(axis=1) == band[x]
+        found.append((x[first], y[first]))
+    return tuple(np.concatenate([f[k] for f in found]) for k in (0, 1))
+
+
+_BUCKET = ("band", "bi", "bj")
+_MEMBER = "band long, k int, bi int, bj int, own int, root long, fp long, key long, n long, sketch binary"
+
+
+def _buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """(rows, bucket of each, whether it is split) of whole buckets, which come one after another; what a batch leaves open waits for the next."""
+    held: list[pa.RecordBatch] = []
+    for b in itertools.chain(batches, [None]):
+        if b is not None:
+            if not len(b):
+                continue
+            held.append(b)
+            if all(held[0].column(c)[0] == b.column(c)[len(b) - 1] for c in _BUCKET):
+                continue
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        key = np.stack([t.column(c).to_numpy() for c in _BUCKET], axis=1)
+        bucket = np.cumsum(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
+        done = int(np.searchsorted(bucket, bucket[-1])) if b is not None else len(key)
+        held = t.slice(done).to_batches() if b is not None else []
+        if done:
+            yield t.slice(0, done).combine_chunks(), bucket[:done], key[:done, 1] != key[:done, 2]
+
+
+def _alike_pairs(part: pa.Table, bucket: np.ndarray, split: np.ndarray, jaccard: float) -> tuple[np.ndarray, np.ndarray]:
+    band, own, root, fp, n = (part.column(c).to_numpy() for c in ("k", "own", "root", "fp", "n"))
+    return alike_within(bucket, band, own, split, root, fp, n, _sketch_rows(part.column("sketch").combine_chunks()), jaccard)
+
+
+def _members(jaccard: float):
+    """The members that have a pair to be confirmed in their bucket."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, bucket, split in _buckets(batches):
+            some = np.unique(np.concatenate(_alike_pairs(part, bucket, split, jaccard)))
+            if len(some):
+                yield from part.take(pa.array(some)).combine_chunks().to_batches()
+
+    return run
+
+
+def _linked(jaccard: float):
+    """(a, b): of the pairs that are similar enough so many that all of them are connected."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, bucket, split in _buckets(batches):
+            root, fp, column = part.column("root").to_numpy(), part.column("fp").to_numpy(), part.column("found").combine_chunks()
+            up: dict[int, int] = {}
+
+            def top(r: int, up: dict = up) -> int:
+                while (s := up.get(r, r)) != r:
+                    up[r] = r = up.get(s, s)
+                return r
+
+            found = []
+            for x, y in zip(*(c.tolist() for c in _alike_pairs(part, bucket, split, jaccard)), strict=True):
+                a, b = top(int(root[x])), top(int(root[y]))
+                if a != b and similarity(*(np.frombuffer(column[k].as_buffer(), dtype=np.uint64) for k in (x, y))) >= jaccard:
+                    up[a] = b
+                    found.append((fp[x], fp[y]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+
+    return run
 
 
 def similar(docs: DataFrame, rows: DataFrame, near: DataFrame, jaccard: float) -> DataFrame:
     """(node, root): components of ``near`` and of the texts whose sets of shingles are equal or at least as similar as ``jaccard``.
 
     A band's bucket is a group of any size, so its pairs are not written out. First every member meets the bucket's
-    head. In a bucket of near copies that links all; what is left are pairs across components, and of those each
-    member outside the bucket's largest component meets the others.
+    head. In a bucket of near copies that links all; what is left are pairs across components. Members of buckets that
+    hold more than one component are dealt to blocks of ``BLOCK`` and compared by sketch there, in the order of their
+    sizes, for only sizes within the threshold of each other can meet it.
     """
     some = rows.where("n > 0")
-    one = some.groupBy("whole").agg(F.min("fp").alias("fp"), F.min("key").alias("key"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    one = materialise(one, "sets")
+    firsts = [F.first(c).alias(c) for c in ("n", "bands", "sketch")]
+    one = materialise(some.groupBy("whole").agg(F.min("fp").alias("fp"), F.min("key").alias("key"), *firsts), "sets")
     same = some.select("whole", F.col("fp").alias("a")).distinct().join(one.select("whole", F.col("fp").alias("b")), "whole").where("a != b").select("a", "b")
     member = F.struct("key", "fp", "n")
-    bands = one.select(F.explode("bands").alias("band"), member.alias("y"))
+    bands = one.select(F.posexplode("bands").alias("k", "band"), member.alias("y"))
     heads = bands.groupBy("band").agg(F.min("y").alias("x"), F.count(F.lit(1)).alias("m")).where("m > 1").select("band", "x")
     buckets = materialise(bands.join(heads, "band").where("y.key != x.key"), "buckets")
-
-    def candidates(met: DataFrame) -> DataFrame:
-        # texts with the same fingerprint are linked as it is; sizes further apart than the threshold can't reach it
-        may = (F.col("x.fp") != F.col("y.fp")) & (F.least("x.n", "y.n") >= F.lit(jaccard) * F.greatest("x.n", "y.n"))
-        return met.where(may).select(*[F.col(f"{c}.{f}").alias(n) for c, f, n in (("x", "fp", "a"), ("y", "fp", "b"), ("x", "key", "a_key"), ("y", "key", "b_key"))]).distinct()
-
-    first = _confirmed(docs, materialise(candidates(buckets), "candidates"), jaccard)
+    # texts with the same fingerprint are linked as it is; sizes further apart than the threshold can't reach it
+    may = (F.col("x.fp") != F.col("y.fp")) & (F.least("x.n", "y.n") >= F.lit(jaccard) * F.greatest("x.n", "y.n"))
+    ends = [F.col(f"{c}.{f}").alias(n) for c, f, n in (("x", "fp", "a"), ("y", "fp", "b"), ("x", "key", "a_key"), ("y", "key", "b_key"))]
+    candidates = materialise(buckets.where(may).select(*ends).distinct(), "candidates")
+    first = _confirmed(docs, candidates, one, jaccard)
+    discard(candidates)
     roots = materialise(connected_components(near.union(same).union(first)), "roots")
-    all_ = buckets.select("band", "y").union(buckets.select("band", F.col("x").alias("y")).distinct()).withColumn("node", F.col("y.fp"))
-    named = materialise(all_.join(roots, "node", "left").select("band", "y", F.coalesce("root", "node").alias("root")), "named")
-    top = named.groupBy("band", "root").count().groupBy("band").agg(F.max(F.struct("count", "root")).alias("top"), F.count(F.lit(1)).alias("kinds"))
-    mixed = materialise(named.join(top.where("kinds > 1").select("band", F.col("top.root").alias("top")), "band"), "mixed")
-    if mixed.isEmpty():
+    all_ = buckets.select("band", "k", "y").union(buckets.select("band", "k", F.col("x").alias("y")).distinct()).withColumn("node", F.col("y.fp"))
+    named = materialise(all_.join(roots, "node", "left").select("band", "k", "y", F.coalesce("root", "node").alias("root")), "named")
+    discard(buckets)
+    kinds = named.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("m"), F.sum("y.n").alias("hashes"))
+    cuts = F.ceil(F.greatest(F.col("m") / F.lit(BLOCK), F.col("hashes") / F.lit(HASHES))).cast("int").alias("cuts")
+    mixed = named.join(kinds.where("low != high").select("band", cuts), "band").select("band", "k", "cuts", "y.key", "y.fp", "y.n", "root")
+    own = F.pmod(F.xxhash64("key"), F.col("cuts")).cast("int")
+    each = mixed.join(one.select("key", "sketch"), "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    dealt = each.select("band", "k", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "root", "fp", "key", "n", "sketch")
+    order = [*_BUCKET, "n", "key"]
+    members = materialise(dealt.repartition(*_BUCKET).sortWithinPartitions(*order).mapInArrow(_members(jaccard), _MEMBER), "members")
+    discard(named)
+    if members.isEmpty():
         return roots
-    x, y = (mixed.select("band", "top", F.col("y").alias(c), F.col("root").alias(f"{c}_root")) for c in "xy")
-    once = (F.col("y_root") == F.col("top")) | (F.col("x.key") < F.col("y.key"))
-    across = x.where("x_root != top").join(y.drop("top"), "band").where((F.col("x_root") != F.col("y_root")) & once)
-    rest = _confirmed(docs, materialise(candidates(across), "candidates"), jaccard)
+    sets = _needed_sets(docs, members.select("key").distinct())
+    held = members.join(sets, "key").repartition(*_BUCKET).sortWithinPartitions(*order)
+    rest = materialise(held.mapInArrow(_linked(jaccard), "a long, b long"), "similar")
+    for gone in (members, sets):
+        discard(gone)
     return roots if rest.isEmpty() else connected_components(rest.union(roots))
 
 

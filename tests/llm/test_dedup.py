@@ -154,10 +154,13 @@ def test_near_duplicates(spark, monkeypatch, cap):
     assert sorted(x.doc_id for x in kept if x.doc_id is not None) == sorted(i for i in [*least.values()] for _ in range(sum(j == i for j, _ in rows)))
 
 
-def test_pipeline_stage_keeps_one_of_similar_texts(spark):
-    """Copies with a few words replaced, against brute force over five-word shingles."""
+@pytest.mark.parametrize(("block", "hashes"), [(8192, 1 << 22), (5, 1 << 22), (8192, 500)])
+def test_pipeline_stage_keeps_one_of_similar_texts(spark, monkeypatch, block, hashes):
+    """Copies with a few words replaced, against brute force over five-word shingles; buckets whole and cut into blocks."""
     import corpus_pipeline
 
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "HASHES", hashes)
     r = random.Random(21)
     words = ["w%d" % i for i in range(3000)]
     rows = [(5000, None), (5001, ""), (5002, "two words"), (5003, "Two  words")]
@@ -194,6 +197,72 @@ def test_pipeline_stage_keeps_one_of_similar_texts(spark):
     assert far > 30 and kept == set(want.values())
 
 
+def test_agreement_is_a_binomial_tail():
+    n, least = simhash.band_number(0.8) * simhash.ROWS, simhash.agreement(0.8)
+    r = np.random.default_rng(1)
+    assert least < 0.8 * n and (r.binomial(n, 0.8, 1_000_000) < least).mean() <= 2 * simhash.MISS
+    assert (r.binomial(n, 0.8, 1_000_000) < least + 2).mean() > simhash.MISS
+    assert simhash.agreement(1) == simhash.ROWS
+
+
+def test_pairs_within_buckets_against_all_pairs():
+    """Each pair that agrees enough and shares a band comes once, from its first shared band, and no other does."""
+    r = np.random.default_rng(5)
+    n_bands, least = simhash.band_number(0.8), simhash.agreement(0.8)
+    width, docs = n_bands * simhash.ROWS, 150
+    base = r.integers(0, 256, (12, width), dtype=np.uint8)
+    sketch = base[r.integers(0, 12, docs)]
+    change = r.random((docs, width)) < r.random((docs, 1)) * 0.5
+    sketch = np.where(change, r.integers(0, 256, (docs, width)), sketch).astype(np.uint8)
+    root, fp, n = r.integers(0, 100, docs), r.integers(0, 140, docs), r.integers(80, 130, docs)
+    rows = []
+    for b in range(n_bands):
+        for d in range(docs):
+            rows.append((b, bytes(sketch[d, b * 4 : b * 4 + 4]), int(n[d]), d))
+    rows.sort()
+    name = {key: i for i, key in enumerate(sorted({x[:2] for x in rows}))}
+    bucket, band, who = np.array([name[x[:2]] for x in rows]), np.array([x[0] for x in rows]), np.array([x[3] for x in rows])
+    no = np.zeros(len(rows), dtype=bool)
+    x, y = simhash.alike_within(bucket, band, np.zeros(len(rows), dtype=int), no, root[who], fp[who], n[who], sketch[who], 0.8)
+    got = sorted(tuple(sorted(p)) for p in zip(who[x].tolist(), who[y].tolist()))
+    want = []
+    for i in range(docs):
+        for j in range(i):
+            same = sketch[i] == sketch[j]
+            shared = same.reshape(n_bands, 4).all(axis=1).any()
+            if root[i] != root[j] and fp[i] != fp[j] and min(n[i], n[j]) >= 0.8 * max(n[i], n[j]) and same.sum() >= least and shared:
+                want.append((j, i))
+    assert got == sorted(want) and len(want) > 100
+
+
+def test_a_bucket_of_many_dissimilar_members_names_no_pairs():
+    r = np.random.default_rng(2)
+    m, width = 6000, simhash.band_number(0.8) * simhash.ROWS
+    sketch = r.integers(0, 256, (m, width), dtype=np.uint8)
+    sketch[:, 12:16] = 7
+    n, zero = np.sort(r.integers(50, 5000, m)), np.zeros(m, dtype=int)
+    x, y = simhash.alike_within(zero, zero + 3, zero, zero > 0, np.arange(m), np.arange(m), n, sketch, 0.8)
+    assert not len(x) and not len(y)
+
+
+def test_a_shared_passage_links_nothing(spark):
+    """Texts that share a long passage and are not similar enough, and near copies of some of them."""
+    r = random.Random(4)
+    shared, rows = " ".join(f"s{i}" for i in range(300)), []
+    for i in range(400):
+        rows.append((i, shared + " " + " ".join(f"t{i}x{j}" for j in range(100))))
+    for i in range(0, 400, 40):
+        w = rows[i][1].split()
+        w[r.randrange(310, 390)] = "changed"
+        rows.append((1000 + i, " ".join(w)))
+    got = {x.doc_id: x.component_id for x in simhash.near_duplicates(frame(spark, rows), 0.8).collect()}
+    fps = {i: slow_fingerprint(t) for i, t in rows}
+    for i in range(0, 400, 40):
+        assert got[1000 + i] == got[i]
+    apart = [i for i in range(400) if all((fps[i] ^ f).bit_count() > 4 for j, f in fps.items() if j != i and j != i + 1000)]
+    assert len(apart) > 300 and all(got[i] == i for i in apart)
+
+
 def test_near_duplicates_empty(spark):
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
     assert simhash.keep_first(frame(spark, [])).count() == 0
