@@ -190,7 +190,9 @@ def close(tiles: Tiles, leaf: int = LEAF) -> Tiles:
     """The tiles of all shortest paths."""
     spark = tiles.table.sparkSession
     ship(spark)
-    cores, side, most = spark.sparkContext.defaultParallelism, tiles.side, max(1, leaf // tiles.side)
+    cores, side = spark.sparkContext.defaultParallelism, tiles.side
+    # halved once at least, so that more than one task has work
+    most = max(1, min(leaf // side, -(-tiles.across // 2)))
 
     def cut(t: DataFrame, rows: tuple[int, int], cols: tuple[int, int]) -> DataFrame:
         return t.where(F.col("bi").between(rows[0], rows[1] - 1) & F.col("bj").between(cols[0], cols[1] - 1))

@@ -127,7 +127,7 @@ def apsp_small(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def apsp_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The paths of the near graph on tiles of 128 x 128, closed by halves."""
-    return paths.shortest_paths(_vertices(spark, sf_dir), _edges(spark, sf_dir, NEAR), "tiles", side=128, leaf=256)
+    return paths.shortest_paths(_vertices(spark, sf_dir), _edges(spark, sf_dir, NEAR), "tiles", side=128)
 
 
 def apsp_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
