@@ -47,7 +47,7 @@ class Grid:
     def of(height: int, width: int, side: int, cores: int) -> Grid:
         """A grid for ``height`` x ``width`` tiles: enough owners for all cores, more where an owner would hold too much."""
         most = max(1, math.isqrt(OWNED // (4 * side * side)))
-        root = max(1, math.isqrt(cores))
+        root = math.isqrt(max(cores, 1) - 1) + 1
         return Grid(*(min(n, max(root, -(-n // most))) for n in (height, width)))
 
 
