@@ -31,16 +31,21 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(table(spark, sf_dir, "documents")).drop("tag")
 
 
-_OP1 = r"""
+_SUFFIXES = ", ".join(f"'{x}'" for x in url_filter.SUFFIXES)
+_OP1 = rf"""
 WITH parsed AS (
   SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
          coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
   FROM pages),
 known AS (SELECT doc_id AS page_id, max(1 - quality) AS bad FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1),
+named AS (SELECT page_id, host, regexp_replace(regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':[0-9]*$', ''), '\.$', '') AS bare FROM parsed),
+cut AS (SELECT page_id, host, bare, string_split(bare, '.') AS labels, array_to_string(string_split(bare, '.')[-2:], '.') AS two, regexp_matches(bare, '^([0-9]+(\.[0-9]+){{3}}|\[.*\])$') AS numeric FROM named),
+placed AS (
+  SELECT page_id, host, CASE WHEN numeric THEN bare WHEN two IN ({_SUFFIXES}) THEN array_to_string(labels[-3:], '.') ELSE two END AS domain,
+         CASE WHEN numeric THEN '{url_filter.NUMERIC}' WHEN two IN ({_SUFFIXES}) THEN two ELSE labels[-1] END AS suffix FROM cut),
 hosts AS (
-  SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix,
-         count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS k
-  FROM parsed LEFT JOIN known USING (page_id) GROUP BY host),
+  SELECT host, domain, suffix, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS k
+  FROM placed LEFT JOIN known USING (page_id) GROUP BY host, domain, suffix),
 domains AS (SELECT suffix, domain, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY ALL),
 units AS (SELECT 'h' AS level, n, k FROM hosts UNION ALL SELECT 'd', n, k FROM domains UNION ALL SELECT 's', n, k FROM suffixes),

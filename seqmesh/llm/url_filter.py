@@ -1,7 +1,9 @@
 """URL filters: explicit rules first, then empirical-Bayes host reputation.
 
-Labelled page outcomes (1: bad) are summed by host, registered domain (the last two labels) and suffix (the last
-label). Each level's bad rate has a beta prior centred on the level above; its strength comes from the intraclass
+Labelled page outcomes (1: bad) are summed by host, registered domain and suffix. The suffix is the last label, or the
+last two where registrants are one level down (``SUFFIXES``, as in co.uk); the registered domain is the suffix and one
+label more. User names, ports and a last dot are no part of either; numeric hosts are domains of their own, under one
+suffix. Each level's bad rate has a beta prior centred on the level above; its strength comes from the intraclass
 correlation of that level's units (analysis-of-variance estimator), so levels whose units agree shrink hard and levels
 whose units differ shrink little. A host is blocked when the lower bound of its posterior bad rate, mean less ``z``
 standard deviations, exceeds ``max_bad``; hosts without outcomes fall back on their domain's rate and are that uncertain.
@@ -31,6 +33,32 @@ RHO = (0.001, 0.5)
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
+# Suffixes of two labels under which the public registers names, by country.
+SUFFIXES = """
+com.ar gob.ar org.ar ac.at co.at or.at com.au edu.au gov.au id.au net.au org.au com.br edu.br gov.br net.br org.br
+com.cn edu.cn gov.cn net.cn org.cn com.co edu.co gov.co com.eg edu.eg com.hk edu.hk gov.hk org.hk co.id ac.id go.id
+or.id co.il ac.il org.il ac.in co.in edu.in gov.in net.in org.in ac.jp co.jp ed.jp go.jp ne.jp or.jp ac.ke co.ke or.ke
+ac.kr co.kr go.kr or.kr com.mx edu.mx gob.mx org.mx com.my edu.my gov.my com.ng edu.ng gov.ng ac.nz co.nz govt.nz
+net.nz org.nz com.pe edu.pe com.ph edu.ph gov.ph com.pk edu.pk com.pl edu.pl net.pl org.pl com.pt edu.pt com.sa
+edu.sa com.sg edu.sg gov.sg ac.th co.th go.th in.th com.tr edu.tr gov.tr org.tr com.tw edu.tw gov.tw org.tw com.ua
+edu.ua org.ua ac.uk co.uk gov.uk ltd.uk me.uk net.uk nhs.uk org.uk plc.uk sch.uk com.uy edu.uy com.ve com.vn edu.vn
+gov.vn ac.za co.za gov.za org.za
+""".split()
+#: The suffix that numeric hosts share.
+NUMERIC = "#"
+
+
+def registered(host: Column) -> tuple[Column, Column]:
+    """(registered domain, suffix) of a host."""
+    bare = F.regexp_replace(F.regexp_replace(host, r"(?s)^.*@", ""), r":[0-9]*$", "")
+    bare = F.regexp_replace(bare, r"\.$", "")
+    numeric = bare.rlike(r"^([0-9]+(\.[0-9]+){3}|\[.*\])$")
+    two = F.substring_index(bare, ".", -2)
+    deep = two.isin(SUFFIXES)
+    domain = F.when(numeric, bare).when(deep, F.substring_index(bare, ".", -3)).otherwise(two)
+    return domain, F.when(numeric, F.lit(NUMERIC)).when(deep, two).otherwise(F.substring_index(bare, ".", -1))
+
+
 def host(url: Column) -> Column:
     return F.coalesce(ascii_lower(F.regexp_extract(url, _URL, 1)), F.lit(""))
 
@@ -66,7 +94,8 @@ def _strength(units: DataFrame) -> float:
 def reputations(seen: DataFrame, z: float = Z, max_bad: float = MAX_BAD) -> DataFrame:
     """A row for each host of ``seen`` (host, bad: 1, 0 or null): n, k, posterior mean and lower bound of the bad rate, blocked."""
     hosts = seen.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"))
-    hosts = materialise(hosts.withColumns({"domain": F.substring_index("host", ".", -2), "suffix": F.substring_index("host", ".", -1)}), "hosts")
+    domain, suffix = registered(F.col("host"))
+    hosts = materialise(hosts.withColumns({"domain": domain, "suffix": suffix}), "hosts")
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     s, d, h = (_strength(x) for x in (suffixes, domains, hosts))

@@ -6,6 +6,7 @@ import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from seqmesh.llm import licenses, pii, url_filter
 
@@ -23,6 +24,24 @@ def test_url_parsing_and_rules(spark):
     assert got[12][:2] == ("b:", "//c/d") and got[13][:2] == ("x.com\n", "/p")
 
 
+def test_registered_domains(spark):
+    want = {
+        "a.b.example.com": ("example.com", "com"), "example.com": ("example.com", "com"), "com": ("com", "com"), "": ("", ""),
+        "www.shop.co.uk": ("shop.co.uk", "co.uk"), "shop.co.uk:8080": ("shop.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.notco.uk": ("notco.uk", "uk"),
+        "u:p@h.example.org.:80": ("example.org", "org"), "10.1.2.3": ("10.1.2.3", "#"), "10.1.2.3:99": ("10.1.2.3", "#"), "[2001:db8::1]": ("[2001:db8::1]", "#"),
+        "1.2.3.4.example.net": ("example.net", "net"), "localhost": ("localhost", "localhost"),
+    }
+    domain, suffix = url_filter.registered(F.col("host"))
+    got = spark.createDataFrame([(h,) for h in want], "host string").select("host", domain.alias("d"), suffix.alias("s")).collect()
+    assert {r.host: (r.d, r.s) for r in got} == want
+
+
+def test_registrants_of_a_deep_suffix_share_no_prior(spark):
+    rows = [(f"h{k}.spam.co.uk", 1) for k in range(4) for _ in range(30)] + [(f"h{k}.site{k}.co.uk", 0) for k in range(20) for _ in range(30)] + [("new.spam.co.uk", None), ("new.site1.co.uk", None)]
+    got = {r.host: r["mean"] for r in url_filter.reputations(spark.createDataFrame(rows, "host string, bad int")).collect()}
+    assert got["new.spam.co.uk"] > 0.5 > got["new.site1.co.uk"]
+
+
 def test_reputation_shrinks_and_blocks(spark):
     rows = [(f"bad{k}.spam.test", 1) for k in range(3) for _ in range(30)] + [(f"ok{k}.fine.test", 0) for k in range(5) for _ in range(40)] + [("new.spam.test", None), ("new.fine.test", None), ("odd.fine.test", 1), ("", 0)]
     seen = spark.createDataFrame(rows, "host string, bad int")
