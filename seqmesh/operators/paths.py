@@ -104,7 +104,7 @@ def close_strips(strips: DataFrame, n: int, height: int) -> DataFrame:
     now = materialise(strips.repartition(min(count, spark.sparkContext.defaultParallelism), "strip"), "strips")
     for k in range(count):
         # closed by a task; what comes to the driver, to be sent out, is one strip
-        closed = now.where(F.col("strip") == k).mapInPandas(functools.partial(_pivots, n=n, first=k * height), "data binary").first()[0]
+        closed = now.where(F.col("strip") == k).mapInPandas(functools.partial(_pivots, n=n, first=k * height), "data binary").collect()[0][0]
         shared = spark.sparkContext.broadcast(np.frombuffer(closed, dtype="<i4").reshape(-1, n))
 
         def step(batches: Iterator[pd.DataFrame], shared=shared, k=k) -> Iterator[pd.DataFrame]:
