@@ -97,11 +97,11 @@ def test_empty_documents(spark, planted, tmp_path):
 def test_names_and_oracles():
     from seqmesh.llm.queries import ORACLES, QUERIES
 
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 11)] and set(ORACLES) <= set(QUERIES)
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 14)] and set(ORACLES) <= set(QUERIES)
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
-@pytest.mark.parametrize("number", range(1, 11))
+@pytest.mark.parametrize("number", range(1, 14))
 def test_registered_query(spark, number):
     import duckdb
 
