@@ -18,6 +18,9 @@ COLUMNS = {
     "op8": ["doc_id", "start", "n_tokens", "ids_crc32"],
     "op9": ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
     "op10": ["doc_id", "item_id", "lcs_share", "cosine", "answer_found"],
+    "op11": ["doc_id", "n_features", "weight", "score", "rank"],
+    "op12": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    "op13": ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"],
 }
 
 
@@ -112,7 +115,7 @@ def test_registered_query(spark, number):
     assert got.columns == COLUMNS[f"op{number}"]
     rows = got.collect()
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     if number != 10:
         assert len(rows) == con.sql(f"SELECT count(*) FROM {'pages' if number == 1 else 'documents'}").fetchall()[0][0]
