@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seqmesh.operators import medoids, pairs, paths, sparse_paths, strip_medoids, tiles
+from seqmesh.operators import graph, medoids, pairs, paths, source_paths, sparse_paths, strip_medoids, tiles
 from seqmesh.operators.components import components
 from seqmesh.plans.pipeline import cluster_sequences
 from seqmesh.sources import matrix
@@ -100,6 +100,52 @@ def test_sparse_paths_of_a_dense_large_component(spark):
     assert known(sparse_paths.reachable(vertices_of(spark, ids), edges_of(spark, rows), local=3)) == dijkstra(ids, rows)
 
 
+def no_rounds(*_):
+    raise AssertionError("the whole matrix was written in rounds")
+
+
+@pytest.mark.parametrize(("heaviest", "delta"), [(9, None), (9, 4), (16_000, None), (400_000_000, 7)])
+def test_blocks_of_sources(heaviest, delta):
+    """Distances of 16 and of 32 bits, in rounds of all open vertices and of near ones."""
+    for n, m in ((1, 0), (90, 100), (120, 1500)):
+        rows = random_edges(n, m, n, heaviest)
+        s, t, w = (np.array([e[k] for e in rows], dtype=np.int64) for k in range(3))
+        held = source_paths.by_head(n, np.r_[s, t], np.r_[t, s], np.r_[w, w])
+        got = np.concatenate([source_paths.distances(held, at, min(n, at + 32), delta) for at in range(0, n, 32)], axis=1)
+        assert {(j, i): int(got[i, j]) for i, j in zip(*np.nonzero(got < INF), strict=True)} == dijkstra(range(n), rows)
+
+
+def test_paths_are_closed_without_rounds_over_the_matrix(spark, monkeypatch):
+    rows = random_edges(90, 140, 6)
+    want = dijkstra(range(90), rows)
+    v, e = vertices_of(spark, range(90)), edges_of(spark, rows)
+    monkeypatch.setattr(paths, "close_strips", no_rounds)
+    monkeypatch.setattr(tiles, "close", no_rounds)
+    assert known(paths.shortest_paths(v, e)) == want
+    assert known(paths.path_strips(v, e).long()) == want
+    assert known(sparse_paths.reachable(v, e, local=3)) == want
+
+
+@pytest.mark.parametrize("room", [0, 1 << 20])
+def test_delta_stepping_from_some_sources(spark, monkeypatch, room):
+    """By joins and by blocks of sources; edges one way, sources without edges, ids of any kind."""
+    monkeypatch.setattr(source_paths, "EDGE_BYTES", room)
+    one_way = edges_of(spark, [(-5, 70, 3), (70, 9, 4), (9, -5, 2), (70, 30, 50), (9, 30, 1)])
+    got = known(sparse_paths.delta_stepping(vertices_of(spark, [70, 8, 70]), one_way, 5))
+    assert got == {(70, 70): 0, (70, 9): 4, (70, -5): 6, (70, 30): 5, (8, 8): 0}
+    assert known(sparse_paths.delta_stepping(vertices_of(spark, []), graph.symmetrised(one_way), 5)) == {}
+
+
+def test_paths_of_edges_too_many_to_be_sent(spark, monkeypatch):
+    """Strips, tiles and joins, as they are taken where edges can't be broadcast."""
+    rows = random_edges(70, 110, 4)
+    want = dijkstra(range(70), rows)
+    v, e = vertices_of(spark, range(70)), edges_of(spark, rows)
+    monkeypatch.setattr(source_paths, "EDGE_BYTES", 0)
+    assert known(paths.shortest_paths(v, e)) == want
+    assert known(sparse_paths.reachable(v, e, local=3)) == want
+
+
 def test_sparse_strategy_has_all_pairs(spark):
     got = paths.shortest_paths(vertices_of(spark, range(5)), edges_of(spark, [(0, 1, 2)]), "sparse").collect()
     assert len(got) == 25 and sum(r.d is not None for r in got) == 7
