@@ -260,6 +260,13 @@ def test_segment_join(spark, monkeypatch, below, alphabet, crowd):
     assert pairs.segment_candidates(df, below) == sum(s[a:b] == t[a:b] for i, s in enumerate(rows) for t in rows[:i] for a, b in cut)
 
 
+def test_segments_look_at_the_distance_first(spark):
+    df = spark.createDataFrame(list(enumerate(sequences(30, 40, 3))), "idx long, seq string")
+    plan = pairs.pairwise_hamming(df, "ACGT", 5, join="segments")._jdf.queryExecution().optimizedPlan().toString()
+    join = next(x for x in plan.splitlines() if "Join Inner" in x and "zip_with" in x)
+    assert 0 <= join.index("bit_count") < join.index("zip_with")
+
+
 def test_segment_join_is_taken_where_it_pays(spark):
     df = spark.createDataFrame(list(enumerate(sequences(1200, 60, 1))), "idx long, seq string")
     assert pairs._worth(df, 1200, 60, "ACGT", 6) and not pairs._worth(df, 1200, 60, "ACGT", 50)

@@ -50,6 +50,20 @@ def test_hamming_pairs_three_ways(spark):
     assert below == [x for x in want if x[2] < 95]
 
 
+def test_pairs_in_chunks_and_of_many_letters(spark, monkeypatch):
+    """Pairs come as runs of one i with few j, also those of any alphabet, which are compared by bits, not letter by letter."""
+    monkeypatch.setattr(pairs, "CHUNK", 8)
+    r = random.Random(2)
+    rows = ["".join(r.choice("01xyzé😀\\-^") for _ in range(130)) for _ in range(70)] + ["0" * 130] * 2
+    want = sorted((i, j, sum(a != b for a, b in zip(rows[i], rows[j], strict=True))) for i in range(72) for j in range(i + 1, 72))
+    found = pairs.pairwise_hamming(seqs(spark, rows).coalesce(1), None)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "bit_count" in plan and "Sort [chunk" in plan
+    assert sorted(map(tuple, found.collect())) == want
+    monkeypatch.setattr(pairs, "LETTERS", 3)
+    assert sorted(map(tuple, pairs.pairwise_hamming(seqs(spark, rows), None).collect())) == want
+
+
 def test_unequal_lengths_and_letters(spark):
     with pytest.raises(ValueError, match="unequal length"):
         pairs.pairwise_hamming(seqs(spark, ["AC", "A"]))
