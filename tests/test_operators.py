@@ -191,3 +191,16 @@ def test_degrees_and_isolated(spark):
     e = edges_of(spark, [(0, 1, 1), (1, 2, 1)])
     assert sorted(map(tuple, graph.degrees(v, e).collect())) == [(0, 1), (1, 2), (2, 1), (3, 0)]
     assert [r.idx for r in graph.isolated(v, e).collect()] == [3]
+
+
+def test_min_plus_by_blocks(spark, monkeypatch):
+    """Blocks of the result give what the join gives: repeated pairs, nulls, distances from INF on, ids from below 0."""
+    r = random.Random(4)
+    ends = [r.randrange(-50, 60) for _ in range(40)]
+    tables = [spark.createDataFrame([(r.choice(ends), r.choice(ends), r.choice([None, 0, 5, 17, 999_999_990, 1_500_000_000])) for _ in range(600)], "i long, j long, d int") for _ in range(2)]
+    want = sorted(map(tuple, paths.min_plus(*tables).collect()))
+    shuffled = []
+    found = paths.products.by_blocks
+    monkeypatch.setattr(paths.products, "by_blocks", lambda *a: shuffled.append(a) or found(*a, side=16))
+    monkeypatch.setattr(paths, "PRODUCTS", 0)
+    assert sorted(map(tuple, paths.min_plus(*tables).collect())) == want and shuffled and len(want) > 500
