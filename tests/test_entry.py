@@ -31,3 +31,20 @@ def test_core_queries_match_their_oracles(spark):
         order = [want.columns.index(c) for c in cols]
         a = sorted((tuple(r[c] for c in cols) for r in got.collect()), key=repr)
         assert a == sorted((tuple(r[i] for i in order) for r in want.fetchall()), key=repr), name
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
+def test_paths_of_equal_vectors_match_their_oracles(spark, tmp_path):
+    """Equal sign strings are adjacent at distance 0."""
+    import duckdb
+
+    from seqmesh.queries import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    con.sql(f"CREATE TABLE v AS SELECT * FROM '{DATA}/embeddings.parquet' WHERE vec_id < 50")
+    con.sql("CREATE TABLE embeddings AS SELECT * FROM v UNION ALL SELECT * REPLACE ((vec_id + 50)::BIGINT AS vec_id) FROM v")
+    con.sql(f"COPY embeddings TO '{tmp_path}/embeddings.parquet'")
+    for name in ("pam_assign", "pam_best_swap", "pam_strip_swap_costs", "apsp_reachable", "apsp_delta_stepping", "apsp_tiles"):
+        want = con.sql(ORACLES[name])
+        got = QUERIES[name](spark, str(tmp_path)).select(*want.columns).collect()
+        assert sorted(map(tuple, got)) == sorted(want.fetchall()), name
