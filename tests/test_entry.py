@@ -48,3 +48,15 @@ def test_paths_of_equal_vectors_match_their_oracles(spark, tmp_path):
         want = con.sql(ORACLES[name])
         got = QUERIES[name](spark, str(tmp_path)).select(*want.columns).collect()
         assert sorted(map(tuple, got)) == sorted(want.fetchall()), name
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
+def test_edges_that_are_read_once_are_not_written(spark, monkeypatch):
+    from seqmesh import queries
+
+    def written(*_):
+        raise AssertionError("edges were written")
+
+    monkeypatch.setattr(queries, "materialise", written)
+    assert queries.symmetric_edges(spark, DATA).count() == 2 * queries.threshold_edges(spark, DATA).count()
+    assert queries.dot_lines(spark, DATA).where("kind = 2").count() == queries.threshold_edges(spark, DATA).count()
