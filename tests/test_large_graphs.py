@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from seqmesh.operators import graph, medoids, pairs, paths, source_paths, sparse_paths, strip_medoids, tiles
 from seqmesh.operators.components import components
 from seqmesh.plans.pipeline import cluster_sequences
+from seqmesh.session import materialise
 from seqmesh.sources import matrix
 from seqmesh.sources.text import write_ordered
 
@@ -84,6 +85,25 @@ def test_only_reachable_tiles_are_rows(spark):
     assert sorted((r.bi, r.bj) for r in closed.table.collect()) == [(k, k) for k in range(8)]
 
 
+@pytest.mark.parametrize(("n", "weight", "kind"), [(12, 7, "<u1"), (12, 40, "<i2"), (12, 5000, "<i4")])
+def test_tiles_are_as_narrow_as_their_distances_and_held_once(spark, n, weight, kind):
+    """A path: light edges may still lie far apart, which is found out when all is closed."""
+    rows = [(k, k + 1, weight) for k in range(n - 1)]
+    closed = tiles.close(tiles.to_tiles(edges_of(spark, rows + [(b, a, w) for a, b, w in rows]), n, 4), 4)
+    assert closed.kind == kind and sorted((r.bi, r.bj) for r in closed.table.collect()) == [(a, b) for a in range(3) for b in range(a, 3)]
+    assert known(tiles.to_long(closed)) == {(i, j): weight * abs(i - j) for i in range(n) for j in range(n)}
+
+
+def test_what_a_written_step_shuffled_is_deleted(spark):
+    def held():
+        return set(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").splitlines())
+
+    before = held()
+    out = materialise(spark.range(1000).repartition(7, "id"), "dealt")
+    assert not [p for p in held() - before if p.endswith(".data")]
+    assert out.count() == 1000
+
+
 @pytest.mark.parametrize("local", [0, 5, 2048])
 def test_sparse_paths(spark, local):
     rows = [*random_edges(60, 45, 3), (7, 7, 1), (0, 59, 0)]
