@@ -1,5 +1,6 @@
 """Distances, graphs, paths, medoids against brute force."""
 
+import itertools
 import random
 
 import numpy as np
@@ -193,6 +194,19 @@ def test_degrees_and_isolated(spark):
     assert [r.idx for r in graph.isolated(v, e).collect()] == [3]
 
 
+def test_blocks_of_pairs_are_met_as_arrays(spark, monkeypatch):
+    """However small a broadcast may be, a sequence is sent to as many buckets as there are blocks of sequences; nulls stay."""
+    r = random.Random(5)
+    rows = [(7 * k - 900, "".join(r.choice("ACGT") for _ in range(130))) for k in range(300)] + [(5, None)]
+    want = sorted((a, b, None if x is None or y is None else sum(p != q for p, q in zip(x, y, strict=True))) for (a, x), (b, y) in itertools.combinations(sorted(rows), 2))
+    for block, bound in ((50, None), (50, 95), (1000, None)):
+        monkeypatch.setattr(pairs, "BLOCK", block)
+        found = pairs.pairwise_hamming(spark.createDataFrame(rows, "idx long, seq string"), "ACGT", bound, 64)
+        got = [tuple(x) for x in found.collect()]
+        assert len(got) == len(set(got)) and set(got) == {w for w in want if bound is None or w[2] is not None and w[2] < bound}
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_min_plus_by_blocks(spark, monkeypatch):
     """Blocks of the result give what the join gives: repeated pairs, nulls, distances from INF on, ids from below 0."""
     r = random.Random(4)
