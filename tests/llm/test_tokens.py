@@ -273,3 +273,17 @@ def test_repair_halves_long_repeats():
     ids = np.tile(np.arange(4096, dtype=np.uint32), 2)
     steps, seq = token_shards.repair(ids, 4096)
     assert len(seq) == 2 and len(steps) < 100
+
+
+def test_repair_of_several_sequences_takes_steps_together():
+    """Each keeps its own rules and ends as it would alone."""
+    r = np.random.default_rng(8)
+    many = [r.zipf(1.3, n).clip(1, 900).astype(np.uint32) for n in (6000, 0, 1, 2, 5000, 6000)]
+    many += [np.tile(many[0][:50], 40), np.full(777, 3, dtype=np.uint32)]
+    found = token_shards.repair_together(many, 1000)
+    for ids, (rules, size, steps, seq) in zip(many, found, strict=True):
+        alone, rest = token_shards.repair(ids, 1000)
+        assert sum(steps) == len(rules) == len(size) and max(overlapfree(seq.tolist()).values(), default=0) < 2
+        assert len(seq) + 2 * len(rules) <= 1.03 * (len(rest) + 2 * sum(map(len, alone))) + 8
+        s = token_shards.Shard(token_shards.image([1], [len(ids)], ids, 1000, (rules, size, steps, seq)))
+        assert (s.read(0, len(ids)) == ids).all() and (s._down(s.seq, s._size(s.seq)) == ids).all()
