@@ -5,7 +5,8 @@ kinds of neighbours and from contractions, so all texts of a batch are cut by co
 to 15 characters is its own key, two numbers of 64 bits that hold its characters and its length; keys are found in an
 open-addressed table, all of a batch in the same probe. Longer ones are found in a dict.
 
-What a worker has met is kept up to ``most`` pre-tokens and then forgotten, which changes no result.
+What a worker has met is kept up to ``most`` pre-tokens, or 16 times as many ids, and then forgotten, which changes no
+result.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from seqmesh.llm.byte_bpe import _L, _N, _S
 _OTHER, _LETTER, _NUMBER, _WHITE = range(4)
 _KINDS = np.array([next((k for k, p in ((_LETTER, _L), (_NUMBER, _N), (_WHITE, _S)) if re.match(f"[{p}]", chr(c))), _OTHER) for c in range(256)], dtype=np.uint8)
 _SPACE, _QUOTE, _LONGEST = 32, 39, 15
+#: Words that are looked up at a time, of a text however long.
+BLOCK = 1 << 19
 #: By length: the bits of a word's first eight characters, and of the next seven.
 _LOW = np.array([(1 << 8 * min(n, 8)) - 1 for n in range(_LONGEST + 1)], dtype=np.uint64)
 _HIGH = np.array([(1 << 8 * max(n - 8, 0)) - 1 for n in range(_LONGEST + 1)], dtype=np.uint64)
@@ -47,7 +50,7 @@ def cuts(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
     if len(quote):
         before = np.maximum(quote - 1, 0)
         quote = quote[begin[quote] | (kind[before] != _OTHER) & ~space[before]]
-        following = np.append(data, [0, 0])
+        following = np.append(data, np.zeros(2, dtype=np.uint8))
         x, y = following[quote + 1], following[quote + 2]
         inside, both = ~begin[quote + 1], ~begin[quote + 1] & ~begin[quote + 2]
         one = inside & np.isin(x, list(b"stmd"))
@@ -125,21 +128,14 @@ class Words:
             self._place(entries[high > 0])
         return entries
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text (Latin-1, without special strings), as bytes of u32."""
-        whole = "".join(texts)
-        edges = np.cumsum([0, *map(len, texts)])
-        raw = np.frombuffer(whole.encode("latin-1") + bytes(16), dtype=np.uint8)
-        start = cuts(raw[:-16], edges)
-        if not len(start):
-            return [b""] * len(texts)
-        size = np.diff(start, append=len(whole))
+    def _encode(self, whole: str, raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The ids of the words at ``start``, end to end, and how many each has."""
         long, short = np.flatnonzero(size > _LONGEST), np.minimum(size, _LONGEST)
         eight = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
         low = eight[start] & _LOW.take(short)
         high = eight[start + 8] & _HIGH.take(short) | short.astype(np.uint64) << np.uint64(56)
         low[long] = high[long] = 0
-        if self.entries > self.most:
+        if self.entries > self.most or self.held > 16 * self.most:
             self.clear()
         entry = self._find(low, high)
         new = np.flatnonzero((entry == 0) & (high > 0))
@@ -152,11 +148,23 @@ class Words:
         if len(long):
             words = [whole[i:j] for i, j in zip(start[long].tolist(), (start[long] + size[long]).tolist(), strict=True)]
             fresh = list(dict.fromkeys(w for w in words if w not in self.long))
-            none = np.zeros(len(fresh), dtype=np.uint64)
             if fresh:
+                none = np.zeros(len(fresh), dtype=np.uint64)
                 self.long.update(zip(fresh, self._add(fresh, none, none).tolist(), strict=True))
             entry[long] = [self.long[w] for w in words]
         count = self.count.take(entry).astype(np.int64)
-        ids = self.pool.take(ranges(self.start.take(entry), count)).tobytes()
+        return self.pool.take(ranges(self.start.take(entry), count)).tobytes(), count
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text (Latin-1, without special strings), as bytes of u32."""
+        whole = "".join(texts)
+        edges = np.cumsum([0, *map(len, texts)])
+        raw = np.frombuffer(whole.encode("latin-1") + bytes(16), dtype=np.uint8)
+        start = cuts(raw[:-16], edges)
+        if not len(start):
+            return [b""] * len(texts)
+        size = np.diff(start, append=len(whole))
+        found = [self._encode(whole, raw, start[i : i + BLOCK], size[i : i + BLOCK]) for i in range(0, len(start), BLOCK)]
+        ids, count = b"".join([x for x, _ in found]), np.concatenate([x for _, x in found])
         ends = 4 * np.append(0, np.cumsum(count))[np.searchsorted(start, edges)]
         return [ids[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]

@@ -302,6 +302,7 @@ def test_latin_texts_are_cut_like_the_pattern():
 def test_ids_of_texts_together(monkeypatch, library, known):
     """Latin-1 texts, wider ones, special strings and long words side by side; keys that are alike; a memo that is full."""
     monkeypatch.setattr(token_shards, "KNOWN", known)
+    monkeypatch.setattr(latin_words, "BLOCK", 1000)
     model, r = token_shards.Known(open(BYTES, "rb").read()), random.Random(6)
     rows = [*samples(), "\0", "\0\0", "a\0", "a" * 15, "a" * 16, "a" * 7 + " " + "a" * 8, "a" * 9, " " * 15, " " * 40 + "z", "é" * 15, "é" * 16]
     rows += [" ".join("".join(r.choice("abcd") for _ in range(r.randint(1, 18))) for _ in range(400)) for _ in range(20)]
