@@ -222,6 +222,33 @@ def test_benchmark_in_several_blocks(spark, monkeypatch):
     assert got == {(k, k) for k in range(5)}
 
 
+def test_basis_is_fitted_on_every_document(spark):
+    """Far more documents than a sample would have: each has a word of its own, and all of these have a place in the basis."""
+    docs = spark.createDataFrame([(d, f"own{d} at{d % 7} by{d % 11}") for d in range(6000)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "own1 at1 by1 some more words of an item")], "item_id long, text string")
+    _, basis = next(decontamination._searchers(docs, items))
+    met = decontamination.hashed([f"own{d}".encode() for d in range(6000)])
+    assert basis.value[met].any(axis=1).all() and not basis.value[-1].any()
+
+
+def test_products_of_passages():
+    r = np.random.default_rng(3)
+    size = r.integers(1, decontamination.PASSAGE + 1, 700)
+    ids = np.where(r.random(size.sum()) < 0.3, 5, r.integers(0, 400, size.sum()))  # one word in runs far longer than a passage
+    idf = (r.random(decontamination.DIMENSIONS) + 0.1).astype(np.float32)
+    a = np.zeros((700, decontamination.DIMENSIONS), dtype=np.float32)
+    np.add.at(a, (np.repeat(np.arange(700), size), ids), idf[ids])
+    per_place = np.zeros(700)
+    np.add.at(per_place, np.repeat(np.arange(700), size), idf[ids].astype(float) ** 2)
+    a /= np.sqrt(per_place)[:, None]
+    q = r.standard_normal((decontamination.DIMENSIONS, 8), dtype=np.float32)
+    got, want = np.zeros_like(q), a.T @ (a @ q)
+    decontamination.gram(ids, size, idf, *decontamination.rounded(q * idf[:, None]), got)
+    assert np.abs(got * idf[:, None] - want).max() < 2e-3 * np.abs(want).max()
+    x, length = decontamination.along(ids, size, idf, q * idf[:, None])
+    assert np.allclose(x / length[:, None], a @ q, atol=1e-4)
+
+
 def test_orthonormal():
     z = np.random.default_rng(1).standard_normal((500, 32)).astype(np.float32)
     q = decontamination.orthonormal(z.copy())
