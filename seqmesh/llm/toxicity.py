@@ -50,12 +50,31 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """(words of each text, index of each word, distinct words), lower-cased, without marks at their ends."""
+    counts, index, words = _raw_tokens(column)
+    return counts, index, [w.strip(_EDGE) for w in words]
+
+
+def _raw_tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """The same with the marks."""
     lists = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.utf8_lower(column.cast(pa.large_string()).fill_null(""))))
     flat = lists.flatten()
     real = pc.not_equal(flat, "")  # splitting nothing gives one empty piece
     coded = flat.filter(real).dictionary_encode()
     counts = np.diff(np.r_[0, np.cumsum(real.to_numpy(zero_copy_only=False))][lists.offsets.to_numpy() - lists.offsets[0].as_py()])
-    return counts, coded.indices.to_numpy().astype(np.int64), [w.strip(_EDGE) for w in coded.dictionary.to_pylist()]
+    return counts, coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+
+
+def tokens_of(texts: list[str], block: int = 128) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """What ``tokens`` makes of all texts, some at a time, so that their words are never all there as strings."""
+    known: dict[str, int] = {}
+    counts, index = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int32)]
+    for i in range(0, len(texts), block):
+        n, at, words = _raw_tokens(pa.array(texts[i : i + block]))
+        place = np.array([known.setdefault(w, len(known)) for w in words], dtype=np.int32)
+        counts.append(n)
+        index.append(place[at])
+    give_back()
+    return np.concatenate(counts), np.concatenate(index).astype(np.int64), [w.strip(_EDGE) for w in known]
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -236,7 +255,7 @@ def train(texts: list[str], labels: np.ndarray, share: float, seed: int = 5) ->
         out.constant = float(share)
         return out
     r = np.random.default_rng(seed)
-    counts, index, words = tokens(pa.array(texts))
+    counts, index, words = tokens_of(texts)
     owner = np.repeat(np.arange(len(texts)), counts)
     fitted = np.arange(len(texts)) % 6 != 0
     kept = fitted[owner]
@@ -272,6 +291,7 @@ def train(texts: list[str], labels: np.ndarray, share: float, seed: int = 5) ->
     row = np.array([net.vocabulary.get(w, 0) for w in words], dtype=np.int32)
     n_words = len(words)
     del words, distinct, names, uneven, often, hit, miss, owner, kept, same, index
+    give_back()
 
     def vectors(some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Input vectors of words, and what passes their gradients on: n-gram buckets, whose they are, how many each has."""

@@ -93,6 +93,13 @@ def test_grams_are_by_word():
     assert toxicity.tokens(pa.array(["A b\u2003C.", None, ""]))[0].tolist() == [3, 0, 0]
 
 
+@pytest.mark.parametrize("block", [1, 2, 3, 100])
+def test_tokens_in_blocks(block):
+    texts = ["A b\u2003C. b", "", "b! c d", "  ", "D (a) a b", "x"]
+    whole, parts = toxicity.tokens(pa.array(texts)), toxicity.tokens_of(texts, block)
+    assert [x.tolist() for x in whole[:2]] == [x.tolist() for x in parts[:2]] and whole[2] == parts[2]
+
+
 def bench(n, seed):
     r = random.Random(seed)
     part = ["be", "do", "fal", "gim", "hu", "jor", "ne", "qui", "sa", "tem", "ul", "wex"]
