@@ -25,7 +25,7 @@ from seqmesh.session import materialise, ship
 #: A segment join is taken if no more than one in this many of all pairs would meet.
 WORTH = 4
 #: Sequences with one segment in common that meet in one place; larger groups are dealt to pairs of blocks.
-CROWD = 4096
+CROWD, ARRAY = 4096, 8
 #: Bytes of sequences up to which one side is broadcast; beyond, both sides are dealt to pairs of blocks.
 BROADCAST_BYTES = 32 << 20
 #: Sequences of a block, about, and pairs of them that are made at once.
@@ -61,7 +61,10 @@ def pairwise_hamming(seqs: DataFrame, alphabet: str | None = "ACGT", below: int
     if below is not None and below <= 0:
         return seqs.sparkSession.createDataFrame([], "i long, j long, d int")
     if join == "segments" and below <= length or join == "auto" and _worth(seqs, n, length, alphabet, below):
-        joined = _by_segments(seqs, value, length, below, distance)
+        crowd = materialise(_crowds(seqs, length, below).where(F.col("size") > CROWD), "crowds")
+        if bits and keyed.schema["idx"].dataType == LongType() and not crowd.isEmpty():
+            return _by_segment_planes(seqs, value, length, below, bits, crowd)
+        joined = _by_segments(seqs, value, length, below, distance, crowd)
     elif n * max(length, 1) <= broadcast_bytes:
         spread = keyed.repartition(max(1, min(n // 64, 4 * keyed.sparkSession.sparkContext.defaultParallelism)), "idx")
         joined = _by_chunks(spread, keyed, upper, -(-n // CHUNK))
@@ -124,6 +127,72 @@ def _by_blocks(keyed: DataFrame, upper: Column, blocks: int) -> DataFrame:
     return left.alias("a").join(right.alias("b"), (F.col("a.bi") == F.col("b.bi")) & (F.col("a.bj") == F.col("b.bj")) & upper)
 
 
+def _compared(left: tuple, right: tuple, same: bool, below: int | None, bits: int, kept=None) -> Iterator[pa.RecordBatch]:
+    """(i, j, d) of two blocks, each (ids, words of bit planes, whether they are known); of one with itself if ``same``.
+
+    ``kept`` tells from the places that differ, a word for each ``PLANE`` characters, which pairs below the threshold stay.
+    """
+    (a, v, known_a), (b, w, known_b) = left, right
+    # planes that no sequence has a bit in are no matter
+    groups = [[k for k in range(g, g + bits) if v[k].any() or w[k].any()] for g in range(0, len(v), bits)]
+    kind = np.uint8 if max(len(groups) * PLANE, below or 0) < 256 else np.int32
+    high, all_known = max(1, PAIRS // max(len(b), 1)), bool(known_a.all() and known_b.all())
+    for at in range(0, len(a), high):
+        rows = slice(at, at + high)
+        i, d = a[rows], np.zeros((len(a[rows]), len(b)), dtype=kind)
+        for group in groups:
+            if group:
+                d += np.bitwise_count(functools.reduce(np.bitwise_or, (v[k][rows, None] ^ w[k] for k in group)))
+        if below is None and not same:
+            i, j = np.broadcast_arrays(i[:, None], b)
+            known = np.broadcast_to(True, d.shape) if all_known else known_a[rows, None] & known_b
+        else:
+            take = i[:, None] < b if same else None
+            if below is not None:
+                near = d < below
+                if not all_known:
+                    near &= known_a[rows, None] & known_b
+                take = near if take is None else near & take
+            x, y = np.divmod(np.flatnonzero(take), max(len(b), 1))
+            if kept is not None and len(x):
+                differ = [functools.reduce(np.bitwise_or, [v[k][rows][x] ^ w[k][y] for k in group], np.zeros(len(x), dtype=np.int64)) for group in groups]
+                real = kept(differ)
+                x, y = x[real], y[real]
+            i, j, d, known = i[x], b[y], d[x, y], known_a[rows][x] & known_b[y]
+        # of two blocks either may hold the smaller one
+        low, top = np.minimum(i, j), np.maximum(i, j)
+        yield pa.RecordBatch.from_arrays([pa.array(low.ravel()), pa.array(top.ravel()), pa.array(d.ravel().astype(np.int32), mask=None if known.all() else ~known.ravel())], ["i", "j", "d"])
+
+
+def _in_buckets(batches: Iterable[pa.RecordBatch], names: list[str], words: int, met) -> Iterator[pa.RecordBatch]:
+    """What ``met`` makes of each bucket's two sides; rows come in the order of the columns ``names``, which tell buckets, and side."""
+    bucket, sides = None, ([], [])
+
+    def whole(parts: list[tuple]) -> tuple:
+        idx = np.concatenate([p[0] for p in parts])
+        order = np.argsort(idx, kind="stable")
+        return idx[order], [np.concatenate([p[1][k] for p in parts])[order] for k in range(words)], np.concatenate([p[2] for p in parts])[order]
+
+    def done() -> Iterator[pa.RecordBatch]:
+        if sides[0]:
+            left = whole(sides[0])
+            yield from met(bucket, left, whole(sides[1]) if sides[1] else None)
+        for x in sides:
+            x.clear()
+
+    for batch in batches:
+        key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in [*names, "side"]], axis=1)
+        cut = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)]) if len(key) else []
+        idx, known = batch.column("idx").to_numpy(), batch.column("known").to_numpy(zero_copy_only=False)
+        values = [batch.column(f"w{k}").to_numpy() for k in range(words)]
+        for x, y in zip(cut, [*cut[1:], len(key)], strict=True):
+            if (own := tuple(key[x, :-1].tolist())) != bucket:
+                yield from done()
+                bucket = own
+            sides[int(key[x, -1])].append((idx[x:y].copy(), [w[x:y].copy() for w in values], known[x:y].copy()))
+    yield from done()
+
+
 def _by_planes(keyed: DataFrame, below: int | None, length: int, bits: int, blocks: int) -> DataFrame:
     """The same for bit planes: a bucket holds two blocks as arrays, whatever else is in its task, and compares them.
 
@@ -132,54 +201,12 @@ def _by_planes(keyed: DataFrame, below: int | None, length: int, bits: int, bloc
     ship(keyed.sparkSession)
     words = -(-length // PLANE) * bits
 
-    def pairs(left: tuple, right: tuple, same: bool) -> Iterator[pa.RecordBatch]:
-        (a, v, known_a), (b, w, known_b) = left, right
-        high = max(1, PAIRS // max(len(b), 1))
-        for at in range(0, len(a), high):
-            rows = slice(at, at + high)
-            d = np.zeros((len(a[rows]), len(b)), dtype=np.int32)
-            for group in range(0, words, bits):
-                differ = functools.reduce(np.bitwise_or, (v[k][rows, None] ^ w[k] for k in range(group, group + bits)))
-                d += np.bitwise_count(differ)
-            i, j = a[rows, None], b[None]
-            take = i < j if same else np.ones(d.shape, dtype=bool)
-            known = known_a[rows, None] & known_b
-            if below is not None:
-                take &= (d < below) & known
-            if same or below is not None:
-                x, y = np.nonzero(take)
-                i, j, d, known = a[rows][x], b[y], d[x, y], known[x, y]
-            # of two blocks either may hold the smaller one
-            low, top = (np.minimum(i, j), np.maximum(i, j))
-            yield pa.RecordBatch.from_arrays([pa.array(low.ravel()), pa.array(top.ravel()), pa.array(d.ravel(), mask=None if known.all() else ~known.ravel())], ["i", "j", "d"])
+    def met(bucket: tuple, left: tuple, right: tuple | None) -> Iterable[pa.RecordBatch]:
+        same = bucket[0] // blocks == bucket[0] % blocks
+        return _compared(left, left if same else right, same, below, bits) if same or right else ()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, sides = None, ([], [])
-
-        def whole(parts: list[tuple]) -> tuple:
-            idx = np.concatenate([p[0] for p in parts])
-            order = np.argsort(idx, kind="stable")
-            return idx[order], [np.concatenate([p[1][k] for p in parts])[order] for k in range(words)], np.concatenate([p[2] for p in parts])[order]
-
-        def done() -> Iterator[pa.RecordBatch]:
-            same = bucket is not None and bucket // blocks == bucket % blocks
-            if sides[0] and (same or sides[1]):
-                left = whole(sides[0])
-                yield from pairs(left, left if same else whole(sides[1]), same)
-            for x in sides:
-                x.clear()
-
-        for batch in batches:
-            key = batch.column("bucket").to_numpy().astype(np.int64) * 2 + batch.column("side").to_numpy()
-            cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else []
-            idx, known = batch.column("idx").to_numpy(), batch.column("known").to_numpy(zero_copy_only=False)
-            values = [batch.column(f"w{k}").to_numpy() for k in range(words)]
-            for x, y in zip(cut, [*cut[1:], len(key)], strict=True):
-                if key[x] // 2 != bucket:
-                    yield from done()
-                    bucket = int(key[x]) // 2
-                sides[int(key[x]) % 2].append((idx[x:y].copy(), [w[x:y].copy() for w in values], known[x:y].copy()))
-        yield from done()
+        return _in_buckets(batches, ["bucket"], words, met)
 
     own, other = F.pmod(F.xxhash64("idx"), F.lit(blocks)).cast("int"), F.col("other")
     held = keyed.where("idx IS NOT NULL").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -216,10 +243,10 @@ def segment_candidates(seqs: DataFrame, below: int, length: int | None = None) -
     return int(_crowds(seqs, length, below).agg(F.coalesce(F.sum(pairs), F.lit(0))).first()[0])
 
 
-def _by_segments(seqs: DataFrame, value: Column, length: int, below: int, distance: Column) -> DataFrame:
+def _by_segments(seqs: DataFrame, value: Column, length: int, below: int, distance: Column, crowd: DataFrame) -> DataFrame:
     """Each pair below the threshold, once: where its first common segment is."""
     rows = _segmented(seqs.select("idx", "seq", value.alias("v")), length, below)
-    crowd = materialise(_crowds(seqs, length, below).where(F.col("size") > CROWD).select("at", "key", F.ceil(F.col("size") / CROWD).cast("int").alias("blocks")), "crowds")
+    crowd = crowd.select("at", "key", F.ceil(F.col("size") / CROWD).cast("int").alias("blocks"))
     # fewer than one crowd for each CROWD rows of ``rows``
     held = rows.join(F.broadcast(crowd) if crowd.count() <= 100_000 else crowd, ["at", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own, every = F.pmod(F.xxhash64("idx"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -232,6 +259,49 @@ def _by_segments(seqs: DataFrame, value: Column, length: int, below: int, distan
     return a.join(b, functools.reduce(operator.and_, meet) & (F.col("a.idx") < F.col("b.idx")) & (distance < below) & first)
 
 
+def _places(length: int, below: int) -> list[list[int]]:
+    """For each segment the bits of its characters in each word of ``PLANE``; a word's first character is its highest bit."""
+    out = []
+    for a, b in itertools.pairwise(k * length // below for k in range(below + 1)):
+        out.append([sum(1 << (min(g + PLANE, length) - 1 - c) for c in range(max(a, g), min(b, g + PLANE))) for g in range(0, length, PLANE)])
+    return out
+
+
+def _by_segment_planes(seqs: DataFrame, value: Column, length: int, below: int, bits: int, crowd: DataFrame) -> DataFrame:
+    """The segment join for bit planes and crowds: those that have a segment in common are compared as arrays, block by block.
+
+    A crowd is dealt to blocks of ``ARRAY`` times ``CROWD``, for pairs are no rows until they pass the threshold.
+    """
+    ship(seqs.sparkSession)
+    words, places = -(-length // PLANE) * bits, _places(length, below)
+    cores = seqs.sparkSession.sparkContext.defaultParallelism
+    crowd = crowd.where(F.col("size") > ARRAY * CROWD).select("at", "key", F.ceil(F.col("size") / (ARRAY * CROWD)).cast("int").alias("blocks"))
+    rows = _segmented(seqs.where("idx IS NOT NULL").select("idx", "seq", value.alias("v")), length, below).where("key IS NOT NULL")
+    # few, for each has that many rows of ``rows``
+    held = rows.join(F.broadcast(crowd) if crowd.count() <= 100_000 else crowd, ["at", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own, other = F.pmod(F.xxhash64("idx"), F.col("blocks")).cast("int"), F.col("other")
+    held = held.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    known = functools.reduce(operator.and_, [F.col("v")[k].isNotNull() for k in range(words)])
+    planes = [F.coalesce(F.col("v")[k], F.lit(0).cast("long")).alias(f"w{k}") for k in range(words)]
+    dealt = held.select("at", F.xxhash64("key").alias("hash"), F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > other).cast("int").alias("side"), "idx", known.alias("known"), *planes)
+    names = ["at", "hash", "low", "high"]
+    parts = max(4 * cores, seqs.count() * below // 200_000)
+
+    def met(bucket: tuple, left: tuple, right: tuple | None) -> Iterable[pa.RecordBatch]:
+        at, _, low, high = bucket
+
+        def first(differ: list[np.ndarray]) -> np.ndarray:
+            equal = lambda k: functools.reduce(operator.and_, [(d & p) == 0 for d, p in zip(differ, places[k], strict=True)])
+            return functools.reduce(operator.and_, [~equal(k) for k in range(at)], equal(at))  # two segments may have one hash
+
+        return _compared(left, left if low == high else right, low == high, below, bits, first) if low == high or right else ()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _in_buckets(batches, names, words, met)
+
+    return dealt.repartition(parts, *names).sortWithinPartitions(*names, "side").mapInArrow(run, "i long, j long, d int")
+
+
 def threshold_graph(seqs: DataFrame, epsilon: int = 70, alphabet: str | None = "ACGT", join: str = "auto") -> DataFrame:
     """Edges (src, dst, weight) of all pairs with distance strictly below ``epsilon``; src < dst."""
     pairs = pairwise_hamming(seqs, alphabet, epsilon, join=join)

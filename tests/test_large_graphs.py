@@ -280,6 +280,20 @@ def test_segment_join(spark, monkeypatch, below, alphabet, crowd):
     assert pairs.segment_candidates(df, below) == sum(s[a:b] == t[a:b] for i, s in enumerate(rows) for t in rows[:i] for a, b in cut)
 
 
+@pytest.mark.parametrize(("length", "below", "alphabet"), [(64, 16, "01"), (64, 5, "01"), (125, 7, "ACGT"), (40, 3, None)])
+def test_crowds_are_compared_as_arrays(spark, monkeypatch, length, below, alphabet):
+    """Crowds in several blocks, strings over two words of bits, repeated ids and nulls; no candidate is a row of a join."""
+    monkeypatch.setattr(pairs, "CROWD", 1)
+    rows = sequences(150, length, below)
+    rows = [s.translate(str.maketrans("ACGT", "0101")) for s in rows] if alphabet == "01" else rows
+    held = [*enumerate(rows), (7, rows[7]), (3, rows[9]), (1000, None)]
+    df = spark.createDataFrame(held, "idx long, seq string")
+    got = pairs.pairwise_hamming(df, alphabet, below, join="segments")
+    want = sorted((i, j, d) for i, s in held for j, t in held if i < j and s and t and (d := sum(a != b for a, b in zip(s, t))) < below)
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 100
+    assert "zip_with" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_segments_look_at_the_distance_first(spark):
     df = spark.createDataFrame(list(enumerate(sequences(30, 40, 3))), "idx long, seq string")
     plan = pairs.pairwise_hamming(df, "ACGT", 5, join="segments")._jdf.queryExecution().optimizedPlan().toString()
